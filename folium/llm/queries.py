@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .language_id import identify_language
 from .substring_dedup import dedup_substrings
+from .toxicity import score_toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +19,20 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "hits")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op8_toxicity": op8_toxicity,
+    "op10_language_id": op10_language_id,
+}
 
 #: Where SQL can express the query.
 ORACLES = {

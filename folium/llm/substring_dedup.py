@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, mix, part_column, part_of, partition_count, slices, span_hashes, text_buffer, word_spans
+from .common import by_key, mix, part_column, part_of, partition_count, power_table, slices, span_hashes, text_buffer, word_spans
 
 _U = np.uint64
 ROUNDS = 2
@@ -62,8 +62,9 @@ def window_anchors(words: np.ndarray, first: np.ndarray, window: int) -> tuple[n
     """(start, document number, anchor) of each window of words.
 
     After the rounds, a symbol whose name and borders are settled by words inside a window is the
-    same wherever that window occurs. The window's anchor is the smallest such name, or, if it has
-    none, a fingerprint of the window itself; so equal windows have equal anchors.
+    same wherever that window occurs. These are named anew together with all the words that settle
+    them, so that chance matches are rare, and the smallest name is the window's anchor; if there
+    are none, it is a fingerprint of the window itself. So equal windows have equal anchors.
     """
     n = len(words)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -74,7 +75,12 @@ def window_anchors(words: np.ndarray, first: np.ndarray, window: int) -> tuple[n
     s = {"name": words.copy(), "doc": doc, "lo": np.arange(n), "hi": np.arange(n) + 1, "words": n}
     for k in range(ROUNDS):
         s = name_pairs(name_runs(s), 0x51ED270B + k)
-    name, m = s["name"], len(s["name"])
+    m = len(s["name"])
+    p, inv = power_table(n + 1)
+    c = np.zeros(n + 1, dtype=_U)
+    np.cumsum(words * p[:n], out=c[1:])
+    lo, hi = np.clip(s["lo"], 0, n), np.clip(s["hi"], 0, n)
+    name = mix(mix((c[hi] - c[lo]) * inv[lo]) ^ s["name"])
     # the settled symbols of the window from p are numbers a[p] to b[p]
     a = np.cumsum(np.bincount(np.minimum(s["lo"] + 1, n), minlength=n + 1))[at]
     b = np.cumsum(np.bincount(np.minimum(s["hi"], n + 1), minlength=n + 2))[at + window]
@@ -155,8 +161,8 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Recompression names runs and pairs of words with names that depend on content alone, so a name
     is global without a dictionary. Spark groups the names that windows choose as anchors and tells
-    each document which of its anchors others have; only their windows are then compared, by 128-bit
-    fingerprints of all their words, through a second grouping. Every task combines what it sends,
+    each document which of its anchors others have; only their windows are then compared, by anchor and a 64-bit
+    fingerprint of all their words, through a second grouping. Every task combines what it sends,
     so an anchor or window that a third of all documents has costs one entry for each task.
 
     Words are separated by 0x20 and 0x09 to 0x0D. Null or empty texts have no words and an empty
@@ -221,13 +227,18 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 place = np.minimum(np.searchsorted(pairs, key_), len(pairs) - 1)
                 hit = np.repeat(pairs[place] == key_, size)
                 p, d = at[hit], doc[hit]
-                got.append((fingerprints(words, p, window, 0xD1342543DE82EF95), fingerprints(words, p, window, 0xAF251AF3B0F025B5), ids[d], p - first[d]))
-        f, g, d, p = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, _U),) * 4
-        first_doc = _least(f, g, d)
-        late = d > first_doc
+                got.append((anchor[hit], fingerprints(words, p, window, 0xD1342543DE82EF95), ids[d], p - first[d]))
+        g, f, d, p = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, _U),) * 4
+        late = d > _least(f, g, d)
         out = list(_answer(d[late], p[late].astype(np.int32), n))
-        for bucket, (f_, g_, d_, p_) in by_key(_bucket(f[~late], n), f[~late], g[~late], d[~late], p[~late]):
-            out.append((bucket, None, np.concatenate([f_, g_]).tobytes(), d_.astype(np.int64).tobytes(), p_.astype(np.int32).tobytes()))
+        g, f, d, p = g[~late], f[~late], d[~late], p[~late]
+        # windows of one anchor that follow each other go as a run: anchor, document, place, length
+        begin = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)]) if len(g) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[begin, len(g)])
+        for bucket, (a, length) in by_key(_bucket(g[begin], n), begin, size):
+            each = np.repeat(a - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
+            place = np.stack([p[a], length]).astype(np.int32)
+            out.append((bucket, None, np.concatenate([g[a], f[each]]).tobytes(), d[a].astype(np.int64).tobytes(), place.tobytes()))
         return pa.Table.from_batches([_rows(out)])
 
     def earliest(rows: pa.Table) -> pa.Table:
@@ -236,8 +247,11 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if r["part"] is not None:
                 out.append((r["bucket"], r["part"], None, r["docs"], r["extra"]))
             else:
-                both = np.frombuffer(r["hashes"], _U)
-                got.append((both[: len(both) // 2], both[len(both) // 2 :], np.frombuffer(r["docs"], np.int64), np.frombuffer(r["extra"], np.int32)))
+                doc = np.frombuffer(r["docs"], np.int64)
+                hashes = np.frombuffer(r["hashes"], _U)
+                place, length = np.frombuffer(r["extra"], np.int32).reshape(2, -1)
+                each = np.arange(length.sum()) - np.repeat(np.r_[0, np.cumsum(length)[:-1]], length)
+                got.append((hashes[len(doc) :], np.repeat(hashes[: len(doc)], length), np.repeat(doc, length), (np.repeat(place, length) + each).astype(np.int32)))
         if got:
             f, g, d, p = (np.concatenate(x) for x in zip(*got, strict=True))
             late = d > _least(f, g, d)
