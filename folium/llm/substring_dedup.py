@@ -169,7 +169,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept text. Rows with a null id keep all words and take no part. Rows that repeat an id are one
     document for the comparison and give a row each. Other columns of df are not looked at.
     """
-    n = 3 * partition_count(df)
+    n = partition_count(df)
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
 
     def anchors(batches):
