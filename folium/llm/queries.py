@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .embedding_dedup import near_vectors
+from .graph_search import nearest
 from .language_id import identify_language
+from .packing import pack_documents
 from .substring_dedup import dedup_substrings
 from .toxicity import score_toxicity
 
@@ -19,18 +22,41 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def tokenizer_path() -> str:
+    """The byte-level BPE file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path(), length=1024, end_id=0)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "hits")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_read(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(_read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_embedding_dedup": op3_embedding_dedup,
+    "op6_packing": op6_packing,
     "op8_toxicity": op8_toxicity,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_language_id": op10_language_id,
 }
 
