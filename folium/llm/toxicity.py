@@ -20,14 +20,12 @@ SEEDS = "idiot moron stupid loser pathetic scum worthless trash clown disgusting
 EXCEPTIONS = ("trash can", "trash bin", "garbage can", "garbage collection", "garbage collector", "clown fish", "idiot proof", "pond scum", "stupid simple", "circus clown", "worthless cheque", "sore loser rule")
 SEED_WEIGHT = 1.5
 
-_ACCENTED = "".join(map(chr, range(0xC0, 0x180)))
+#: Lengths of word beginnings that may become lexicon entries, written with a star.
+STEMS = range(4, 10)
 
 
 def _fold_table() -> dict[int, str]:
-    import unicodedata
-
-    t = {ord(c): unicodedata.normalize("NFD", c)[0].lower() for c in _ACCENTED if unicodedata.decomposition(c)}
-    t |= {ord(k): v for k, v in HOMOGLYPHS.items()} | {ord(k.upper()): v for k, v in HOMOGLYPHS.items() if len(k.upper()) == 1}
+    t = {ord(k): v for k, v in HOMOGLYPHS.items()} | {ord(k.upper()): v for k, v in HOMOGLYPHS.items() if len(k.upper()) == 1}
     t |= {0xFF21 + i: chr(97 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)}
     t |= dict.fromkeys((0x200B, 0x200C, 0x200D, 0xFEFF, 0xAD), "")
     return t
@@ -41,7 +39,8 @@ _GAP = re.compile(r"[\W_]+")
 def fold(text: str) -> str:
     """Lower-case words between single spaces, with look-alikes and digit substitutions undone.
 
-    l is written as i, since 1 and | stand for either; lexicon entries are folded alike.
+    l is written as i, since 1 and | stand for either; lexicon entries are folded alike. Accented
+    letters are letters of their own.
     """
     t = text.lower()
     if not t.isascii():
@@ -64,7 +63,7 @@ class Model:
 
         a = ahocorasick.Automaton()
         for w, x in self.weights.items():
-            a.add_word(f" {w} ", (0, x))
+            a.add_word(f" {w[:-1]}" if w[-1] == "*" else f" {w} ", (0, x))
         for e in self.exceptions:
             e = fold(e)
             # a phrase takes back what its words add
@@ -99,18 +98,18 @@ def training_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return docs.join(F.broadcast(some), "id")  # its size has the bound `rows`
 
 
-def fit(sample: DataFrame, least_share: float = 0.02, most_words: int = 5000) -> Model:
-    """Learns lexicon weights (smoothed log odds of a word's document frequencies) and the curve.
+def fit(sample: DataFrame, least_share: float = 0.005, most_words: int = 5000) -> Model:
+    """Learns lexicon weights (log odds of the document frequencies of words and stems) and the curve.
 
-    Copies count once: of sample texts with the same smallest word-pair hash, one is used. Words
-    with too few toxic documents or odds under 8 aren't taken; at most most_words are.
+    Copies count once: of sample texts with the same smallest hash of six words in a row, one is
+    used. Words with too few toxic documents or odds under 8 aren't taken; at most most_words are.
     """
 
     def words(batches):
         for batch in batches:
             for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 w = fold(text).split()
-                key = min((hash32(f"{a} {b}") for a, b in zip(w, w[1:], strict=False)), default=0)
+                key = min((hash32(" ".join(w[i : i + 6])) for i in range(max(1, len(w) - 5))), default=0)
                 yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([key], pa.int64()), pa.array([sorted({x for x in w if 3 <= len(x) <= 30})], pa.list_(pa.string()))], names=["y", "k", "words"])
 
     once = sample.mapInArrow(words, "y int, k long, words array<string>").groupBy("k").agg(F.max_by("words", "y").alias("words"), F.max("y").alias("y"))
@@ -119,16 +118,35 @@ def fit(sample: DataFrame, least_share: float = 0.02, most_words: int = 5000) ->
     toxic, rows = int(total[0] or 0), int(total[1])
     found = []
     if 0 < toxic < rows:
-        counts = once.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("t"), F.count("*").alias("n"))
+        counts = once.mapInArrow(_count, "w string, t long, n long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
         odds = F.log((F.col("t") + 0.5) / F.lit(toxic + 1.0)) - F.log((F.col("n") - F.col("t") + 0.5) / F.lit(rows - toxic + 1.0))
-        found = counts.withColumn("odds", odds).where((F.col("t") >= max(8, math.ceil(least_share * toxic))) & (F.col("odds") >= math.log(8))).orderBy(F.desc("t"), "w").limit(most_words).collect()
-    weights = {fold(s).strip(): SEED_WEIGHT for s in SEEDS} | {r["w"]: min(float(r["odds"]), 6.0) for r in found}
+        # two standard errors below the estimate must still be odds of 8
+        spread = F.sqrt(1 / (F.col("t") + 0.5) + F.lit(1.0 / (rows - toxic + 1.0)))
+        found = counts.withColumn("odds", odds - spread).where((F.col("t") >= max(5, math.ceil(least_share * toxic))) & (F.col("odds") >= math.log(8))).orderBy(F.desc("t"), "w").limit(most_words).collect()
+    learned = {r["w"]: min(float(r["odds"]), 6.0) for r in found}
+    # an entry says nothing new beside a stem of it that is nearly as telling
+    told = lambda w: any(learned.get(w[:k] + "*", 0.0) >= 0.75 * learned[w] for k in STEMS if k < len(w.rstrip("*")))
+    weights = {fold(s).strip(): SEED_WEIGHT for s in SEEDS} | {w: x for w, x in learned.items() if not told(w)}
     model = Model(weights, EXCEPTIONS)
     seen = sample.select("id", "y", "text").mapInArrow(lambda b: _features(b, model), "id long, y int, x double, hits int").select("x", "y").toPandas()
     _calibrate(model, seen["x"].to_numpy(float), seen["y"].to_numpy(float))
     return model
 
 
+def _count(batches):
+    """Document frequencies of words and stems, summed within each batch."""
+    from collections import Counter
+
+    for batch in batches:
+        toxic, rows = Counter(), Counter()
+        for y, words in zip(batch.column("y").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            own = {*words, *(w[:k] + "*" for w in words for k in STEMS if k < len(w))}
+            rows.update(own)
+            if y:
+                toxic.update(own)
+        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array([toxic[w] for w in rows], pa.int64()), pa.array(list(rows.values()), pa.int64())], names=["w", "t", "n"])
+
+
 def hash32(s: str) -> int:
     import zlib
 
