@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .embedding_dedup import near_vectors
 from .graph_search import nearest
 from .language_id import identify_language
+from .minhash_dedup import near_documents
 from .packing import pack_documents
 from .substring_dedup import dedup_substrings
 from .toxicity import score_toxicity
@@ -22,6 +23,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_documents(_read(spark, sf_dir, "documents"), percent=85)
+
+
 def tokenizer_path() -> str:
     """The byte-level BPE file of the installed public tokenizers."""
     import public_tokenizers
@@ -54,6 +59,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op6_packing": op6_packing,
     "op8_toxicity": op8_toxicity,
     "op9_nearest_neighbours": op9_nearest_neighbours,
