@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import collapse_conversations
 from .embedding_dedup import near_vectors
 from .graph_search import nearest
 from .language_id import identify_language
+from .line_dedup import remove_shared_lines
 from .minhash_dedup import near_documents
+from .mixing import mix_sources
 from .packing import pack_documents
 from .substring_dedup import dedup_substrings
 from .toxicity import score_toxicity
@@ -27,6 +30,11 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_documents(_read(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_shared_lines(_read(spark, sf_dir, "documents"), min_sites=10)
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
 def tokenizer_path() -> str:
     """The byte-level BPE file of the installed public tokenizers."""
     import public_tokenizers
@@ -38,11 +46,20 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path(), length=1024, end_id=0)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix_sources(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").cast("long").alias("n_tokens"), F.round("_probability", 6).alias("probability"), F.col("_sampled").alias("sampled"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "hits")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapse_conversations(_read(spark, sf_dir, "conversations"))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_read(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -58,9 +75,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_chat_format": op2_chat_format,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
+    "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_language_id": op10_language_id,
@@ -85,5 +105,33 @@ WITH d AS (
   FROM d LEFT JOIN g USING (doc_id)
 )
 SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+""",
+    "op2_chat_format": r"""
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, list('<|' || r || '|>' || chr(10) || x || '<|end|>' || chr(10) ORDER BY turn NULLS FIRST, r, x) AS l FROM t GROUP BY conv_id
+), kept AS (
+  SELECT a.conv_id, a.l FROM c a WHERE NOT EXISTS (
+    SELECT 1 FROM c b WHERE list_slice(b.l, 1, len(a.l)) = a.l AND (len(b.l) > len(a.l) OR b.conv_id < a.conv_id))
+)
+SELECT k.conv_id, len(k.l)::BIGINT AS n_turns,
+       (SELECT count(*) - 1 FROM c b WHERE list_slice(k.l, 1, len(b.l)) = b.l)::BIGINT AS n_prefixes,
+       array_to_string(k.l, '') AS rendered
+FROM kept k
+""",
+    "op5_line_dedup": r"""
+WITH d AS (
+  SELECT doc_id, source, text, string_split(text, chr(10)) AS l FROM documents
+), e AS (
+  SELECT doc_id, source, trim(unnest(l), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM d
+), b AS (
+  SELECT line FROM e WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10
+), s AS (
+  SELECT list(line) AS bad FROM b
+), k AS (
+  SELECT doc_id, l, list_filter(l, lambda x: NOT coalesce(list_contains(bad, trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), false)) AS kept FROM d, s
+)
+SELECT doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(len(l) - len(kept), 0)::BIGINT AS n_removed, md5(array_to_string(kept, chr(10))) AS kept_md5 FROM k
 """,
 }

@@ -200,3 +200,15 @@ def apply(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     out = docs.mapInArrow(run, "id long, score double, hits int")
     held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return out.select(F.col("id").alias(id_col), held.alias("held_out"), "score", "hits")
+
+
+def drop_toxic(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of df, all columns, whose text scores below threshold. Null texts stay."""
+
+    def run(batches):
+        a = model.automaton()
+        for batch in batches:
+            x = np.array([feature(a, t)[0] for t in batch.column(text_col).to_pylist()], dtype=float)
+            yield batch.filter(pa.array(model.score(x) < threshold, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
