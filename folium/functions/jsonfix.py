@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def list_slice(c: Column) -> Column:
@@ -114,7 +115,7 @@ def mend(text: str | None) -> tuple[str | None, str | None]:
     return None, reason
 
 
-@F.pandas_udf("struct<json:string,error:string>")
+@F.pandas_udf(T.StructType([T.StructField("json", T.StringType()), T.StructField("error", T.StringType())]))
 def repair(s: pd.Series) -> pd.DataFrame:
     """Repaired text, ready for try_parse_json, or why there is none."""
     return pd.DataFrame([mend(x) for x in s], columns=["json", "error"])

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _KEEP = re.compile(r"[^a-z0-9\s]")
 
@@ -27,13 +28,13 @@ def plain_unicode(text: str | None) -> str:
     return " ".join("".join(c if c.isalnum() else " " for c in t).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize(s: pd.Series) -> pd.Series:
     distinct = {x: plain(x) for x in s.unique()}
     return s.map(distinct)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def normalize_all(s: pd.Series) -> pd.Series:
     return s.map(lambda a: None if a is None else [plain(x) for x in a])
 
@@ -59,7 +60,7 @@ def indel(a: str, b: str) -> float:
     return 2 * (len(a) - open_.bit_count()) / (len(a) + len(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 

@@ -1,4 +1,496 @@
-"""The queries of the package over the test tables, each with its SQL equivalent."""
+"""The package's queries over the test tables, each with its SQL equivalent where SQL has one.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The tables hold no author records, so each operator runs on a table of the same shape.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import identifiers as ids
+from ..functions import jsonfix
+from ..functions.metrics import image_scale, ratio, render_zoom, scores
+from ..functions.similarity import edit_distance, indel_ratio, normalize, with_normalized
+from ..operators import catalog, documents, matching, profile, stages
+from . import evaluation
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function of (table reader) under its name, with its SQL."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        run.__doc__ = f.__doc__
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _works(t):
+    """Orders as works, their lines as authors; a line that isn't flagged N is affiliated."""
+    lines = t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("authors"), F.count_if(F.col("l_returnflag") != "N").alias("affiliated"))
+    works = t("orders").select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").na.fill(0, ["authors", "affiliated"])
+    return works.withColumns({"category": profile.category(F.col("authors"), F.col("affiliated")), "pct": F.when(F.col("authors") > 0, F.col("affiliated") * 100.0 / F.col("authors"))})
+
+
+_WORKS_SQL = """
+  SELECT o_orderkey, count(l_orderkey) AS authors, count(*) FILTER (WHERE l_returnflag <> 'N') AS affiliated
+  FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey
+"""
+
+
+@query(f"""
+SELECT CASE WHEN authors = 0 THEN 'no_authors' WHEN affiliated = authors THEN 'all_affiliations'
+            WHEN affiliated > 0 THEN 'partial_affiliations' ELSE 'no_affiliations' END AS category,
+       count(*)::BIGINT AS works, sum(authors)::BIGINT AS authors
+FROM ({_WORKS_SQL}) GROUP BY 1
+""")
+def completeness_categories(t):
+    return _works(t).groupBy("category").agg(F.count("*").alias("works"), F.sum("authors").alias("authors"))
+
+
+@query(f"SELECT median(affiliated * 100.0::DOUBLE / authors) AS median_pct, count(*)::BIGINT AS works FROM ({_WORKS_SQL}) WHERE authors > 0")
+def completeness_median(t):
+    return _works(t).where("authors > 0").agg(F.median("pct").alias("median_pct"), F.count("*").alias("works"))
+
+
+@query("SELECT page_id, split_part(url, '/', 3) AS host FROM pages WHERE split_part(url, '/', -1) LIKE '%1'")
+def source_works(t):
+    rows = t("pages").where(ids.source_of(F.col("url")).endswith("1"))
+    return rows.select("page_id", F.split_part("url", F.lit("/"), F.lit(3)).alias("host"))
+
+
+@query("""
+SELECT conv_id AS document_id, count(*)::BIGINT AS page_count, bool_and(role <> 'system') AS success, min_by(role, turn) AS first_role,
+       sum(length(text))::BIGINT AS n_chars,
+       string_agg(CASE WHEN regexp_replace(text, '\\s+$', '') <> '' THEN regexp_replace(text, '\\s+$', '') END, chr(10) ORDER BY turn) AS text
+FROM conversations GROUP BY conv_id
+""")
+def merge_pages(t):
+    none = F.lit(None)
+    pages = t("conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page"), F.col("turn").alias("page_index"), none.cast("string").alias("pdf_path"), F.col("role").alias("model"), (F.col("role") != "system").alias("success"), F.lit(0.0).alias("latency"), none.cast("int").alias("rotation_applied"), F.length("text").cast("long").alias("prompt_tokens"), F.lit(0).cast("long").alias("completion_tokens"), none.cast("long").alias("total_tokens"), F.col("text").alias("content"), F.col("turn").alias("src_pos"))
+    return documents.merge_pages(pages).select("document_id", "page_count", "success", F.col("model").alias("first_role"), F.col("total_tokens").alias("n_chars"), "text")
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) WHERE r <= 2")
+def page_head_n(t):
+    return documents.head_pages(t("conversations"), "conv_id", "turn", 2).select("conv_id", "turn", "role")
+
+
+@query("""
+SELECT conv_id AS document_id, count(*)::BIGINT AS page_count,
+  '# Document: ' || conv_id || chr(10) || chr(10) || '*Processed from ' || count(*) || ' pages*' || chr(10) || chr(10) || '---' || chr(10) || chr(10) ||
+  string_agg('<!-- Page ' || turn || ' -->' || chr(10) || chr(10) ||
+    CASE WHEN trim(text) = '' THEN '' WHEN role = 'system' THEN '# ' || trim(text) || chr(10) || chr(10)
+         WHEN role = 'user' THEN '## ' || trim(text) || chr(10) || chr(10) ELSE trim(text) || chr(10) || chr(10) END, '' ORDER BY turn) AS markdown
+FROM (SELECT conv_id, turn, role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations) GROUP BY conv_id
+""")
+def markdown_assembly(t):
+    kind = F.when(F.col("role") == "system", "Title").when(F.col("role") == "user", "Section-header").otherwise("Text")
+    pages = t("conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page"), F.col("turn").alias("src_pos"), F.array(F.struct(kind.alias("category"), "text")).alias("elements"))
+    return documents.assemble_markdown(pages)
+
+
+@query("SELECT user_id, event_id, ts, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events) WHERE r = 1")
+def latest_version(t):
+    return catalog.best_per(t("events"), "user_id", F.desc("ts"), F.col("event_id")).select("user_id", "event_id", "ts", "event_type")
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def last_wins(t):
+    return catalog.last_wins(t("events"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id", "value")
+
+
+@query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def resume_pending(t):
+    return catalog.not_present(t("documents").select("doc_id", "source"), t("labels"), "doc_id")
+
+
+@query("SELECT doc_id, source FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def pending_semi(t):
+    return catalog.pending(t("documents").select("doc_id", "source"), t("labels"), "doc_id")
+
+
+@query("""
+WITH r AS (
+  SELECT DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN lpad((o_orderkey % 10000)::VARCHAR, 4, '0') || '.' || lpad((o_custkey % 100000)::VARCHAR, 5, '0')
+                       WHEN o_orderkey % 3 = 1 THEN 'cat' || (o_orderkey % 7) || '/' || lpad((o_custkey % 10000000)::VARCHAR, 7, '0')
+                       ELSE 'x' || o_orderkey END AS arxiv_id, o_custkey FROM orders
+), m AS (SELECT arxiv_id, arxiv_id || 'v' || (o_custkey % 3 + 1) || '.pdf' AS url FROM r WHERE o_custkey % 2 = 0),
+b AS (SELECT arxiv_id, min(url) FILTER (WHERE v = mv) AS url FROM (SELECT *, regexp_extract(url, 'v([0-9]+)\\.pdf$', 1)::INT AS v, max(regexp_extract(url, 'v([0-9]+)\\.pdf$', 1)::INT) OVER (PARTITION BY arxiv_id) AS mv FROM m) GROUP BY arxiv_id)
+SELECT i.arxiv_id, CASE WHEN b.url IS NOT NULL THEN b.url WHEN p.arxiv_id IS NOT NULL THEN p.url END AS url,
+       CASE WHEN b.url IS NOT NULL THEN 'manifest' WHEN p.arxiv_id IS NOT NULL THEN 'constructed' ELSE 'not_found' END AS status
+FROM (SELECT DISTINCT arxiv_id FROM r) i LEFT JOIN b USING (arxiv_id)
+LEFT JOIN (SELECT DISTINCT arxiv_id, CASE WHEN arxiv_id LIKE 'cat%' THEN 'gs://arxiv-dataset/arxiv/' || split_part(arxiv_id, '/', 1) || '/pdf/' || substr(split_part(arxiv_id, '/', 2), 1, 4) || '/' || split_part(arxiv_id, '/', 2)
+                                      ELSE 'gs://arxiv-dataset/arxiv/arxiv/pdf/' || substr(arxiv_id, 1, 4) || '/' || arxiv_id END || 'v4.pdf' AS url
+           FROM r WHERE o_custkey % 5 = 1 AND arxiv_id NOT LIKE 'x%') p USING (arxiv_id)
+""")
+def resolve_status(t):
+    pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    ident = F.when(o % 3 == 0, F.concat(pad(o % 10000, 4), F.lit("."), pad(c % 100000, 5))).when(o % 3 == 1, F.concat(F.lit("cat"), (o % 7).cast("string"), F.lit("/"), pad(c % 10000000, 7))).otherwise(F.concat(F.lit("x"), o.cast("string")))
+    rows = t("orders").select(ident.alias("arxiv_id"), "o_custkey").distinct()
+    manifest = rows.where("o_custkey % 2 = 0").select("arxiv_id", F.concat("arxiv_id", F.lit("v"), (c % 3 + 1).cast("string"), F.lit(".pdf")).alias("url"))
+    listing = rows.where("o_custkey % 5 = 1").select(ids.paper_url(F.col("arxiv_id"), 4).alias("url")).where("url is not null").distinct()
+    return catalog.resolve(rows, manifest, listing)
+
+
+@query("SELECT p_partkey, ((row_number() OVER (ORDER BY p_partkey) - 1) // 300 + 1)::BIGINT AS batch FROM part")
+def batch_assign(t):
+    return catalog.batches(t("part").select("p_partkey"), "p_partkey", size=300)
+
+
+@query("SELECT p_partkey, ((row_number() OVER (ORDER BY p_partkey) - 1) // CAST(ceil((SELECT count(*) FROM part) / 7.0) AS BIGINT) + 1)::BIGINT AS batch FROM part")
+def batch_by_count(t):
+    return catalog.batches(t("part").select("p_partkey"), "p_partkey", count=7)
+
+
+@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'error' WHEN l.toxic = 1 THEN 'null_prediction' ELSE 'success' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)")
+def tri_state_join(t):
+    gt = t("documents").select("doc_id")
+    pred = t("labels").select("doc_id", F.when(F.col("toxic") == 0, F.lit("[]")).alias("entities"))
+    j = gt.join(pred.withColumn("_there", F.lit(True)), "doc_id", "left")
+    return j.select("doc_id", F.when(F.col("_there").isNull(), "error").when(F.col("entities").isNull(), "null_prediction").otherwise("success").alias("status"))
+
+
+@query("""
+SELECT n_nationkey, coalesce(r.r_name, lower(trim(x.spelled))) AS region FROM
+  (SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN '  ' || lower(r_name) || ' ' WHEN n_nationkey % 4 = 1 THEN r_name ELSE 'zone ' || n_regionkey END AS spelled FROM nation JOIN region ON n_regionkey = r_regionkey) x
+  LEFT JOIN region r ON lower(trim(r.r_name)) = lower(trim(x.spelled))
+""")
+def id_lookup(t):
+    k = F.col("n_nationkey")
+    spelled = F.when(k % 4 == 0, F.concat(F.lit("  "), F.lower("r_name"), F.lit(" "))).when(k % 4 == 1, F.col("r_name")).otherwise(F.concat(F.lit("zone "), F.col("n_regionkey").cast("string")))
+    rows = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", spelled.alias("region"))
+    return matching.canonical_ids(rows, t("region").select(F.col("r_name").alias("region")), "region", lambda c: F.lower(F.trim(c))).select("n_nationkey", "region")
+
+
+def _keyed(t):
+    g = t("customer").select(F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("idx"), (F.floor(F.col("c_acctbal") / 500)).cast("long").alias("norm"))
+    p = t("supplier").select(F.col("s_nationkey").alias("doc_id"), F.col("s_suppkey").alias("idx"), (F.floor(F.col("s_acctbal") / 500)).cast("long").alias("norm"))
+    return g, p
+
+
+_KEYED_SQL = """
+WITH g AS (SELECT c_nationkey AS doc_id, c_custkey AS idx, floor(c_acctbal / 500)::BIGINT AS norm, row_number() OVER (PARTITION BY c_nationkey, floor(c_acctbal / 500) ORDER BY c_custkey) AS occ FROM customer),
+     p AS (SELECT s_nationkey AS doc_id, s_suppkey AS idx, floor(s_acctbal / 500)::BIGINT AS norm, row_number() OVER (PARTITION BY s_nationkey, floor(s_acctbal / 500) ORDER BY s_suppkey) AS occ FROM supplier)
+"""
+
+
+@query(_KEYED_SQL + "SELECT g.doc_id, g.norm, g.idx AS gt_idx, p.idx AS pred_idx FROM g JOIN p USING (doc_id, norm, occ)")
+def strict_match_pairs(t):
+    return matching.strict_pairs(*_keyed(t), ["doc_id", "norm"])[0].select("doc_id", "norm", "gt_idx", "pred_idx")
+
+
+@query(_KEYED_SQL + """
+SELECT coalesce(g.doc_id, p.doc_id) AS doc_id, count(*) FILTER (WHERE g.idx IS NOT NULL AND p.idx IS NOT NULL)::BIGINT AS tp,
+       count(*) FILTER (WHERE g.idx IS NULL)::BIGINT AS fp, count(*) FILTER (WHERE p.idx IS NULL)::BIGINT AS fn
+FROM g FULL JOIN p ON g.doc_id = p.doc_id AND g.norm = p.norm AND g.occ = p.occ GROUP BY 1
+""")
+def strict_match_counts(t):
+    pairs, missed, extra = matching.strict_pairs(*_keyed(t), ["doc_id", "norm"])
+    n = lambda df, name: df.select("doc_id", *(F.lit(int(c == name)).alias(c) for c in ("tp", "fp", "fn")))
+    rows = n(pairs, "tp").unionByName(n(missed, "fn")).unionByName(n(extra, "fp"))
+    return rows.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+
+
+@query("""
+WITH d AS (SELECT conv_id, list_distinct(list_filter(string_split(lower(string_agg(text, ' ') FILTER (WHERE role = 'user')), ' '), lambda w: w <> '')) AS g,
+                  list_distinct(list_filter(string_split(lower(string_agg(text, ' ') FILTER (WHERE role = 'assistant')), ' '), lambda w: w <> '')) AS p FROM conversations GROUP BY conv_id)
+SELECT conv_id, len(list_filter(coalesce(g, []), lambda x: list_contains(coalesce(p, []), x)))::BIGINT AS matched, len(list_filter(coalesce(g, []), lambda x: NOT list_contains(coalesce(p, []), x)))::BIGINT AS missing, len(list_filter(coalesce(p, []), lambda x: NOT list_contains(coalesce(g, []), x)))::BIGINT AS extra FROM d
+""")
+def array_set_match(t):
+    words = lambda role: F.filter(F.split(F.lower(F.array_join(F.collect_list(F.when(F.col("role") == role, F.col("text"))), " ")), " "), lambda w: w != "")
+    d = t("conversations").groupBy("conv_id").agg(words("user").alias("g"), words("assistant").alias("p"))
+    got = matching.compare_values(F.col("g"), F.col("p"))
+    return d.select("conv_id", *(F.size(c).cast("long").alias(k) for k, c in got.items()))
+
+
+@query("SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name)::BIGINT AS edits FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
+def edit_similarity(t):
+    a = t("part").select(F.col("p_partkey").alias("a"), F.col("p_name").alias("x"), "p_brand", "p_size")
+    b = t("part").select(F.col("p_partkey").alias("b"), F.col("p_name").alias("y"), "p_brand", "p_size")
+    return a.join(b, ["p_brand", "p_size"]).where("a < b").select("a", "b", edit_distance(F.col("x"), F.col("y")).cast("long").alias("edits"))
+
+
+@query()
+def indel_similarity(t):
+    a = t("nation").select("n_regionkey", F.col("n_name").alias("a"))
+    b = t("nation").select("n_regionkey", F.col("n_name").alias("b"))
+    return a.join(b, "n_regionkey").where("a < b").select("a", "b", indel_ratio("a", "b").alias("score"))
+
+
+@query()
+def fuzzy_assignment(t):
+    """Customers and suppliers of a nation with similar names, one to one."""
+    g = t("customer").select(F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("idx"), F.regexp_extract("c_name", "([0-9]+)$", 1).alias("text"))
+    p = t("supplier").select(F.col("s_nationkey").alias("doc_id"), F.col("s_suppkey").alias("idx"), F.regexp_extract("s_name", "([0-9]+)$", 1).alias("text"))
+    return matching.fuzzy_pairs(g, p, "doc_id", "text", 0.95)
+
+
+@query("""
+WITH c AS (SELECT c_nationkey AS g, c_custkey AS src_idx, s_suppkey AS tgt_idx, 100 - 10 * levenshtein(c_name, s_name)::DOUBLE AS score FROM customer JOIN supplier ON c_nationkey = s_nationkey),
+     r AS (SELECT *, row_number() OVER (PARTITION BY g, src_idx ORDER BY score DESC, tgt_idx) AS r FROM c WHERE score >= 10)
+SELECT g, src_idx, tgt_idx, score FROM r WHERE r = 1
+""")
+def greedy_map(t):
+    s = t("customer").select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("idx"), F.col("c_name").alias("text"))
+    p = t("supplier").select(F.col("s_nationkey").alias("g"), F.col("s_suppkey").alias("idx"), F.col("s_name").alias("text"))
+    return matching.greedy_map(s, p, "g", "text", 10, score=lambda a, b: 100 - 10 * edit_distance(a, b).cast("double"))
+
+
+_RULE_SQL = "SELECT lang, count(*) FILTER (WHERE n_chars {op} {n} AND quality = 1)::BIGINT AS tp, count(*) FILTER (WHERE n_chars {op} {n} AND quality = 0)::BIGINT AS fp, count(*) FILTER (WHERE NOT n_chars {op} {n} AND quality = 1)::BIGINT AS fn FROM documents JOIN labels USING (doc_id) GROUP BY lang"
+_PRF_SQL = "CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END AS recall"
+
+
+def _rule(t, least):
+    said, true = F.col("n_chars") >= least, F.col("quality") == 1
+    return t("documents").join(t("labels"), "doc_id").groupBy("lang").agg(F.count_if(said & true).alias("tp"), F.count_if(said & ~true).alias("fp"), F.count_if(~said & true).alias("fn"))
+
+
+@query(f"SELECT *, CASE WHEN precision + recall > 0 THEN 2.0::DOUBLE * precision * recall / (1.0::DOUBLE * precision + recall) ELSE 0 END AS f1_score FROM (SELECT *, {_PRF_SQL} FROM ({_RULE_SQL.format(op='>=', n=500)}))")
+def prf_by_lang(t):
+    s = scores(F.col("tp"), F.col("fp"), F.col("fn"))
+    return _rule(t, 500).withColumns({k: s[k] for k in ("precision", "recall", "f1_score")})
+
+
+@query("""
+WITH c AS (SELECT lang, (n_chars >= 500)::INT = quality AS a, (n_chars >= 300)::INT = 1 - toxic AS b FROM documents JOIN labels USING (doc_id))
+SELECT lang, count(*) FILTER (WHERE a AND b)::BIGINT AS tp, count(*) FILTER (WHERE NOT (a AND b))::BIGINT AS fp, count(*) FILTER (WHERE NOT (a AND b))::BIGINT AS fn FROM c GROUP BY lang
+""")
+def combined_penalty(t):
+    full = ((F.col("n_chars") >= 500).cast("int") == F.col("quality")) & ((F.col("n_chars") >= 300).cast("int") == 1 - F.col("toxic"))
+    return t("documents").join(t("labels"), "doc_id").groupBy("lang").agg(F.count_if(full).alias("tp"), F.count_if(~full).alias("fp"), F.count_if(~full).alias("fn"))
+
+
+def _long(t, least):
+    rows = _rule(t, least).select(F.col("lang").alias("category"), F.lit("strict").alias("mode"), "tp", "fp", "fn")
+    return evaluation.long_metrics(evaluation.with_scores(rows)).where(F.col("metric").isin("precision", "recall", "true_positives"))
+
+
+@query(f"""
+WITH a AS (SELECT *, {_PRF_SQL} FROM ({_RULE_SQL.format(op='>=', n=500)})), b AS (SELECT *, {_PRF_SQL} FROM ({_RULE_SQL.format(op='>=', n=900)})),
+la AS (SELECT lang, 'precision' AS metric, precision AS v FROM a UNION ALL SELECT lang, 'recall', recall FROM a UNION ALL SELECT lang, 'true_positives', tp::DOUBLE FROM a),
+lb AS (SELECT lang, 'precision' AS metric, precision AS v FROM b UNION ALL SELECT lang, 'recall', recall FROM b UNION ALL SELECT lang, 'true_positives', tp::DOUBLE FROM b)
+SELECT 'strict' AS mode, lang AS category, metric, la.v AS baseline, lb.v AS candidate, lb.v - la.v AS delta FROM la JOIN lb USING (lang, metric)
+""")
+def metric_delta(t):
+    return evaluation.compare_reports(_long(t, 500), _long(t, 900))
+
+
+@query(f"""
+WITH r AS ({_RULE_SQL.format(op='>=', n=500)}), c AS (
+  SELECT CASE lang WHEN 'en' THEN 'entity:author' WHEN 'de' THEN 'combined' ELSE 'field:' || lang END AS category, tp, fp, fn FROM r)
+SELECT category, CASE WHEN category LIKE 'entity:%' THEN 'author_identification' WHEN category LIKE 'field:%' THEN split_part(category, ':', 2) || '_matching' ELSE 'combined_authors' END AS label,
+       sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, (CASE WHEN category LIKE 'entity:%' THEN 0 WHEN category LIKE 'field:%' THEN 1 ELSE 2 END)::INT AS rank FROM c GROUP BY category
+""")
+def category_report(t):
+    c = F.when(F.col("lang") == "en", "entity:author").when(F.col("lang") == "de", "combined").otherwise(F.concat(F.lit("field:"), "lang"))
+    rep = evaluation.report(_rule(t, 500).select(c.alias("category"), F.lit("strict").alias("mode"), "tp", "fp", "fn"))
+    return rep.select("category", "label", "tp", "fp", "fn", evaluation.category_rank(F.col("category")).alias("rank"))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag <> 'N') AS w, sum(CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END) AS v FROM lineitem GROUP BY l_orderkey),
+     w AS (SELECT coalesce(n, 0) AS n, coalesce(w, 0) AS w, coalesce(v, 0) AS v FROM orders LEFT JOIN l ON o_orderkey = l_orderkey),
+     s AS (SELECT *, CASE WHEN n = 0 THEN 'no' WHEN w = 0 THEN 'all' WHEN w < n THEN 'some' ELSE 'none' END AS s FROM w),
+     a AS (SELECT count(*) AS t, count(*) FILTER (WHERE s = 'all') AS al, count(*) FILTER (WHERE s = 'some') AS so, count(*) FILTER (WHERE s = 'none') AS nn, count(*) FILTER (WHERE s = 'no') AS no, sum(n) AS n, sum(w) AS w, sum(n) AS e, sum(v) AS v FROM s)
+SELECT * FROM (
+  SELECT 'works_all_authors_missing_affiliations' AS category, al::BIGINT AS "count", al * 100.0::DOUBLE / t AS pct FROM a UNION ALL
+  SELECT 'works_some_authors_missing_affiliations', so::BIGINT, so * 100.0::DOUBLE / t FROM a UNION ALL SELECT 'works_all_authors_have_affiliations', nn::BIGINT, nn * 100.0::DOUBLE / t FROM a UNION ALL
+  SELECT 'works_no_authors', no::BIGINT, no * 100.0::DOUBLE / t FROM a UNION ALL SELECT 'total_works', t::BIGINT, 100.0::DOUBLE FROM a UNION ALL SELECT 'total_authors', n::BIGINT, NULL FROM a UNION ALL
+  SELECT 'authors_with_affiliations', w::BIGINT, w * 100.0::DOUBLE / n FROM a UNION ALL SELECT 'authors_without_affiliations', (n - w)::BIGINT, (n - w) * 100.0::DOUBLE / n FROM a UNION ALL
+  SELECT 'total_affiliations', e::BIGINT, NULL FROM a UNION ALL SELECT 'valid_affiliations', v::BIGINT, v * 100.0::DOUBLE / e FROM a)
+""")
+def null_profile(t):
+    name = F.when(F.col("l_returnflag") == "N", "").otherwise(F.col("l_linestatus"))
+    people = t("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.array(F.struct(name.alias("affiliation"))).alias("affiliations"))).alias("prediction"))
+    works = t("orders").select("o_orderkey").join(people, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return profile.null_profile(works)
+
+
+@query("""SELECT event_type, count(*)::BIGINT AS "count", count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS pct FROM events GROUP BY event_type""")
+def share_table(t):
+    return profile.share_table(t("events"), "event_type")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'no_doi' WHEN lower(url) LIKE '%utm%' THEN 'arxiv' ELSE 'other' END AS kind FROM pages")
+def doi_split(t):
+    doi = F.when(F.col("page_id") % 11 == 0, "  ").otherwise(F.replace(F.lower("url"), F.lit("utm"), F.lit("10.48550/ARXIV.")))
+    return t("pages").select("page_id", ids.doi_class(doi).alias("kind"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS norm FROM documents")
+def text_normalize(t):
+    return t("documents").select("doc_id", normalize("text").alias("norm"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(source)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS norm FROM documents")
+def normalize_distinct(t):
+    return with_normalized(t("documents").select("doc_id", "source"), "source", "norm").select("doc_id", "norm")
+
+
+@query("""
+SELECT page_id, 'arXiv:' || lpad((page_id % 10000)::VARCHAR, 4, '0') || '.' || lpad((page_id * 7 % 100000)::VARCHAR, 5, '0') || 'v' || (page_id % 4 + 1) AS ident, (page_id % 4 + 1)::INT AS version FROM pages
+""")
+def id_normalize(t):
+    k = F.col("page_id")
+    core = F.concat(F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("."), F.lpad((k * 7 % 100000).cast("string"), 5, "0"), F.lit("v"), (k % 4 + 1).cast("string"))
+    spelled = F.when(k % 3 == 0, F.concat(F.lit(" ARXIV: "), core)).when(k % 3 == 1, F.concat(F.lit("see "), core, F.lit(" for more"))).otherwise(core)
+    return t("pages").select("page_id", ids.paper_id(spelled).alias("ident"), ids.file_version(F.concat(core, F.lit(".pdf"))).alias("version"))
+
+
+@query("SELECT c_custkey, coalesce(nullif(lower(trim(regexp_replace(c_name, '[^0-9a-zA-Z]+', '_', 'g'), '_')), ''), 'entity') AS slug FROM customer")
+def identifier_slug(t):
+    return t("customer").select("c_custkey", ids.slug(F.col("c_name")).alias("slug"))
+
+
+@query("""SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)/*$', 1) AS base, len(list_filter(regexp_split_to_array(url, '[,\\s]+'), lambda x: x <> ''))::INT AS parts FROM pages""")
+def url_parts(t):
+    return t("pages").select("page_id", ids.base_name(F.col("url")).alias("base"), F.size(ids.tokens(F.col("url"))).alias("parts"))
+
+
+@query("""SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
+def json_extract(t):
+    v = jsonfix.parse_list(F.col("props"))
+    return t("events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"))
+
+
+@query("""
+SELECT user_id, sum(p)::BIGINT AS prompt_tokens, sum(CASE WHEN tot <> 0 THEN tot ELSE p + c END)::BIGINT AS total_tokens FROM (
+  SELECT user_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS p, (event_id % 5) AS c, CASE WHEN event_id % 2 = 0 THEN 0 ELSE event_id % 100 END AS tot FROM events) GROUP BY user_id
+""")
+def token_usage(t):
+    k = F.coalesce(F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint"), F.lit(0))
+    none = F.lit(None)
+    pages = t("events").select(F.col("user_id").alias("document_id"), F.lit(0).alias("page"), F.lit(0).alias("page_index"), none.cast("string").alias("pdf_path"), none.cast("string").alias("model"), F.lit(True).alias("success"), F.lit(0.0).alias("latency"), none.cast("int").alias("rotation_applied"), k.alias("prompt_tokens"), (F.col("event_id") % 5).alias("completion_tokens"), F.when(F.col("event_id") % 2 == 0, 0).otherwise(F.col("event_id") % 100).alias("total_tokens"), F.lit("").alias("content"), F.col("event_id").alias("src_pos"))
+    return documents.merge_pages(pages).select(F.col("document_id").alias("user_id"), "prompt_tokens", "total_tokens")
+
+
+@query("SELECT o_custkey, count(DISTINCT o_orderkey)::BIGINT AS orders, count(DISTINCT (o_orderkey, l_suppkey))::BIGINT AS suppliers FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey")
+def nested_group(t):
+    rows = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "o_orderkey", "l_suppkey", F.col("l_linenumber").alias("pos"))
+    once = rows.groupBy("o_custkey", "o_orderkey", "l_suppkey").agg(F.min("pos").alias("pos"))
+    inner = once.groupBy("o_custkey", "o_orderkey").agg(F.array_sort(F.collect_list(F.struct("pos", "l_suppkey"))).alias("s"))
+    outer = inner.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", F.col("s.l_suppkey").alias("s")))).alias("o"))
+    return outer.select("o_custkey", F.size("o").cast("long").alias("orders"), F.aggregate("o", F.lit(0).cast("long"), lambda a, x: a + F.size(x.s)).alias("suppliers"))
+
+
+@query("SELECT source AS document_id, count(*)::BIGINT AS failed, string_agg(doc_id::VARCHAR, ', ' ORDER BY doc_id::VARCHAR) AS pages FROM documents WHERE n_chars < 300 GROUP BY source")
+def failed_pages(t):
+    return documents.page_failures(t("documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("page"), (F.col("n_chars") >= 300).alias("success")))
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY md5('7|' || doc_id), doc_id LIMIT 100")
+def sample_hash(t):
+    return profile.sample_rows(t("documents").select("doc_id", "source"), 100, 7, "doc_id")
+
+
+@query()
+def sample_random(t):
+    return profile.sample_random(t("documents").select("doc_id"), 100, 7)
+
+
+@query("""
+SELECT coalesce(c.k, s.k) AS k, CASE WHEN c.k IS NULL THEN 'right' WHEN s.k IS NULL THEN 'left' ELSE 'both' END AS side
+FROM (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_custkey % 7 = 0) c FULL JOIN (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_suppkey % 3 = 0) s ON c.k = s.k
+""")
+def distinct_sets(t):
+    c = t("customer").where("c_custkey % 7 = 0").select(F.col("c_nationkey").alias("k")).distinct().withColumn("l", F.lit(1))
+    s = t("supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("k")).distinct().withColumn("r", F.lit(1))
+    return c.join(s, "k", "full").select("k", F.when(F.col("l").isNull(), "right").when(F.col("r").isNull(), "left").otherwise("both").alias("side"))
+
+
+@query("""
+WITH u AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, length(text) AS n FROM conversations WHERE role = 'user'),
+     a AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, length(text) AS n FROM conversations WHERE role = 'assistant')
+SELECT conv_id, seq::BIGINT AS seq, u.n::BIGINT AS asked, a.n::BIGINT AS answered FROM u JOIN a USING (conv_id, seq)
+""")
+def zip_details(t):
+    side = lambda role, name: matching.occurrence(t("conversations").where(F.col("role") == role), ["conv_id"], "turn", "seq").select("conv_id", F.col("seq").cast("long").alias("seq"), F.length("text").cast("long").alias(name))
+    return side("user", "asked").join(side("assistant", "answered"), ["conv_id", "seq"])
+
+
+@query("""
+SELECT event_type, count(*)::BIGINT AS total, count(*) FILTER (WHERE value >= 10)::BIGINT AS succeeded, min(value) AS least, avg(value) AS mean FROM events GROUP BY event_type
+""")
+def run_summary(t):
+    ok = F.col("value") >= 10
+    return t("events").groupBy("event_type").agg(F.count("*").alias("total"), F.count_if(ok).alias("succeeded"), F.min("value").alias("least"), F.avg("value").alias("mean"))
+
+
+@query("""
+SELECT p_partkey, least(1.0::DOUBLE, 2000.0::DOUBLE / greatest(p_size * 100, p_retailprice), sqrt(3500000.0::DOUBLE / (p_size * 100 * p_retailprice))) AS scale,
+       CASE WHEN p_size * p_retailprice * (200 / 72.0::DOUBLE) * (200 / 72.0::DOUBLE) > 50000.0 THEN 200 / 72.0::DOUBLE * sqrt(50000.0::DOUBLE / (p_size * p_retailprice * (200 / 72.0::DOUBLE) * (200 / 72.0::DOUBLE))) ELSE 200 / 72.0::DOUBLE END AS zoom FROM part
+""")
+def page_geometry(t):
+    w, h = F.col("p_size") * 100, F.col("p_retailprice")
+    return t("part").select("p_partkey", image_scale(w, h).alias("scale"), render_zoom(F.col("p_size"), h, 200, 50000.0).alias("zoom"))
+
+
+@query("SELECT lang, CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE n_chars > 1000)::DOUBLE / count(*) ELSE 0 END AS long_share FROM documents GROUP BY lang")
+def guarded_ratio(t):
+    return t("documents").groupBy("lang").agg(ratio(F.count_if(F.col("n_chars") > 1000), F.count("*")).alias("long_share"))
+
+
+@query()
+def evaluate_entities(t):
+    """The whole evaluation: sentences of user turns as authors, of the next answers as predictions."""
+    from ..schema import EntitySchema, EvalConfig, Rule
+
+    rules = {"name": Rule("fuzzy", True, 0.8), "affiliations": Rule("fuzzy", True, 0.6)}
+    config = EvalConfig(EntitySchema({"name": "string", "affiliations": "array[string]"}, "Author"), rules, "name", ("strict", "fuzzy"))
+    parts = F.filter(F.split("text", r"[.\n]+"), lambda s: F.trim(s) != "")
+    people = F.transform(parts, lambda s: F.struct(F.trim(s).alias("name"), F.slice(F.split(F.trim(s), " "), 1, 3).alias("affiliations")))
+    docs = t("conversations").where("conv_id % 5 <> 4").select("conv_id", "role", F.parse_json(F.to_json(people)).alias("entities"), "turn")
+    gt = catalog.best_per(docs.where("role = 'user'"), "conv_id", F.col("turn")).select(F.col("conv_id").cast("string").alias("doc_id"), "entities")
+    pred = catalog.best_per(docs.where("role in ('user', 'assistant') and turn >= 1"), "conv_id", F.col("turn")).select(F.col("conv_id").cast("string").alias("doc_id"), "entities")
+    return evaluation.evaluate(gt, pred, config).report()
+
+
+@query()
+def repair_json(t):
+    """Event properties as one-element lists, some with stray quotes or cut short, mended."""
+    k = F.col("event_id") % 4
+    text = F.when(k == 0, F.concat(F.lit('[{"a":"say "hi" now"},'), "props", F.lit("]"))).when(k == 1, F.concat(F.lit("["), "props")).otherwise(F.concat(F.lit("["), "props", F.lit("]")))
+    return t("events").select("event_id", jsonfix.repair(text).alias("r")).select("event_id", "r.json", F.col("r.error").isNotNull().alias("failed"))
+
+
+@query()
+def model_stage(t):
+    """A deterministic stand-in for a model, called for every conversation turn."""
+    pages = t("conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page"), "text")
+    return stages.call_model(pages, lambda row: (row["text"] or "")[:40].upper(), wait=0.0).drop("latency")
+
+
+@query("SELECT event_type, count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS users FROM events GROUP BY event_type")
+def stream_ingest(t):
+    """Events through a file stream that ends when it has caught up, appended once and then summed up."""
+    import uuid
+
+    from ..streaming import ingest
+
+    events = t("events")
+    spark = events.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        import tempfile  # only where no shared folder is set, as in tests
+
+        root = tempfile.mkdtemp(prefix="folium-")
+    work = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    source = events.inputFiles()[0].rsplit("/", 1)
+    stream = ingest.drop_folder(spark, source[0], events.schema, pattern=source[1])
+    ingest.append_new(stream, f"{work}/out", f"{work}/state", key="event_id").awaitTermination()
+    landed = spark.read.schema(events.schema).option("recursiveFileLookup", True).parquet(f"{work}/out")
+    return landed.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
