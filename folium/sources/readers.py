@@ -29,7 +29,7 @@ def jsonl(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("error", F.when(F.col("record").isNull(), F.lit("invalid JSON")))
 
 
-def json_document(spark: SparkSession, path: str) -> DataFrame:
+def json_document(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(src_file, value, record variant, error): each file is one JSON document."""
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("src_file"), "value")
     rows = rows.withColumn("record", F.try_parse_json("value"))
@@ -39,24 +39,32 @@ def json_document(spark: SparkSession, path: str) -> DataFrame:
 def json_records(spark: SparkSession, path: str) -> DataFrame:
     """(src_file, src_pos, key, record, error) of a JSON list, a JSON object or JSON lines.
 
-    The form is found out for each file. key is the object's key where the file is one object of
-    records; an object that holds an id key itself is a single record, as is a file of one line.
+    The form is found out for each file from its first line: one that is an object by itself, with
+    more lines behind it, begins JSON lines, which are read line by line. Only other files are
+    read whole; if they don't parse, they are lines after all. key is the object's key where a
+    file is one object of records; an object that holds an id key itself is a single record, as is
+    a file of one line.
     """
-    whole = json_document(spark, path)
+    by_line = jsonl(spark, path)
+    forms = by_line.groupBy("src_file").agg(F.min_by(F.schema_of_variant("record"), "src_pos").alias("first"), F.count("*").alias("n"))
+    lined = F.coalesce(F.col("first").startswith("OBJECT"), F.lit(False)) & (F.col("n") > 1)
+    others = [r["src_file"] for r in forms.where(~lined).select("src_file").collect()]  # paths of files, which the driver lists anyway
+    none = F.lit(None).cast("string")
+    if not others:
+        return by_line.select("src_file", "src_pos", none.alias("key"), "record", "error")
+    whole = json_document(spark, others)
     kind = F.schema_of_variant("record")
-    one = F.lit(False)
+    own_id = F.lit(False)
     for k in ID_KEYS:
-        one = one | F.expr(f"try_variant_get(record, '$.{k}', 'string') is not null")
-    single = kind.startswith("OBJECT") & one
-    whole.createOrReplaceTempView("_folium_whole")
-    listed = whole.where(kind.startswith("ARRAY")).selectExpr("src_file", "try_variant_get(record, '$', 'array<variant>') as items")
-    listed = listed.select("src_file", F.posexplode("items").alias("src_pos", "record")).select("src_file", F.col("src_pos").cast("long").alias("src_pos"), F.lit(None).cast("string").alias("key"), "record", F.lit(None).cast("string").alias("error"))
-    keyed = whole.where(kind.startswith("OBJECT") & ~single).selectExpr("src_file", "try_variant_get(record, '$', 'map<string,variant>') as items")
-    keyed = keyed.select("src_file", F.posexplode("items").alias("src_pos", "key", "record")).select("src_file", F.col("src_pos").cast("long").alias("src_pos"), "key", "record", F.lit(None).cast("string").alias("error"))
-    alone = whole.where(single).select("src_file", F.lit(0).cast("long").alias("src_pos"), F.lit(None).cast("string").alias("key"), "record", F.lit(None).cast("string").alias("error"))
-    broken = whole.where("record is null").select("src_file").distinct()
-    by_line = jsonl(spark, path).join(broken, "src_file", "left_semi").select("src_file", "src_pos", F.lit(None).cast("string").alias("key"), "record", "error")
-    return listed.unionByName(keyed).unionByName(alone).unionByName(by_line)
+        own_id = own_id | F.expr(f"try_variant_get(record, '$.{k}', 'string') is not null")
+    single = kind.startswith("OBJECT") & own_id
+    shape = lambda df: df.select("src_file", F.col("src_pos").cast("long").alias("src_pos"), F.col("key").cast("string").alias("key"), "record", none.alias("error"))
+    listed = whole.where(kind.startswith("ARRAY")).select("src_file", F.posexplode(F.expr("try_variant_get(record, '$', 'array<variant>')")).alias("src_pos", "record")).withColumn("key", none)
+    keyed = whole.where(kind.startswith("OBJECT") & ~single).select("src_file", F.posexplode(F.expr("try_variant_get(record, '$', 'map<string,variant>')")).alias("src_pos", "key", "record"))
+    alone = whole.where(single).withColumns({"src_pos": F.lit(0), "key": none})
+    parsed = whole.where("record is not null").select("src_file").distinct()
+    lines_ = by_line.join(parsed, "src_file", "left_anti").select("src_file", "src_pos", none.alias("key"), "record", "error")
+    return shape(listed).unionByName(shape(keyed)).unionByName(shape(alone)).unionByName(lines_)
 
 
 def snapshot(spark: SparkSession, path: str) -> DataFrame:
@@ -103,7 +111,10 @@ def object_listing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pdf_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """(path, length, content) of PDF files, whatever the case of their suffix; fails if there are none."""
+    """(path, length, content) of PDF files, whatever the case of their suffix; fails if there are none.
+
+    Spark's binary source leaves files of no bytes out.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
     rows = rows.where(F.lower("path").endswith(".pdf")).select("path", "length", "content")
     if rows.select("path").isEmpty():
