@@ -144,6 +144,15 @@ def resolve(spark, a) -> int:
     listing = readers.object_listing(spark, a.listing).cache()
     out = catalog.resolve(wanted, listing, listing)
     writers.routed(out, {"resolved": F.col("status") != "not_found", "not_found": F.col("status") == "not_found"}, a.output)
+    if a.present:
+        there = readers.lines(spark, a.present).select(ids.base_name(F.col("value")).alias("name"))
+        found = catalog.by_base_name(out.where("status <> 'not_found'"), "url")
+        writers.jsonl(catalog.not_present(found, there, "name").drop("name"), f"{a.output}/pending", "overwrite")
+    return 0
+
+
+def prepare(spark, a) -> int:
+    writers.jsonl(catalog.input_manifest(readers.pdf_files(spark, a.input, not a.flat).select("path")).orderBy("pdf_path"), a.output, "overwrite")
     return 0
 
 
@@ -186,7 +195,8 @@ COMMANDS = {
     "check-pdfs": (check_pdfs, ["input", "output"], {}),
     "manifest": (manifest, ["input", "output"], {}),
     "batches": (batches, ["input", "output"], {"size": 0, "count": 0, "present": None}),
-    "resolve": (resolve, ["input", "listing", "output"], {}),
+    "resolve": (resolve, ["input", "listing", "output"], {"present": None}),
+    "prepare": (prepare, ["input", "output"], {"flat": False}),
     "merge": (merge, ["input", "output"], {}),
     "reassemble": (reassemble, ["input", "output"], {"no_page_markers": False, "skip_headers_footers": False}),
 }

@@ -80,3 +80,8 @@ def batches(df: DataFrame, *order: str, size: int | None = None, count: int | No
     if size is None:
         size = max(1, -(-df.count() // count))
     return numbered(df, *order).withColumn("batch", F.floor((F.col("n") - 1) / size).cast("long") + 1).drop("n")
+
+
+def input_manifest(files: DataFrame, path: str = "path") -> DataFrame:
+    """(document_id, pdf_path) of files; the id is the file's name without its last suffix."""
+    return files.select(F.regexp_replace(ids.base_name(F.col(path)), r"\.[^.]*$", "").alias("document_id"), F.col(path).alias("pdf_path"))

@@ -477,20 +477,81 @@ def model_stage(t):
 @query("SELECT event_type, count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS users FROM events GROUP BY event_type")
 def stream_ingest(t):
     """Events through a file stream that ends when it has caught up, appended once and then summed up."""
-    import uuid
-
+    from ..shared import shared_dir
     from ..streaming import ingest
 
     events = t("events")
     spark = events.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile  # only where no shared folder is set, as in tests
-
-        root = tempfile.mkdtemp(prefix="folium-")
-    work = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    work = shared_dir(spark)
     source = events.inputFiles()[0].rsplit("/", 1)
     stream = ingest.drop_folder(spark, source[0], events.schema, pattern=source[1])
     ingest.append_new(stream, f"{work}/out", f"{work}/state", key="event_id").awaitTermination()
     landed = spark.read.schema(events.schema).option("recursiveFileLookup", True).parquet(f"{work}/out")
     return landed.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+@query("SELECT o_orderkey, bool_and(coalesce(l_returnflag, 'N') = 'N') AS missing_all FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+def missing_all(t):
+    affs = F.when(F.col("l_returnflag") == "N", F.array().cast("array<string>")).otherwise(F.array("l_returnflag"))
+    people = t("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(affs.alias("affiliations"))).alias("authors"))
+    works = t("orders").select("o_orderkey").join(people, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return works.select("o_orderkey", profile.missing_all(F.col("authors")).alias("missing_all"))
+
+
+@query("SELECT event_id, user_id, event_type FROM events ORDER BY event_id LIMIT 25")
+def head_of_input(t):
+    return t("events").orderBy("event_id").limit(25).select("event_id", "user_id", "event_type")
+
+
+@query("""
+WITH r AS (SELECT o_custkey % 50 AS link, o_orderpriority AS author, o_orderstatus AS aff, min(o_orderkey) AS p FROM orders GROUP BY ALL),
+     a AS (SELECT link, author, min(p) AS p, string_agg(aff, ',' ORDER BY p) AS affs FROM r GROUP BY link, author)
+SELECT 'arXiv:' || link AS arxiv_id, string_agg(author || ':' || affs, ';' ORDER BY p) AS people FROM a GROUP BY link
+""")
+def annotation_documents(t):
+    """Orders as annotation rows: link, author, affiliation in first-seen order."""
+    from ..operators.predictions import annotations
+
+    rows = t("orders").select(F.concat((F.col("o_custkey") % 50).cast("string"), F.lit(".pdf")).alias("link"), F.lit("T").alias("title"), F.lit("en").alias("title_lang"), F.col("o_orderpriority").alias("author"), F.col("o_orderstatus").alias("affiliation"), F.col("o_orderkey").alias("src_pos"))
+    people = F.array_join(F.transform("authors", lambda a: F.concat(a["name"], F.lit(":"), F.array_join(a.affiliations, ","))), ";")
+    return annotations(rows).select("arxiv_id", people.alias("people"))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN 'U' || user_id ELSE 'U1,U2' END AS affs, (event_id % 5 <> 0)::INT AS n FROM events
+""")
+def clean_predictions(t):
+    """Answers of several shapes to author lists."""
+    from ..operators.predictions import clean_authors
+
+    k = F.col("event_id") % 5
+    user = F.concat(F.lit("U"), F.col("user_id").cast("string"))
+    text = F.when(k == 0, F.lit('[{"name":""},3]')).when(k == 1, F.concat(F.lit('[{"name":"A","affiliations":"'), user, F.lit('"},"x"]'))).otherwise(F.lit('[{"name":"A","affiliations":["U1","U2"]}]'))
+    rows = clean_authors(t("events").select("event_id", F.try_parse_json(text).alias("v")), "v")
+    return rows.select("event_id", F.nullif(F.array_join(F.flatten(F.col("authors.affiliations")), ","), F.lit("")).alias("affs"), F.size("authors").alias("n"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'valid' WHEN page_id % 3 = 1 THEN 'corrupted' ELSE 'password_protected' END AS status FROM pages")
+def pdf_classes(t):
+    from ..sources.readers import pdf_status
+
+    k = F.col("page_id") % 3
+    body = F.when(k == 0, F.lit("%PDF-1.7 /Type /Page \n%%EOF")).when(k == 1, F.col("url")).otherwise(F.lit("%PDF-1.7 /Encrypt 1 /Type /Page \n%%EOF")).cast("binary")
+    return t("pages").select("page_id", pdf_status(F.length(body), body).alias("status"))
+
+
+@query()
+def completion_rewards(t):
+    """Format and answer rewards of made-up completions for each order."""
+    from ..operators.rewards import rewards
+
+    name = F.concat(F.lit("Person "), F.col("o_custkey").cast("string"))
+    person = F.struct(name.alias("name"), F.array("o_orderpriority").alias("affiliations"))
+    said = F.when(F.col("o_orderkey") % 3 == 0, F.lit("no answer")).otherwise(F.concat(F.lit("</think> "), F.to_json(F.array(person))))
+    rows = t("orders").where("o_orderkey % 40 = 0").select("o_orderkey", said.alias("said"), F.array(person).alias("want"))
+    return rewards(rows, "o_orderkey", "said", "want")
+
+
+@query("SELECT regexp_replace(split_part(split_part(url, '?', 1), '/', -1), '\\.[^.]*$', '') AS document_id, url AS pdf_path FROM pages")
+def input_manifest(t):
+    return catalog.input_manifest(t("pages").select("url"), "url")
