@@ -552,6 +552,6 @@ def completion_rewards(t):
     return rewards(rows, "o_orderkey", "said", "want")
 
 
-@query("SELECT regexp_replace(split_part(split_part(url, '?', 1), '/', -1), '\\.[^.]*$', '') AS document_id, url AS pdf_path FROM pages")
+@query(r"SELECT regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)/*$', 1), '\.[^.]*$', '') AS document_id, url AS pdf_path FROM pages")
 def input_manifest(t):
     return catalog.input_manifest(t("pages").select("url"), "url")
