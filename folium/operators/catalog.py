@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as ids
+from ..shared import table
 
 
 def best_per(df: DataFrame, key: str | list[str], *order: Column) -> DataFrame:
@@ -65,9 +66,11 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     """Adds n = 1, 2, ... over a global order, without bringing rows into one task.
 
     Rows are range-sorted; each partition counts its own, and the partitions' first numbers are
-    joined on. Only the counts of the partitions are summed in one place.
+    joined on. Only the counts of the partitions are summed in one place. The sorted rows are kept
+    in a table, since a second range sort could draw other bounds.
     """
     rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    rows = table(rows)
     counts = rows.groupBy("_p").agg(F.count("*").alias("c"), F.min("_m").alias("_lo"))
     first = counts.withColumn("base", F.sum("c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", "_lo", F.coalesce("base", F.lit(0)).alias("base"))
     return rows.join(F.broadcast(first), "_p").withColumn("n", F.col("base") + F.col("_m") - F.col("_lo") + 1).drop("_p", "_m", "_lo", "base")  # a row for each partition
