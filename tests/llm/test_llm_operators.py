@@ -256,7 +256,7 @@ def test_components(spark):
 def test_lines(spark):
     rows = [(i, f"start {i}\n shared \nrare\n\nend {i}" if i < 12 else f"rare\nalone {i}", f"s{i}") for i in range(14)]
     rows += [(50, None, "s1"), (51, "", "s1"), (None, "shared\nx", None), (0, "shared", "s0"), (60, "shared\n" * 3, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("pos", F.lit(1)).withColumn("line", F.lit("q"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("q") for c in ("pos", "line", "k1", "gone", "row", "_n_lines")})
     got = {(r["doc_id"], r["_n_lines"]): (r["_n_removed"], r["text"]) for r in remove_shared_lines(df, min_sites=12).collect()}
     assert got[3, 5] == (2, "start 3\n\nend 3") and got[13, 2] == (1, "alone 13")
     assert got[50, 0] == (0, None) and got[51, 1] == (0, "") and got[None, 2] == (1, "x") and got[0, 1] == (1, "") and got[60, 4] == (3, "")
@@ -348,9 +348,10 @@ def test_raking(spark):
 def test_mixing(spark):
     rows = [(i, "word " * (5 + i % 7), "en" if i % 3 else "de", "big" if i % 2 else f"s{i % 5}", 1) for i in range(3000)] + [(None, None, None, None, None), (None, "x", None, "big", 1)]
     df = spark.createDataFrame(rows, DOCS)
+    df = df.withColumns({c: F.lit("q") for c in ("p", "n", "topic", "row", "_topic")})
     out = mix_sources(df, targets={"source": {"big": 0.2}, "lang": {}}, temperature=1.0)
     got = out.collect()
-    assert len(got) == len(rows) and out.columns[:5] == df.columns
+    assert len(got) == len(rows) and out.columns[:9] == df.columns[:9] and len(set(out.columns)) == 13
     assert max(r["_probability"] for r in got) == pytest.approx(1.0) and min(r["_probability"] for r in got) > 0
     kept = [r for r in got if r["_sampled"]]
     share = sum(r["_tokens"] for r in kept if r["source"] == "big") / sum(r["_tokens"] for r in kept)
