@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import shared_dir
+from ..shared import table
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -131,25 +131,19 @@ def by_key(key: np.ndarray, *columns: np.ndarray):
         yield int(key[a]), [c[order[a:b]] for c in columns]
 
 
-def table(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """Connected components of edges (a long, b long): rows (v, component), the smallest id of each.
 
     Alternates large-star and small-star steps, each an aggregation with map-side combine and a
-    join that adaptive execution can split, and writes the edges of each round to the shared
-    folder. Ends when a round changes nothing.
+    join, and writes the edges of each round to the shared folder. The smallest neighbours are
+    written too, so that the join has plain shuffles below it and adaptive execution can split the
+    rows of a hub that very many others link to. Ends when a round changes nothing.
     """
     e = table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
+        least = table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = large.distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
