@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import table
+
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "ԁ": "d", "ɡ": "g", "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ν": "v", "ι": "i", "κ": "k", "τ": "t", "υ": "u", "ⅼ": "l", "ı": "i"}
 # Digits and signs written for letters.
@@ -112,8 +114,9 @@ def fit(sample: DataFrame, least_share: float = 0.005, most_words: int = 5000) -
                 key = min((hash32(" ".join(w[i : i + 6])) for i in range(max(1, len(w) - 5))), default=0)
                 yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([key], pa.int64()), pa.array([sorted({x for x in w if 3 <= len(x) <= 30})], pa.list_(pa.string()))], names=["y", "k", "words"])
 
+    sample = table(sample)  # small, and read three times
     once = sample.mapInArrow(words, "y int, k long, words array<string>").groupBy("k").agg(F.max_by("words", "y").alias("words"), F.max("y").alias("y"))
-    once = once.where("words is not null")
+    once = table(once.where("words is not null"))
     total = once.agg(F.sum("y"), F.count("*")).first()
     toxic, rows = int(total[0] or 0), int(total[1])
     found = []
