@@ -140,6 +140,23 @@ def test_vectors(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dims", [1, 2, 3, 5, 10, 15, 16, 17, 48, 200])
+def test_caps_catch_pairs_at_the_threshold(dims):
+    from folium.llm.embedding_dedup import CODES, ProductCode
+
+    rng = np.random.default_rng(dims)
+    x = rng.standard_normal((400, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((400, dims))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = x if dims == 1 else 0.95 * x + np.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    found = np.zeros(400, dtype=bool)
+    for c in range(CODES):
+        code = ProductCode(dims, 50_000, 0.95, c)
+        found |= np.array([bool(set(a) & set(b)) for a, b in zip(code.decode(x), code.decode(y), strict=True)])
+    assert found.mean() > 0.995
+
+
 def test_tiles_give_the_same(spark, monkeypatch):
     from folium.llm import embedding_dedup
 
