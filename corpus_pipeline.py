@@ -38,8 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents so that sources, languages and topics are somewhat evener than they are."""
-    return mix_sources(docs, temperature=0.9).where("_sampled").select(*docs.columns)
+    """Samples documents so that sources are somewhat evener than they are; languages and topics keep their shares."""
+    return mix_sources(docs, targets={"lang": {}, "topic": {}}, temperature=0.9).where("_sampled").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
