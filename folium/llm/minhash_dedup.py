@@ -122,8 +122,10 @@ def linked(h: np.ndarray, first: np.ndarray, percent: int) -> np.ndarray:
                 at = np.flatnonzero(pair)
                 flat[at] += pair[at]
                 flat[at % n * n + at // n] += pair[at]
-    union = size[:, None] + size[None, :] - common
-    near = 100.0 * common >= percent * union
+    near = np.zeros((n, n), dtype=bool)
+    for a in range(0, n, 256):
+        both = common[a : a + 256].astype(np.int64)
+        near[a : a + 256] = 100 * both >= percent * (size[a : a + 256, None] + size[None, :] - both)
     near[size == 0] = False
     np.fill_diagonal(near, False)
     return near
