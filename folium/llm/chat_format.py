@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import table
+
 
 def collapse_conversations(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Renders the conversations whose turns aren't the beginning of a longer conversation's.
@@ -25,10 +27,12 @@ def collapse_conversations(df: DataFrame, id_col: str = "conv_id", turn_col: str
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = turns.withColumn("i", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("c")))
     hashed = placed.withColumns({"p1": F.expr("bit_xor(xxhash64(i, r, x))").over(so_far), "p2": F.expr("bit_xor(xxhash64(17, x, r, i))").over(so_far)})
-    heads = hashed.select("c", "i", "n", "p1", "p2")
+    heads = table(hashed.select("c", "i", "n", "p1", "p2"))
     whole = heads.where("i = n").select("c", "n", "p1", "p2")
     # for each beginning: the longest conversation with it, and the first that ends there
     known = heads.groupBy("i", "p1", "p2").agg(F.max("n").alias("longest"), F.min(F.when(F.col("i") == F.col("n"), F.col("c"))).alias("first"), F.sum((F.col("i") == F.col("n")).cast("long")).alias("ends"))
+    # from a table, so that joins have plain shuffles on both sides and hot beginnings can be split
+    known = table(known)
     same = [F.col("n") == F.col("i"), F.col("w.p1") == F.col("k.p1"), F.col("w.p2") == F.col("k.p2")]
     maximal = whole.alias("w").join(known.alias("k"), [*same, (F.col("longest") > F.col("n")) | (F.col("first") < F.col("c"))], "left_anti").select("c")
     inner = heads.join(maximal, "c", "left_semi").join(known.where("ends > 0").select("i", "p1", "p2", "ends"), ["i", "p1", "p2"]).groupBy("c").agg((F.sum("ends") - 1).alias("n_prefixes"))
