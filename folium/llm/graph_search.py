@@ -139,7 +139,7 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
 
     Vectors that are null, zero, or hold null or non-finite components take no part, as queries or
     candidates, nor do rows with a null id; vectors of different lengths aren't compared. A query
-    with fewer than k candidates returns all of them. Repeated ids count once.
+    with fewer than k candidates returns all of them. A repeated id counts once, with its nearest vector.
     """
     rows = usable(df, id_col, vector_col).dropDuplicates(["id", "v"])
     asked = usable(queries, id_col, vector_col).dropDuplicates(["id", "v"])
@@ -163,10 +163,13 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
                 for i, near in enumerate(found):
                     near = near[near >= 0]
                     d = np.sqrt(((x[near] - block[i]) ** 2).sum(axis=1))
-                    got = sorted((dist, other) for dist, node in sorted(zip(d.tolist(), near.tolist(), strict=True))[: k + 1 + 64] for other in ids[node][: k + 1] if other != own[a + i])[:k]
-                    out[0].extend([own[a + i]] * len(got))
-                    out[1].extend(o for _, o in got)
-                    out[2].extend(s for s, _ in got)
+                    best: dict[int, float] = {}  # of an id with several vectors the nearest counts
+                    for dist, other in sorted((dist, other) for dist, node in zip(d.tolist(), near.tolist(), strict=True) for other in ids[node]):
+                        if other != own[a + i] and len(best) < k:
+                            best.setdefault(other, dist)
+                    out[0].extend([own[a + i]] * len(best))
+                    out[1].extend(best)
+                    out[2].extend(best.values())
         return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
     found = reps.groupBy("dims", "shard").cogroup(spread.groupBy("dims", "shard")).applyInArrow(search, "query_id long, vec_id long, score double")

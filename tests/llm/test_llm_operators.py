@@ -182,7 +182,7 @@ def test_graph_recall():
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((300, 8))
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + k, x[7].tolist()) for k in range(20)] + [(2000, None), (2001, [0.0] * 8), (2100, [1.0])]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + k, x[7].tolist()) for k in range(20)] + [(2000, None), (2001, [0.0] * 8), (2100, [1.0]), (5, x[5].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
     got = {}
     for r in nearest(df, df.where("vec_id % 100 = 0"), shard_rows=100).collect():
