@@ -22,6 +22,14 @@ def strict_pairs(gt: DataFrame, pred: DataFrame, keys: list[str], idx: str = "id
     return pairs.drop("occ"), g.join(p, on, "left_anti").drop("occ").withColumnRenamed("gt_idx", idx), p.join(g, on, "left_anti").drop("occ").withColumnRenamed("pred_idx", idx)
 
 
+def strict_counts(gt: DataFrame, pred: DataFrame, doc: str, key: str) -> DataFrame:
+    """(doc, tp, fp, fn) of strict one-to-one pairs without making them: of equal keys the smaller count pairs off."""
+    side = lambda df, g, p: df.select(doc, key, F.lit(g).alias("g"), F.lit(p).alias("p"))
+    n = side(gt, 1, 0).unionByName(side(pred, 0, 1)).groupBy(doc, key).agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
+    n = n.withColumn("m", F.when(F.col(key).isNull(), 0).otherwise(F.least("g", "p")))
+    return n.groupBy(doc).agg(F.sum("m").alias("tp"), F.sum(F.col("p") - F.col("m")).alias("fp"), F.sum(F.col("g") - F.col("m")).alias("fn"))
+
+
 def fuzzy_pairs(gt: DataFrame, pred: DataFrame, doc: str, text: str, threshold: float, idx: str = "idx") -> DataFrame:
     """(doc, gt_idx, pred_idx, score): the best one-to-one assignment of similar texts in each document.
 

@@ -199,10 +199,7 @@ SELECT coalesce(g.doc_id, p.doc_id) AS doc_id, count(*) FILTER (WHERE g.idx IS N
 FROM g FULL JOIN p ON g.doc_id = p.doc_id AND g.norm = p.norm AND g.occ = p.occ GROUP BY 1
 """)
 def strict_match_counts(t):
-    pairs, missed, extra = matching.strict_pairs(*_keyed(t), ["doc_id", "norm"])
-    n = lambda df, name: df.select("doc_id", *(F.lit(int(c == name)).alias(c) for c in ("tp", "fp", "fn")))
-    rows = n(pairs, "tp").unionByName(n(missed, "fn")).unionByName(n(extra, "fp"))
-    return rows.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    return matching.strict_counts(*_keyed(t), "doc_id", "norm")
 
 
 @query("""
