@@ -136,18 +136,20 @@ def fit(sample: DataFrame, least_share: float = 0.005, most_words: int = 5000) -
     return model
 
 
-def _count(batches):
-    """Document frequencies of words and stems, summed within each batch."""
+def _count(batches, rows_each: int = 500):
+    """Document frequencies of words and stems, summed over some rows at a time to bound memory."""
     from collections import Counter
 
-    for batch in batches:
-        toxic, rows = Counter(), Counter()
-        for y, words in zip(batch.column("y").to_pylist(), batch.column("words").to_pylist(), strict=True):
-            own = {*words, *(w[:k] + "*" for w in words for k in STEMS if k < len(w))}
-            rows.update(own)
-            if y:
-                toxic.update(own)
-        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array([toxic[w] for w in rows], pa.int64()), pa.array(list(rows.values()), pa.int64())], names=["w", "t", "n"])
+    for whole in batches:
+        for start in range(0, whole.num_rows, rows_each):
+            batch = whole.slice(start, rows_each)
+            toxic, rows = Counter(), Counter()
+            for y, words in zip(batch.column("y").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                own = {*words, *(w[:k] + "*" for w in words for k in STEMS if k < len(w))}
+                rows.update(own)
+                if y:
+                    toxic.update(own)
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array([toxic[w] for w in rows], pa.int64()), pa.array(list(rows.values()), pa.int64())], names=["w", "t", "n"])
 
 
 def hash32(s: str) -> int:
