@@ -21,12 +21,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+class Tables:
+    """Reads tables of a folder by name."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def path(self, name: str) -> str:
+        return f"{self.sf_dir}/{name}.parquet"
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(name))
+
+
 def query(sql: str | None = None):
     """Registers a function of (table reader) under its name, with its SQL."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            return f(Tables(spark, sf_dir))
 
         run.__doc__ = f.__doc__
         QUERIES[f.__name__] = run
@@ -480,8 +493,7 @@ def stream_ingest(t):
     events = t("events")
     spark = events.sparkSession
     work = shared_dir(spark)
-    source = events.inputFiles()[0].rsplit("/", 1)
-    stream = ingest.drop_folder(spark, source[0], events.schema, pattern=source[1])
+    stream = ingest.drop_folder(spark, t.path("events"), events.schema)
     ingest.append_new(stream, f"{work}/out", f"{work}/state", key="event_id").awaitTermination()
     landed = spark.read.schema(events.schema).option("recursiveFileLookup", True).parquet(f"{work}/out")
     return landed.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))

@@ -8,7 +8,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def drop_folder(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int | None = None, pattern: str | None = None) -> DataFrame:
-    """A stream of the files of a folder."""
+    """A stream of the files of a folder, or of one file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).isFile(where):
+        path, pattern = path.rsplit("/", 1)
     reader = spark.readStream.format(fmt).schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
