@@ -557,7 +557,7 @@ def completion_rewards(t):
     name = F.concat(F.lit("Person "), F.col("o_custkey").cast("string"))
     person = F.struct(name.alias("name"), F.array("o_orderpriority").alias("affiliations"))
     said = F.when(F.col("o_orderkey") % 3 == 0, F.lit("no answer")).otherwise(F.concat(F.lit("</think> "), F.to_json(F.array(person))))
-    rows = t("orders").where("o_orderkey % 40 = 0").select("o_orderkey", said.alias("said"), F.array(person).alias("want"))
+    rows = t("orders").select("o_orderkey", said.alias("said"), F.array(person).alias("want"))
     return rewards(rows, "o_orderkey", "said", "want")
 
 

@@ -1,8 +1,11 @@
 """Queries over the whole of small tables, against SQL or plain versions."""
 
+import json
+
 import duckdb
 import pytest
 
+from folium.functions.similarity import indel
 from folium.plans import catalogue
 
 
@@ -24,3 +27,32 @@ def test_stream_ingest_reads_every_file(spark, tmp_path, files):
     want = con.execute(catalogue.ORACLES["stream_ingest"]).fetchall()
     got = rows(catalogue.QUERIES["stream_ingest"](spark, str(tmp_path)), ["event_type", "n", "users"])
     assert got == sorted(tuple(shown(x) for x in r) for r in want) and sum(int(r[1]) for r in got) == 60
+
+
+def plain_iou(source, target):
+    """IoU of two lists of texts, and each source's nearest target from 90 per cent on."""
+    near = {}
+    for i, a in enumerate(source):
+        score, j = max(((indel(a, b), -j) for j, b in enumerate(target)), default=(0, 0))
+        if score >= 0.9:
+            near[i] = -j
+    whole = len(source) + len(target) - len(set(near.values()))
+    return (len(near) / whole if whole else None), near
+
+
+def test_completion_rewards_scores_every_order(spark, tmp_path):
+    orders = [(k, 1000 + 37 * k % 11, ["1-URGENT", "5-LOW"][k % 2]) for k in range(1, 101)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    want = []
+    for key, cust, priority in orders:
+        answer = [{"name": f"Person {cust}", "affiliations": [priority]}]
+        said = "no answer" if key % 3 == 0 else "</think> " + json.dumps(answer)
+        if "</think>" not in said:
+            want.append((key, 0, 0.0))
+            continue
+        got = json.loads(said.split("</think> ")[1])
+        total, near = plain_iou([a["name"] for a in got], [a["name"] for a in answer])
+        total += sum(plain_iou(got[i]["affiliations"], answer[j]["affiliations"])[0] for i, j in near.items())
+        want.append((key, 1, total))
+    df = catalogue.QUERIES["completion_rewards"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in df.collect()) == want
