@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as ids
@@ -456,16 +456,22 @@ def guarded_ratio(t):
 
 @query()
 def evaluate_entities(t):
-    """The whole evaluation: sentences of user turns as authors, of the next answers as predictions."""
+    """The whole evaluation: sentences of user turns as authors, of the next answers as predictions.
+
+    Each user turn is a document; one that the user's next turn or the end follows has no prediction.
+    """
     from ..schema import EntitySchema, EvalConfig, Rule
 
     rules = {"name": Rule("fuzzy", True, 0.8), "affiliations": Rule("fuzzy", True, 0.6)}
     config = EvalConfig(EntitySchema({"name": "string", "affiliations": "array[string]"}, "Author"), rules, "name", ("strict", "fuzzy"))
     parts = F.filter(F.split("text", r"[.\n]+"), lambda s: F.trim(s) != "")
     people = F.transform(parts, lambda s: F.struct(F.trim(s).alias("name"), F.slice(F.split(F.trim(s), " "), 1, 3).alias("affiliations")))
-    docs = t("conversations").where("conv_id % 5 <> 4").select("conv_id", "role", F.parse_json(F.to_json(people)).alias("entities"), "turn")
-    gt = catalog.best_per(docs.where("role = 'user'"), "conv_id", F.col("turn")).select(F.col("conv_id").cast("string").alias("doc_id"), "entities")
-    pred = catalog.best_per(docs.where("role in ('user', 'assistant') and turn >= 1"), "conv_id", F.col("turn")).select(F.col("conv_id").cast("string").alias("doc_id"), "entities")
+    turns = t("conversations").where("role in ('user', 'assistant')").select("conv_id", "turn", "role", F.to_json(people).alias("said"))
+    after = Window.partitionBy("conv_id").orderBy("turn")
+    asked = turns.withColumns({"next_role": F.lead("role").over(after), "answer": F.lead("said").over(after)}).where("role = 'user'")
+    asked = asked.withColumn("doc_id", F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")))
+    gt = asked.select("doc_id", F.parse_json("said").alias("entities"))
+    pred = asked.where("next_role = 'assistant'").select("doc_id", F.parse_json("answer").alias("entities"))
     return evaluation.evaluate(gt, pred, config).report()
 
 

@@ -1,11 +1,13 @@
 """Queries over the whole of small tables, against SQL or plain versions."""
 
 import json
+import re
+from collections import Counter
 
 import duckdb
 import pytest
 
-from folium.functions.similarity import indel
+from folium.functions.similarity import indel, pair_up, plain
 from folium.plans import catalogue
 
 
@@ -56,3 +58,28 @@ def test_completion_rewards_scores_every_order(spark, tmp_path):
         want.append((key, 1, total))
     df = catalogue.QUERIES["completion_rewards"](spark, str(tmp_path))
     assert sorted(tuple(r) for r in df.collect()) == want
+
+
+def test_evaluate_entities_takes_every_user_turn(spark, tmp_path):
+    turns = []
+    for c in range(10):
+        for k in range(3 + c % 4):
+            said = f"The same words {c} {k // 2}. Only {'user asks' if k % 2 == 0 else 'model says'} this {k}.\nNearly equal sentence numbr{'' if k % 2 else 's'} {k // 2}"
+            turns.append((c, 2 * k + 1, "assistant" if k % 2 else "user", said))
+        turns.append((c, 0, "system", "Be brief."))
+    turns += [(3, 50, "user", "Asked twice. Once"), (3, 51, "user", "Asked twice"), (3, 52, "tool", "Asked twice"), (3, 53, "assistant", "Asked twice.")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    sentences = lambda s: [plain(x) for x in re.split(r"[.\n]+", s) if x.strip()]
+    want = {"strict": Counter(), "fuzzy": Counter()}
+    talk = sorted(x for x in turns if x[2] in ("user", "assistant"))
+    for (c, _, role, said), (d, _, next_role, answer) in zip(talk, talk[1:], strict=False):
+        if c != d or (role, next_role) != ("user", "assistant"):
+            continue
+        g, p = Counter(sentences(said)), Counter(sentences(answer))
+        n = {"strict": (g & p).total()}
+        n["fuzzy"] = n["strict"] + len(pair_up(sorted((g - p).elements()), sorted((p - g).elements()), 0.8))
+        for mode, tp in n.items():
+            want[mode].update(tp=tp, fp=p.total() - tp, fn=g.total() - tp)
+    got = catalogue.QUERIES["evaluate_entities"](spark, str(tmp_path)).where("category like 'entity:%'").collect()
+    assert {r["mode"]: {k: r[k] for k in ("tp", "fp", "fn")} for r in got} == {mode: dict(n) for mode, n in want.items()}
+    assert want["fuzzy"]["tp"] > want["strict"]["tp"] > 10
