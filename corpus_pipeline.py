@@ -16,6 +16,7 @@ from folium.llm.minhash_dedup import near_documents
 from folium.llm.mixing import mix_sources
 from folium.llm.packing import pack_documents
 from folium.llm.queries import tokenizer_path
+from folium.operators.catalog import best_per
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +33,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
-    kept = near_documents(docs, percent=85).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").select(*docs.columns)
+    """Keeps the document with the smallest id of each group of near copies (similarity of 0.8 or more), as one row.
+
+    Of rows with one id the longest text stays. A row without an id gets one made of its columns,
+    from 2^62 on, so that its copies go too.
+    """
+    made = F.shiftrightunsigned(F.xxhash64(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"})), 2) + F.lit(2**62)
+    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), made))
+    near = near_documents(rows, "_id", percent=80).where("kept")
+    # rows without words are kept beside others with their id, which may be copies
+    kept = near.groupBy("_id").agg(F.count("*").alias("_c"), F.max(F.col("n_shingles") > 0).alias("_words"))
+    stay = rows.join(kept, "_id").where(F.coalesce(F.col("text").rlike(r"[^\t-\r ]"), F.lit(False)) == F.col("_words"))
+    first = best_per(stay.where("_c > 1"), "_id", F.desc(F.length("text")), *(F.col(c) for c in docs.columns))
+    return stay.where("_c = 1").select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
