@@ -14,6 +14,8 @@ _RNG = np.random.default_rng(20240229)
 BYTE_CODES = _RNG.integers(0, 2**64, 256, dtype=_U)
 MULT = int(_RNG.integers(0, 2**64, dtype=_U)) | 1
 INV = pow(MULT, -1, 2**64)
+#: Codes for a second, independent hash.
+BYTE_CODES_2 = np.random.default_rng(77003).integers(0, 2**64, 256, dtype=_U)
 BLOCK_BYTES = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
@@ -44,7 +46,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
     """64-bit hashes of the byte spans [starts, ends), which are in order and don't overlap."""
     out = np.empty(len(starts), dtype=_U)
     a = 0
@@ -55,7 +57,7 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         p, inv = power_table(n + 1)
         c = np.empty(n + 1, dtype=_U)
         c[0] = 0
-        np.cumsum(BYTE_CODES[buf[s0 : s0 + n]] * p[:n], out=c[1:])
+        np.cumsum(codes[buf[s0 : s0 + n]] * p[:n], out=c[1:])
         s, e = starts[a:b] - s0, ends[a:b] - s0
         out[a:b] = mix((c[e] - c[s]) * inv[s] + (e - s).astype(_U))
         a = b

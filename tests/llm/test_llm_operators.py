@@ -71,6 +71,43 @@ def test_substrings(spark):
     assert dedup_substrings(df.limit(0)).count() == 0
 
 
+def test_substrings_of_repeated_ids(spark):
+    rng = np.random.default_rng(2)
+    a, b, c = (words(rng, 30) for _ in range(3))
+    long = words(rng, 400)
+    texts = [(1, " ".join(a)), (5, " ".join(a)), (5, " ".join(b)), (5, None), (6, " ".join(b[:20] + c)), (7, " ".join(c)), (7, " ".join(c)), (7, " ".join(c + a))]
+    texts += [(8, " ".join(long)), (8, " ".join(long + long)), (9, " ".join(long[100:300])), (9, " ".join(words(rng, 20) + long[:150] + words(rng, 20)))]
+    texts += [(11, " ".join(a + b))] * 40 + [(11, " ".join(b + [f"x{k}"] + c)) for k in range(40)]
+    got = sorted((tuple(r) for r in dedup_substrings(table(spark, texts, 5)).collect()), key=str)
+    assert got == removed_by_hand(texts)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("ab"), max_size=30), min_size=1, max_size=5), st.integers(0, 4), st.booleans())
+def test_late_windows_compare_words(texts, same, clash):
+    from unittest import mock
+
+    from folium.llm import substring_dedup
+
+    # even if all windows had one fingerprint
+    hashed = substring_dedup.fingerprints
+    with mock.patch.object(substring_dedup, "fingerprints", (lambda w, at, n: np.zeros(len(at), np.uint64)) if clash else hashed):
+        check_late(texts, same, substring_dedup.late_windows)
+
+
+def check_late(texts, same, late_windows):
+
+    numbers = np.array([ord(w) for t in texts for w in t], dtype=np.int64)
+    spans = [(k, p, sum(map(len, texts[:k])) + p) for k, t in enumerate(texts) for p in range(len(t) - 2)]
+    doc = np.array([min(k, same) for k, _, _ in spans], dtype=np.int64)
+    got = late_windows(numbers, np.array([x for _, _, x in spans], dtype=np.int64), doc, 3)
+    first = {}
+    for (k, p, _), d in zip(spans, doc, strict=True):
+        w = tuple(texts[k][p : p + 3])
+        first[w] = min(first.get(w, d), d)
+    assert got.tolist() == [bool(first[tuple(texts[k][p : p + 3])] < d) for (k, p, _), d in zip(spans, doc, strict=True)]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=40), min_size=1, max_size=4))
 def test_equal_windows_have_equal_anchors(texts):
