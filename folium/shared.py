@@ -26,4 +26,15 @@ def table(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Deletes what table() wrote, once nothing reads it any more."""
+    for df in tables:
+        spark, path = df.sparkSession, getattr(df, "_table_path", None)
+        if path:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
