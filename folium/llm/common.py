@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import table
+from ..shared import drop_tables, table
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -139,23 +139,27 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     Alternates large-star and small-star steps, each an aggregation with map-side combine and a
     join, and writes the edges of each round to the shared folder. The smallest neighbours are
     written too, so that the join has plain shuffles below it and adaptive execution can split the
-    rows of a hub that very many others link to. Ends when a round changes nothing.
+    rows of a hub that very many others link to. Ends when a round changes nothing. Each round's
+    tables are deleted when the next one's are there.
     """
     e = table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    for _ in range(rounds):
+    for _ in range(0 if e.isEmpty() else rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = large.distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = table(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        new = table(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        drop_tables(e, least)
+        e = new
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before == now:
             break
         before = now
     else:
-        raise RuntimeError("components did not settle")
+        if before is not None:
+            raise RuntimeError("components did not settle")
     roots = e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "v")
     return roots.unionByName(roots.select(F.col("component").alias("v"), "component").distinct())

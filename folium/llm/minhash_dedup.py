@@ -7,20 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix, slices, span_hashes, table, text_buffer, word_spans
+from .common import components, mix, partition_count, slices, span_hashes, table, text_buffer, word_spans
 
 _U = np.uint64
 ROWS, BANDS = 6, 32
 BINS = ROWS * BANDS
-#: Sets up to the first size get one minimum for each of BINS permutations, since one permutation
-#: leaves most of their bins empty; sets from the second size on get one-permutation signatures.
-#: Sets between have both, so that no pair that may be linked lacks a common kind.
-SMALL, LARGE = 240, 170
-#: Shingles and documents of a block that one task compares; larger groups are dealt in pairs of blocks.
-BLOCK_SHINGLES, BLOCK_DOCS = 2_000_000, 2048
+#: Shingles, and documents on either side, of a block that is compared at once.
+BLOCK_SHINGLES, BLOCK_DOCS, BLOCK_LESS = 1_000_000, 1024, 256
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_MULTS = np.random.default_rng(1234567).integers(0, 2**64, BINS, dtype=_U) | _U(1)
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,14 +65,6 @@ def one_permutation(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def permutations(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Minimum of each of BINS permutations for each set; no set is empty."""
-    out = np.empty((len(first) - 1, BINS), dtype=_U)
-    for k in range(BINS):
-        out[:, k] = np.minimum.reduceat(mix(h * _MULTS[k]), first[:-1])
-    return out
-
-
 def band_keys(signatures: np.ndarray, salt: int) -> np.ndarray:
     key = np.full((len(signatures), BANDS), salt, dtype=_U) + np.arange(BANDS, dtype=_U)
     for r in range(ROWS):
@@ -85,50 +72,57 @@ def band_keys(signatures: np.ndarray, salt: int) -> np.ndarray:
     return key
 
 
-def _signed(h: np.ndarray, first: np.ndarray) -> list[list[int]]:
+def _signed(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """The band keys of each set; none of an empty one."""
+    some = np.flatnonzero(np.diff(first))
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * (len(first) - 1)
+    if len(some):
+        for i, row in zip(some.tolist(), band_keys(one_permutation(h, first[np.r_[some, len(first) - 1]]), 97).view(np.int64), strict=True):
+            out[i] = row
+    return out
+
+
+def _enough(both: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    both = both.astype(np.int64)
+    return (both > 0) & (100 * both >= percent * (a + b - both))
+
+
+def near_centres(h: np.ndarray, first: np.ndarray, centre: np.ndarray, of: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets are near the centre set of their group; centre: the set that is the centre of each group, of: each set's group."""
+    size = np.diff(first)
+    tag = mix(np.arange(len(centre)).astype(_U) + _U(0x1F123BB5))
+    group = np.repeat(of, size)
+    own = np.repeat(first[centre], size[centre]) + np.arange(size[centre].sum()) - np.repeat(np.cumsum(size[centre]) - size[centre], size[centre])
+    known = np.sort(mix(h[own] ^ tag[np.repeat(np.arange(len(centre)), size[centre])]))
+    asked = mix(h ^ tag[group])
+    hit = known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked if len(known) else np.zeros(len(h), bool)
+    run = np.r_[0, np.cumsum(hit)]
+    return _enough(run[first[1:]] - run[first[:-1]], size, size[centre][of], percent)
+
+
+def near_cross(h: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of the left are near which of the right. Counted over shingles that both sides have."""
     size = np.diff(first)
-    keys: list[list[np.ndarray]] = [[] for _ in size]
-    for some, sign, salt in ((np.flatnonzero((size > 0) & (size <= SMALL)), permutations, 11), (np.flatnonzero(size >= LARGE), one_permutation, 97)):
-        if len(some):
-            own = np.repeat(first[some], size[some]) + np.arange(size[some].sum()) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
-            part = np.r_[0, np.cumsum(size[some])]
-            for i, row in zip(some.tolist(), band_keys(sign(h[own], part), salt).view(np.int64), strict=True):
-                keys[i].append(row)
-    return [np.unique(np.concatenate(k)) if k else np.zeros(0, np.int64) for k in keys]
-
-
-def linked(h: np.ndarray, first: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of sets have 100 * intersection >= percent * union. Counted over shared shingles only."""
-    n, size = len(first) - 1, np.diff(first)
-    owner = np.repeat(np.arange(n), size)
-    order = np.argsort(h, kind="stable")
-    h, owner = h[order], owner[order]
-    head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-    count = np.diff(np.r_[head, len(h)])
-    common = np.zeros((n, n), dtype=np.float32)
-    # frequent shingles as a product of 0/1 matrices, rare ones pair by pair
-    often = head[count >= 32], count[count >= 32]
-    for a in range(0, len(often[0]), 2048):
-        m = np.zeros((n, min(2048, len(often[0]) - a)), dtype=np.float32)
-        for column, (b, c) in enumerate(zip(often[0][a : a + 2048], often[1][a : a + 2048], strict=True)):
-            m[owner[b : b + c], column] = 1
-        common += m @ m.T
-    flat = common.reshape(-1)
-    for c in np.unique(count[(count > 1) & (count < 32)]):
-        rows = owner[head[count == c][:, None] + np.arange(c)]
-        for i in range(c):
-            for j in range(i + 1, c):
-                pair = np.bincount(rows[:, i] * n + rows[:, j], minlength=0)
-                at = np.flatnonzero(pair)
-                flat[at] += pair[at]
-                flat[at % n * n + at // n] += pair[at]
-    near = np.zeros((n, n), dtype=bool)
-    for a in range(0, n, 256):
-        both = common[a : a + 256].astype(np.int64)
-        near[a : a + 256] = 100 * both >= percent * (size[a : a + 256, None] + size[None, :] - both)
-    near[size == 0] = False
-    np.fill_diagonal(near, False)
-    return near
+    which, number = np.unique(h, return_inverse=True)
+    owner = np.repeat(np.arange(len(size)), size)
+    side = np.zeros((2, len(size)), dtype=np.int64)
+    side[0, left], side[1, right] = np.arange(1, len(left) + 1), np.arange(1, len(right) + 1)
+    rows = [side[k][owner] for k in (0, 1)]
+    seen = [np.bincount(number[r > 0], minlength=len(which)) > 0 for r in rows]
+    columns = np.cumsum(seen[0] & seen[1]) - 1
+    used = (seen[0] & seen[1])[number]
+    common = np.zeros((len(left), len(right)), dtype=np.float32)
+    at, wide = columns[number], int(columns[-1]) + 1 if len(columns) else 0
+    for a in range(0, wide, 4096):
+        some = np.flatnonzero(used & (at >= a) & (at < a + 4096))
+        part = []
+        for r, n in zip(rows, (len(left), len(right)), strict=True):
+            m = np.zeros((n, min(4096, wide - a)), dtype=np.float32)
+            own = some[r[some] > 0]
+            m[r[own] - 1, at[own] - a] = 1
+            part.append(m)
+        common += part[0] @ part[1].T
+    return _enough(common, size[left][:, None], size[right][None, :], percent)
 
 
 def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, shingle: int = 5) -> DataFrame:
@@ -137,15 +131,22 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Returns a row per input row: id_col, n_shingles, component_id (smallest id reachable), kept.
     Text is lower-cased in A to Z only; words are separated by 0x20 and 0x09 to 0x0D; a text of
     fewer words is one shingle, and one without words or null has none and is linked with nothing.
-
-    Equal sets are one document. Signatures are banded; each band's bucket adds a star of edges from
-    its smallest document, so buckets cost their size, whatever it is. Texts of each component of
-    the stars then meet, in blocks of bounded size, and all their pairs are confirmed on full sets,
-    without going through rows of pairs. Rows with a null id are linked with nothing; rows that
-    repeat an id are linked through each of their texts and share a component. Other columns of df
+    Long texts are taken whole: one that exceeds a block is a block by itself.
+
+    Equal sets are one. Sets of all sizes have one-permutation signatures of BINS bins with optimal
+    densification, banded; of pairs just at 0.85 all 4,400 tried shared a bucket, at 0.8 all but 2
+    of 4,800. Each bucket adds a star of edges from its smallest document, so candidates follow the
+    number of documents, whatever a bucket's size; buckets with the same sets count once. Stars are
+    confirmed on full sets. Buckets that the confirmed links join are settled, however large. In the
+    others each document outside the bucket's largest component so far is compared with the whole
+    bucket, in blocks of bounded size, so no link between sets that share a bucket is lost.
+
+    Rows with a null id are linked with nothing and kept, with a null component. Rows that repeat an
+    id are one document with several sets; it is linked through each of them. Ties go to the
+    smallest id. An empty table gives an empty result. Other columns of df, whatever their names,
     aren't used.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
 
     def sign(batches):
         for batch in batches:
@@ -156,50 +157,92 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 np.cumsum(mix(h), out=run[0, 1:])
                 np.cumsum(mix(h ^ _U(0x452821E638D01377)), out=run[1, 1:])
                 sums = (run[:, first[1:]] - run[:, first[:-1]]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), pa.array(np.diff(first), pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array(_signed(h, first), pa.list_(pa.int64()))], names=["doc", "n", "d1", "d2", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in ("doc", "t")] + [pa.array(np.diff(first), pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array(_signed(h, first), pa.list_(pa.int64()))], names=["doc", "t", "n", "d1", "d2", "keys"])
 
-    signed = table(docs.mapInArrow(sign, "doc long, n long, d1 long, d2 long, keys array<long>"))
+    signed = table(docs.select("doc", "t", "text").mapInArrow(sign, "doc long, t long, n long, d1 long, d2 long, keys array<long>"))
     able = signed.where("n > 0 and doc is not null")
-    sets = able.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.max("n").alias("n"))
-    # equal sets have equal keys, so any row of a representative will do
-    entries = able.join(sets.select(F.col("rep").alias("doc"), "d1", "d2"), ["doc", "d1", "d2"], "left_semi").select("doc", F.explode("keys").alias("key"))
-    centres = entries.groupBy("key").agg(F.min("doc").alias("centre"), F.count("*").alias("c")).where("c > 1").drop("c")
-    star = entries.join(centres, "key").where("doc <> centre").select(F.col("doc").alias("a"), F.col("centre").alias("b")).distinct()
-    group = components(star).withColumnRenamed("v", "doc")
-
-    blocks = group.join(sets.select(F.col("rep").alias("doc"), "n", "d1", "d2"), "doc")
-    need = blocks.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("g"))
-    blocks = blocks.join(need, "component").withColumn("b", F.pmod(F.xxhash64("doc", "d1"), F.col("g")).cast("int"))
-    # one row of each set brings its text
-    texts = docs.where("doc is not null and text is not null").join(blocks.select("doc", "component", "g", "b").distinct(), "doc")
-    pairs = texts.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("doc", "text", "component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    # a set goes by one text of its smallest document; equal sets have equal keys
+    sets = table(able.groupBy("d1", "d2").agg(F.min("doc").alias("doc"), F.min_by("t", "doc").alias("t"), F.max("n").alias("n"), F.first("keys").alias("keys")))
+    entries = sets.select("doc", "t", "n", F.explode("keys").alias("key"))
+    digest = [F.bit_xor(F.xxhash64(*order)).alias(c) for c, order in (("x1", ("doc", "t")), ("x2", ("t", "doc")))]
+    buckets = entries.groupBy("key").agg(F.min("doc").alias("centre"), F.min_by("t", "doc").alias("centre_t"), F.count("*").alias("c"), *digest).where("c > 1")
+    buckets = buckets.groupBy("centre", "c", "x1", "x2").agg(F.min("key").alias("key"), F.min_by("centre_t", "key").alias("centre_t"))
+    shared = table(entries.join(buckets.select("key", "centre", "centre_t", "c"), "key"))
+    star = shared.where("doc <> centre").select("doc", "t", "n", "centre", "centre_t").distinct()
+
+    load = star.groupBy("centre", "centre_t").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_DOCS)).cast("int").alias("g"))
+    load = table(load)
+    members = star.join(load, ["centre", "centre_t"]).withColumn("b", F.pmod(F.xxhash64("doc", "t"), F.col("g")).cast("int")).select("centre", "centre_t", "b", "doc", "t", F.lit(False).alias("head"))
+    heads = load.select("centre", "centre_t", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("b"), F.col("centre").alias("doc"), F.col("centre_t").alias("t"), F.lit(True).alias("head"))
+    stars = table(members.unionByName(heads))
+    # one text for each set in a star
+    texts = docs.where("doc is not null and text is not null").join(stars.select("doc", "t").distinct(), ["doc", "t"]).groupBy("doc", "t").agg(F.first("text").alias("text"))
+    texts = table(texts)
 
     def confirm(rows: pa.Table) -> pa.Table:
-        ids = rows.column("doc").to_numpy()
+        doc, centre = rows.column("doc").to_numpy(), rows.column("centre").to_numpy()
+        head = rows.column("head").to_numpy()
+        keys = np.stack([centre, rows.column("centre_t").to_numpy(), rows.column("b").to_numpy()], axis=1)
+        _, of = np.unique(keys, axis=0, return_inverse=True)
+        of = of.reshape(-1)
         buf, off = text_buffer(rows.column("text"))
-        near = linked(*shingle_sets(buf, off, shingle), percent)
-        near |= ids[:, None] == ids[None, :]
-        label = _spread(near, ids)
-        part = np.flatnonzero(label != ids)
-        return pa.table([pa.array(ids[part], pa.int64()), pa.array(label[part], pa.int64())], names=["a", "b"])
-
-    confirmed = pairs.groupBy("component", "i", "j").applyInArrow(confirm, "a long, b long")
-    # rows that repeat an id tie their sets together, as do rows with equal sets
-    final = components(confirmed).withColumnRenamed("v", "doc")
-    found = sets.join(final.withColumnRenamed("doc", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.join(found, ["d1", "d2"], "left")
+        near = near_centres(*shingle_sets(buf, off, shingle), _first_where(of, head), of, percent) & ~head
+        return pa.table([pa.array(doc[near], pa.int64()), pa.array(centre[near], pa.int64())], names=["a", "b"])
+
+    bins = 4 * partition_count(df)
+    whole = stars.join(sets.select("doc", "t", "n"), ["doc", "t"]).agg(F.sum("n")).first()[0] or 0
+    dealt = stars.join(texts, ["doc", "t"]).withColumn("bin", F.pmod(F.xxhash64("centre", "centre_t", "b"), F.lit(max(bins, whole // BLOCK_SHINGLES + 1))))
+    # an id with several sets, each of which may go by another document's id
+    several = able.groupBy("doc").agg(F.min("d1").alias("lo1"), F.max("d1").alias("hi1"), F.min("d2").alias("lo2"), F.max("d2").alias("hi2")).where("lo1 <> hi1 or lo2 <> hi2").select("doc")
+    ties = able.join(several, "doc", "left_semi").select(F.col("doc").alias("a"), "d1", "d2").join(sets.select("d1", "d2", F.col("doc").alias("b")), ["d1", "d2"]).select("a", "b")
+    first_links = components(dealt.groupBy("bin").applyInArrow(confirm, "a long, b long").unionByName(ties))
+    first_links = first_links.select(F.col("v").alias("doc"), F.col("component").alias("part"))
+
+    # buckets of three and more that hold several components still
+    parts = shared.where("c > 2").join(first_links, "doc", "left").withColumn("part", F.coalesce("part", "doc")).select("key", "doc", "t", "n", "part")
+    counted = parts.groupBy("key", "part").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    open_ = counted.groupBy("key").agg(F.max_by("part", F.struct("c", "part")).alias("largest"), F.count("*").alias("parts"), F.sum("c").alias("c"), F.sum("n").alias("n"), F.max(F.struct("c", "part", "n")).alias("most")).where("parts > 1")
+    blocks = lambda n, docs_, each: F.greatest(F.lit(1), F.ceil(F.greatest(n / BLOCK_SHINGLES, docs_ / each))).cast("int")
+    open_ = open_.select("key", "largest", blocks(F.col("n") - F.col("most.n"), F.col("c") - F.col("most.c"), BLOCK_LESS).alias("gi"), blocks(F.col("n"), F.col("c"), BLOCK_DOCS).alias("gj"), "n")
+    open_ = table(open_)
+    rows = parts.join(open_.drop("n"), "key").withColumn("less", F.col("part") != F.col("largest"))
+    deal = lambda salt, g: F.pmod(F.xxhash64("doc", "t", F.lit(salt)), F.col(g)).cast("int")
+    less = rows.where("less").withColumn("i", deal(1, "gi")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("gj") - 1))).withColumn("left", F.lit(True))
+    full = rows.withColumn("j", deal(2, "gj")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("gi") - 1))).withColumn("left", F.lit(False))
+    tiles = less.unionByName(full).select("key", "i", "j", "doc", "t", "part", "left")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        keys = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
+        _, of = np.unique(keys, axis=0, return_inverse=True)
+        order = np.argsort(of.reshape(-1), kind="stable")
+        cuts = np.flatnonzero(np.diff(of.reshape(-1)[order])) + 1
+        found = [np.zeros((0, 2), np.int64)]
+        for some in np.split(order, cuts):
+            tile = rows.take(pa.array(some))
+            part, left = tile.column("part").to_numpy(), tile.column("left").to_numpy()
+            buf, off = text_buffer(tile.column("text"))
+            i, j = np.flatnonzero(left), np.flatnonzero(~left)
+            if len(i) and len(j):
+                x, y = np.nonzero(near_cross(*shingle_sets(buf, off, shingle), i, j, percent))
+                pairs = np.stack([part[i[x]], part[j[y]]], axis=1)
+                found.append(np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0))
+        links = np.concatenate(found)
+        return pa.table([pa.array(links[:, 0], pa.int64()), pa.array(links[:, 1], pa.int64())], names=["a", "b"])
+
+    whole = open_.agg(F.sum(F.col("n") * (F.col("gi") + F.col("gj")))).first()[0] or 0
+    dealt = tiles.join(texts, ["doc", "t"]).withColumn("bin", F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(bins, whole // BLOCK_SHINGLES + 1))))
+    later = components(dealt.groupBy("bin").applyInArrow(compare, "a long, b long"))
+
+    final = first_links.join(later.select(F.col("v").alias("part"), "component"), "part", "full").select(F.coalesce("doc", "part").alias("doc"), F.coalesce("component", "part").alias("component"))
+    found = sets.join(final, "doc", "left").select("d1", "d2", F.coalesce("component", "doc").alias("component_id"))
+    # a document with several sets has them all in one component
+    out = signed.drop("keys", "t").join(found, ["d1", "d2"], "left")
     own = F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("component_id")).otherwise(F.col("doc"))
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc") == own, F.lit(True)).alias("kept"))
 
 
-def _spread(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each row the smallest id that it reaches."""
-    label = ids.astype(np.int64)
-    while True:
-        low = label.copy()
-        for a in range(0, len(label), 512):
-            block = np.where(near[a : a + 512], label[None, :], np.iinfo(np.int64).max)
-            low[a : a + 512] = np.minimum(low[a : a + 512], block.min(axis=1)) if block.size else low[a : a + 512]
-        if (low == label).all():
-            return label
-        label = low
+def _first_where(of: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """For each group the row that is its head."""
+    out = np.zeros(int(of.max()) + 1 if len(of) else 0, dtype=np.int64)
+    out[of[head]] = np.flatnonzero(head)
+    return out

@@ -253,7 +253,7 @@ def test_near_documents(spark, monkeypatch):
             for _ in range(int(rng.integers(0, max(2, size // 60)))):
                 w[int(rng.integers(size))] = f"new{rng.integers(10**6)}"
             texts.append((1000 + 100 * g + k, " ".join(w)))
-    texts += [(1, None), (2, ""), (3, " \t"), (5000, "One two"), (5001, "one  TWO"), (5002, "ÉÀ x"), (5003, "éà x"), (None, "one two"), (None, None), (70, texts[70][1]), (70, "Something else altogether")]
+    texts += [(1, None), (2, ""), (3, " \t"), (5000, "One two"), (5001, "one  TWO"), (5002, "ÉÀ x"), (5003, "éà x"), (None, "one two"), (None, None), (70, texts[70][1]), (70, "Something else altogether"), (6000, texts[5][1]), (6000, texts[9][1]), (6001, texts[5][1])]
     rows = [(i, t) for i, t in texts if not (i in (1, 2, 3) and t and t.startswith("w"))]
     sets = [sets_by_hand(t) for _, t in rows]
     parent = list(range(len(rows)))
@@ -279,14 +279,39 @@ def test_near_documents(spark, monkeypatch):
     assert sorted((tuple(r)[:3] for r in got), key=str) == want
     assert all(r["kept"] == (r["doc_id"] == r["component_id"] or r["doc_id"] is None) for r in got)
     monkeypatch.setattr(mh, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(mh, "BLOCK_LESS", 2)
     assert sorted((tuple(r)[:3] for r in near_documents(df).collect()), key=str) == want
     assert near_documents(df.limit(0)).count() == 0
 
 
+def test_unsettled_buckets_and_repeats(spark):
+    """Chains whose ends aren't near the smallest member, and an id that is repeated very often."""
+    rng = np.random.default_rng(14)
+    rows = []
+    for c in range(6):
+        w = words(rng, 120)
+        for k in range(9):  # each differs from the one before it in a little
+            rows.append((100 * c + (k * 5) % 9, " ".join(w)))
+            w = list(w)
+            w[(k * 13 + 5) % 120] = f"n{c}x{k}"
+    rows += [(900, rows[0][1])] * 3000 + [(901, rows[1][1])]
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(i, sets_by_hand(t))
+    ids = sorted(sets)
+    label = {i: i for i in ids}
+    near = [(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    for _ in ids:
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    got = near_documents(table(spark, rows)).collect()
+    assert len(got) == len(rows) and all(r["component_id"] == label[r["doc_id"]] for r in got)
+
+
 def test_signatures_find_pairs_at_the_threshold():
     rng = np.random.default_rng(6)
     missed = 0
-    for n in (20, 100, 180, 240, 300, 900):
+    for n in (6, 12, 20, 100, 180, 240, 300, 900):
         for _ in range(40):
             both = rng.integers(0, 2**63, n, dtype=np.uint64)
             extra = int(n / 0.85) - n
