@@ -9,11 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import table
 from .vectors import distinct, matrix, usable
 
 #: Vectors of a shard, out-degree, build beam, query beam, slack of the distance pruning, nodes opened a step.
 SHARD, DEGREE, BUILD_BEAM, QUERY_BEAM, RELAX, WIDTH = 8192, 32, 64, 128, 1.2, 4
 BATCH = 256
+#: Queries that a task searches for in a shard.
+QUERY_BLOCK = 4096
 
 
 class Graph:
@@ -39,6 +42,17 @@ class Graph:
             self._join(some, found)
             grown += len(some)
 
+    @classmethod
+    def restored(cls, x: np.ndarray, edges: list[list[int]], entry: int) -> Graph:
+        """A graph that was built before, to be searched."""
+        self = cls.__new__(cls)
+        self.x, self.entry = np.ascontiguousarray(x, dtype=np.float32), entry
+        self.sq = np.einsum("ij,ij->i", self.x, self.x)
+        self.edges = np.full((len(x), max(1, max(map(len, edges)))), -1, dtype=np.int32)
+        for i, e in enumerate(edges):
+            self.edges[i, : len(e)] = e
+        return self
+
     def _near(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Squared distances of each query to its own row of ids."""
         d = self.sq[ids] - 2 * np.matmul(self.x[ids], q[:, :, None])[:, :, 0] + np.einsum("ij,ij->i", q, q)[:, None]
@@ -128,38 +142,47 @@ class Graph:
             self._set(full, self.prune(full, np.c_[self.edges[full], more]))
 
 
-def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, shard_rows: int = SHARD) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, shard_rows: int = SHARD, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The k nearest rows found for each query row, by Euclidean distance in double precision.
 
     df holds all rows; queries some of them. Returns query_id, rank (from 1), vec_id, score, ties to
     the smaller id; a query is not its own neighbour. Exact copies are one node of the index and
     answer with their smallest ids. Rows are dealt to shards of about shard_rows distinct vectors
-    by a hash of the id; every shard is indexed whole, and every query, in blocks, is searched in
-    every shard. Shards of up to 512 vectors are searched without a graph.
+    by a hash of the id; each shard's graph is built once and written to the shared folder. Every
+    query is searched in every shard, by tasks that hold one shard and about query_block queries.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, as queries or
     candidates, nor do rows with a null id; vectors of different lengths aren't compared. A query
-    with fewer than k candidates returns all of them. A repeated id counts once, with its nearest vector.
+    with fewer than k candidates returns all of them. A repeated id counts once, with its nearest
+    vector. An empty table, or no query, gives an empty result; other columns aren't used.
     """
     rows = usable(df, id_col, vector_col).dropDuplicates(["id", "v"])
-    asked = usable(queries, id_col, vector_col).dropDuplicates(["id", "v"])
-    reps = distinct(rows, k + 1).withColumn("dims", F.size("v"))
-    shards = max(1, math.ceil(rows.select("v").distinct().count() / shard_rows))
-    reps = reps.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
-    spread = asked.withColumn("dims", F.size("v")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    asked = table(usable(queries, id_col, vector_col).dropDuplicates(["id", "v"]))
+    reps = table(distinct(rows, k + 1).withColumn("dims", F.size("v")))
+    shards = max(1, math.ceil(reps.count() / shard_rows))
+    blocks = max(1, math.ceil(asked.count() / query_block))
+
+    def build(part: pa.Table) -> pa.Table:
+        graph = Graph(matrix(part.column("v")))
+        edges = pa.array([e[e >= 0].tolist() for e in graph.edges], pa.list_(pa.int32()))
+        entry = np.arange(part.num_rows) == graph.entry
+        return pa.table([part.column(c) for c in ("dims", "shard", "v", "ids")] + [pa.array(np.arange(part.num_rows), pa.int32()), edges, pa.array(entry)], names=["dims", "shard", "v", "ids", "node", "edges", "entry"])
+
+    dealt = reps.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int")).select("dims", "shard", "v", "ids")
+    index = table(dealt.groupBy("dims", "shard").applyInArrow(build, "dims int, shard int, v array<double>, ids array<long>, node int, edges array<int>, entry boolean"))
+    index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    spread = asked.select("id", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out = ([], [], [])
         if left.num_rows and right.num_rows:
+            left = left.sort_by("node")
             x, q = matrix(left.column("v")), matrix(right.column("v"))
             ids, own = left.column("ids").to_pylist(), right.column("id").to_pylist()
-            graph = Graph(x) if len(x) > 512 else None
+            graph = Graph.restored(x, left.column("edges").to_pylist(), left.column("entry").to_pylist().index(True))
             for a in range(0, len(q), BATCH):
                 block = q[a : a + BATCH]
-                if graph is None:
-                    found = np.broadcast_to(np.arange(len(x)), (len(block), len(x)))
-                else:
-                    found, _ = graph.search(block.astype(np.float32), QUERY_BEAM)
+                found, _ = graph.search(block.astype(np.float32), QUERY_BEAM)
                 for i, near in enumerate(found):
                     near = near[near >= 0]
                     d = np.sqrt(((x[near] - block[i]) ** 2).sum(axis=1))
@@ -172,6 +195,6 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
                     out[2].extend(best.values())
         return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
-    found = reps.groupBy("dims", "shard").cogroup(spread.groupBy("dims", "shard")).applyInArrow(search, "query_id long, vec_id long, score double")
+    found = index.groupBy("dims", "shard", "block").cogroup(spread.groupBy("dims", "shard", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id long, v array<double>): rows with an id whose vector is not null, not zero and has only finite components."""
+def marked(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id long, v array<double>, ok): ok where there is an id and the vector is not null, not zero and has only finite components."""
     v = F.col(vector_col).cast("array<double>")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.coalesce(good, F.lit(False)).alias("ok"))
+    return rows.withColumn("ok", F.col("ok") & F.col("id").isNotNull())
+
+
+def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id long, v array<double>) of the rows that marked() finds good."""
+    return marked(df, id_col, vector_col).where("ok").drop("ok")
 
 
 def distinct(rows: DataFrame, most_ids: int = 1) -> DataFrame:
