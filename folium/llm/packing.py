@@ -13,6 +13,8 @@ from .common import mix, partition_count, table
 from .tokens import encoder, text_slices
 
 DIMS, BITS = 4, 15
+#: Sequences that a range partition fills at least, if there are several partitions.
+SEQUENCES = 64
 _U = np.uint64
 
 
@@ -66,12 +68,15 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     Returns a row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset and,
     if asked for, ids (little-endian 16-bit). A document's leading full sequences are its own;
     what is left of it is laid behind its neighbours along the curve and cut where a sequence is
-    full, so only the last sequence of each range partition is short.
-
-    Null and empty texts are the single end_id. Rows with a null id and repeated rows are packed
-    like any other. Equal curve keys are ordered by id, so that many copies spread over partitions.
-    The ids left over are kept in a table in the shared folder, since the range sort reads its
-    input twice.
+    full, so only the last sequence of each range partition is short. There are as many partitions
+    as the ids left over fill SEQUENCES sequences each, up to the session's number or, for large
+    inputs, that of their blocks; so under one per cent is padding, but for a single short sequence.
+
+    Null and empty texts are the single end_id. Texts of any length are encoded whole. Rows with a
+    null id and repeated rows are packed like any other; an empty table gives no pieces. Equal curve
+    keys are ordered by id, so that many copies spread over partitions. Other columns, whatever
+    their names, aren't used. The ids left over are kept in a table in the shared folder, since the
+    range sort reads its input twice.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -112,7 +117,9 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
     kept = table(docs.mapInArrow(tokenize, "id long, doc_tokens long, key long, crcs array<long>, body binary, tail binary"))
     rest = kept.select("id", "doc_tokens", "key", "tail").where(F.length("tail") > 0)
-    rest = rest.repartitionByRange(partition_count(df), "key", "id").sortWithinPartitions("key", "id", "doc_tokens")
+    left = rest.agg(F.sum(F.length("tail") / 2)).first()[0] or 0
+    parts = max(1, min(partition_count(df), int(left) // (SEQUENCES * length)))
+    rest = rest.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id", "doc_tokens")
     tails = rest.mapInArrow(pack, "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
     full = kept.select("id", "doc_tokens", "body", F.posexplode("crcs").alias("k", "ids_crc32")).select(
         "id", (F.col("k") * length).cast("long").alias("start"), F.lit(length).cast("long").alias("length"), "ids_crc32", "doc_tokens",

@@ -1,11 +1,13 @@
 """Token ids of many texts at once, by a byte-level BPE file of the tokenizers library.
 
-A text is cut as the file's pre-tokenizer cuts it; each distinct piece is encoded once by the
-library and its ids are kept for later texts of the same worker.
+If the file's pre-tokenizer is the byte-level one, a text is cut as it cuts; each distinct piece is
+encoded once by the library and its ids are kept for later texts of the same worker. With any other
+pre-tokenizer, or a normalizer, the library gets texts whole.
 """
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import numpy as np
@@ -31,6 +33,13 @@ def _classes() -> np.ndarray:
     return t
 
 
+def _byte_level(spec: dict) -> bool:
+    """Whether texts are cut by the byte-level pattern and by nothing else."""
+    cut = spec.get("pre_tokenizer") or {}
+    kind = (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex", True))
+    return spec.get("normalizer") is None and kind == ("ByteLevel", False, True)
+
+
 class Encoder:
     """Ids by one tokenizer file. `encode` is exact: texts with rare characters go to the library whole."""
 
@@ -42,6 +51,9 @@ class Encoder:
 
         self.tool = Tokenizer.from_file(path)
         self.tool.encode_special_tokens = True
+        if self.tool.get_vocab_size() > 1 << 16:
+            raise ValueError("ids are kept in 16 bits; the vocabulary has more")
+        self.cuts = _byte_level(json.loads(self.tool.to_str()))
         self.classes = _classes()
         self._clear()
 
@@ -126,6 +138,7 @@ class Encoder:
         odd = np.zeros(len(texts), dtype=bool)
         unsure = np.flatnonzero(self.classes[cp] == UNSURE)
         odd[np.searchsorted(off, unsure, "right") - 1] = True
+        odd |= not self.cuts
         filled = off[:-1][sizes > 0]
         begin = self.cut(cp, np.r_[filled, len(cp)]) if len(cp) else np.zeros(0, np.int64)
         stop = np.r_[begin[1:], len(cp)]
