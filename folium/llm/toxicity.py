@@ -61,15 +61,15 @@ class Model:
     intercept: float = 0.0
 
     def automaton(self):
+        """Entries and phrases with their lengths; a phrase has no weight of its own."""
         import ahocorasick
 
         a = ahocorasick.Automaton()
         for w, x in self.weights.items():
-            a.add_word(f" {w[:-1]}" if w[-1] == "*" else f" {w} ", (0, x))
-        for e in self.exceptions:
-            e = fold(e)
-            # a phrase takes back what its words add
-            a.add_word(e, (1, -sum(self.weights.get(w, 0.0) for w in e.split())))
+            w = f" {w[:-1]}" if w[-1] == "*" else f" {w} "
+            a.add_word(w, (len(w), x))
+        for e in map(fold, self.exceptions):
+            a.add_word(e, (len(e), None))
         a.make_automaton()
         return a
 
@@ -78,17 +78,28 @@ class Model:
 
 
 def feature(automaton, text: str | None) -> tuple[float, int]:
-    """Sum of matched weights over the logarithm of the length in words, and the number of matches."""
+    """Sum of the weights of matched words over the logarithm of the length in words, and the number of such words.
+
+    A word counts once, with the largest weight of the entries it matches. Words inside an exception
+    phrase don't count, whichever entries they match.
+    """
     t = fold(text or "")
-    total, hits = 0.0, 0
-    for _, (kind, x) in automaton.iter(t):
-        total += x
-        hits += 1 - kind
-    return max(total, 0.0) / math.log2(8 + t.count(" ")), hits
+    words: dict[int, float] = {}
+    spans = []
+    for end, (size, x) in automaton.iter(t):
+        start = end - size + 1
+        if x is None:
+            spans.append((start, end))
+        else:
+            words[start] = max(words.get(start, x), x)
+    for a, b in spans:
+        for start in [s for s in words if a <= s < b]:
+            del words[start]
+    return sum(words.values()) / math.log2(8 + t.count(" ")), len(words)
 
 
 def training_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
-    """At most `rows` labelled rows whose crc32(id as text) mod 3 is not 1, in the order of a hash."""
+    """(id, text, y) of at most `rows` labelled ids whose crc32(id as text) mod 3 is not 1, in the order of a hash; of a repeated id one text."""
     some = (
         labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
         .where("id is not null and y in (0, 1)")
@@ -97,7 +108,9 @@ def training_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str
         .orderBy(F.xxhash64("id"), "id").limit(rows)
     )
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    return docs.join(F.broadcast(some), "id")  # its size has the bound `rows`
+    found = docs.join(F.broadcast(some), "id")  # its size has the bound `rows`
+    # one text of a repeated id, so that the sample keeps its bound
+    return found.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))
 
 
 def fit(sample: DataFrame, least_share: float = 0.005, most_words: int = 5000) -> Model:
@@ -187,8 +200,10 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     The model is fitted on at most sample_rows labelled rows outside the held-out third
     (crc32(id as text) mod 3 = 1). Null and empty texts have no matches and get the lowest score.
-    Rows with a null id are scored and not held out. Repeated rows are scored each. With no usable
-    labels the seed words alone decide. Other columns are not looked at.
+    Rows with a null id are scored and not held out. Repeated rows are scored each, by their own
+    texts; of a labelled id with several texts one is learned from, and it is toxic if any of its
+    labels says so. Texts of any length are matched whole. With no usable labels, or an empty table,
+    the seed words alone decide. Other columns, whatever their names, are not looked at.
     """
     model = fit(training_sample(df, labels, id_col, text_col, label_col, sample_rows))
     return apply(df, model, id_col, text_col)
