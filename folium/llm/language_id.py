@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import table
+
 _GAP = re.compile(r"[\W\d_]+")
 PIECE = 8192
 #: Lower levels look for too few short matches in the dictionaries.
@@ -23,19 +25,24 @@ def letters(text: str | None) -> bytes:
     return _GAP.sub(" ", (text or "").lower()).strip().encode()
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 120, most_langs: int = 200) -> dict[str, bytes]:
-    """Raw-content dictionaries from at most docs_per_lang documents of each of at most most_langs languages.
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 120, most_docs: int = 24_000) -> dict[str, bytes]:
+    """Raw-content dictionaries of every language, from at most docs_per_lang different texts of each.
 
     Documents whose crc32(id as text) mod 3 is 1 are held out. The others are taken in the order of
-    a hash; each task passes on no more of a language than are needed.
+    a hash; equal texts count once, under whatever ids, and each task passes on no more of a
+    language than are needed. Very many languages get fewer documents each, so that all together
+    are at most most_docs, or one a language. Only the middle SHARE bytes of letters of a sample
+    document are used; if those of a language exceed DICTIONARY_BYTES, the longest are cut alike.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where("id is not null and lang is not null").where(F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    some = rows.withColumn("r", rank).where(F.col("r") <= docs_per_lang).select("id", "lang", "r")
-    # at most most_langs * docs_per_lang rows
-    some = some.orderBy("lang", "r").limit(most_langs * docs_per_lang)
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.where("id is not null and lang is not null and text is not null").where(F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1)
+    named = rows.withColumn("t", F.xxhash64("text"))
+    once = named.groupBy("lang", "t").agg(F.min(F.xxhash64("id")).alias("h"))
+    once = table(once)
+    langs = once.select("lang").distinct().count()
+    each = max(1, min(docs_per_lang, most_docs // max(1, langs)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
+    some = once.withColumn("r", rank).where(F.col("r") <= each).select("lang", "t")  # at most each * langs rows
 
     def middle(batches):
         for batch in batches:
@@ -44,13 +51,26 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
                 t = letters(t)
                 a = max(0, (len(t) - SHARE) // 2)
                 cut.append(t[a : a + SHARE])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), pa.array(cut, pa.binary())], names=["id", "lang", "piece"])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("t"), pa.array(cut, pa.binary())], names=["lang", "t", "piece"])
+
+    # copies of a sample text become one before anything is collected
+    sampled = F.broadcast(some) if langs <= most_docs else some  # a broadcast side has at most most_docs rows
+    got = named.join(sampled, ["lang", "t"]).select("lang", "t", "text").mapInArrow(middle, "lang string, t long, piece binary").groupBy("lang", "t").agg(F.max("piece").alias("piece")).collect()
+    out: dict[str, list[bytes]] = {}
+    for r in sorted(got, key=lambda r: (r["lang"], r["t"])):
+        out.setdefault(r["lang"], []).append(bytes(r["piece"]))
+    return {k: v for k, v in ((k, _filled(v)) for k, v in out.items()) if len(v) > 8}
+
 
-    got = texts.join(F.broadcast(some), "id").select("id", "lang", "text").mapInArrow(middle, "id long, lang string, piece binary").orderBy("lang", "id", "piece").collect()
-    out: dict[str, bytes] = {}
-    for r in got:
-        out[r["lang"]] = (out.get(r["lang"], b"") + bytes(r["piece"]) + b" ")[:DICTIONARY_BYTES]
-    return {k: v for k, v in sorted(out.items()) if len(v) > 8}
+def _filled(pieces: list[bytes], most: int = DICTIONARY_BYTES) -> bytes:
+    """The pieces one after the other; the longest are cut to a common length if they don't all fit."""
+    left, each = most, 0
+    for k, size in enumerate(sorted(len(p) + 1 for p in pieces)):
+        each = left // (len(pieces) - k)
+        if size > each:
+            break
+        each, left = size, left - size
+    return b"".join(p[: each - 1] + b" " for p in pieces)
 
 
 def identify_language(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", margin: float = 0.01, dictionaries: dict[str, bytes] | None = None) -> DataFrame:
@@ -61,7 +81,9 @@ def identify_language(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     minimum of the sizes; margin is how much smaller the best total is than the next, as a share;
     rejected says that it is under `margin`, so that a caller may discard the answer. Null texts
     and those without a letter, or with nothing learned, get `und`, score 0 and are rejected. Ties
-    go to the first language in order. Repeated rows are answered each; other columns aren't used.
+    go to the first language in order. Texts of any length are compressed whole. Repeated rows are
+    answered each; a null id is not held out; an empty table gives an empty result; other columns,
+    whatever their names, aren't used. The dictionaries are those of fit().
     """
     if dictionaries is None:
         dictionaries = fit(df, id_col, text_col, lang_col)
