@@ -173,11 +173,20 @@ def test_vectors(spark):
     got = {r["vec_id"]: tuple(r)[1:] for r in near_vectors(df).collect()}
     for i in range(len(u)):
         assert got[i] == (link[i].sum(), label[i], label[i] == i), i
+    assert len(got) == len(rows + odd)
     assert all(got[i] == (0, i, True) for i in (1000, 1001, 1002, 1003, 1004, 1007)) and got[1005] == (1, 1005, True) and got[1006] == (1, 1005, False)
     assert near_vectors(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("dims", [1, 2, 3, 5, 10, 15, 16, 17, 48, 200])
+def test_vectors_of_repeated_and_null_ids(spark):
+    a, b = [1.0, 0.0, 0.5], [-1.0, 2.0, 0.0]
+    rows = [(5, a), (5, b), (5, None), (5, a), (6, [2 * x for x in a]), (7, b), (None, a), (None, None), (4, [0.0] * 3), (4, b), (3, a + [0.0] * 4096), (2, (a + [0.0] * 4096))]
+    got = sorted(map(str, map(tuple, near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect())))
+    want = [(5, 2, 5, True), (5, 2, 5, True), (6, 2, 5, False), (5, 2, 4, False), (7, 2, 4, False), (4, 2, 4, True), (5, 0, 5, True), (4, 0, 4, True), (None, 0, None, True), (None, 0, None, True), (3, 1, 2, False), (2, 1, 2, True)]
+    assert got == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("dims", [1, 2, 3, 5, 10, 15, 16, 17, 48, 64, 200, 4097])
 def test_caps_catch_pairs_at_the_threshold(dims):
     from folium.llm.embedding_dedup import CODES, ProductCode
 
@@ -234,6 +243,23 @@ def test_nearest(spark):
     assert nearest(few, few.where("vec_id = 0")).count() == 2 and nearest(few.limit(0), few.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n, shard, block", [(2000, 700, 16), (6000, 2048, 4096)])
+def test_nearest_by_graphs(spark, n, shard, block):
+    """Recall of the search, through the graphs of several shards, against brute force."""
+    x = np.random.default_rng(n).standard_normal((n, 24)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = {}
+    for r in nearest(df, df.where("vec_id % 50 = 0"), shard_rows=shard, query_block=block).collect():
+        found.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+        assert r["score"] == np.sqrt(((x[r["query_id"]] - x[r["vec_id"]]) ** 2).sum())
+    hits = 0
+    for q in range(0, n, 50):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len({*np.argsort(d)[:10].tolist()} & {*found[q]})
+    assert len(found) == n // 50 and hits / (10 * len(found)) >= 0.95
+
+
 # -- op4
 
 
@@ -407,6 +433,32 @@ def test_packing(spark):
     assert pack_documents(df.limit(0), tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [4, 200, 2000])
+def test_padding_is_small(spark, partitions):
+    rng = np.random.default_rng(10)
+    df = table(spark, [(i, " ".join(words(rng, int(rng.integers(0, 900))))) for i in range(250)])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = pack_documents(df, tokenizer_path()).agg(F.sum("length"), F.count_distinct("sequence_id")).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] > 0.98 * 1024 * got[1]
+
+
+def test_other_pre_tokenizers_get_whole_texts(tmp_path):
+    import json
+
+    spec = json.load(open(tokenizer_path()))
+    spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, spec["pre_tokenizer"]]}
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    e = Encoder(str(tmp_path / "t.json"))
+    texts = ["a 1234 b", "don't 99", ""]
+    ids, off, _, _ = e.encode(texts, 0)
+    for i, t in enumerate(texts):
+        assert ids[off[i] : off[i + 1]].tolist() == [*e.tool.encode(t, add_special_tokens=False).ids, 0]
+
+
 # -- op7
 
 
@@ -425,33 +477,87 @@ def test_raking(spark):
 
 
 def test_mixing(spark):
-    rows = [(i, "word " * (5 + i % 7), "en" if i % 3 else "de", "big" if i % 2 else f"s{i % 5}", 1) for i in range(3000)] + [(None, None, None, None, None), (None, "x", None, "big", 1)]
+    rows = [(i, "word " * (5 + i % 7), "en" if i % 3 else "de", "big" if i % 2 else f"s{i % 5}", 1) for i in range(3000)] + [(None, None, None, None, None), (None, "x", None, "big", 1), (3, "word " * 8, "en", "big", 1)]
     df = spark.createDataFrame(rows, DOCS)
-    df = df.withColumns({c: F.lit("q") for c in ("p", "n", "topic", "row", "_topic")})
-    out = mix_sources(df, targets={"source": {"big": 0.2}, "lang": {}}, temperature=1.0)
+    df = df.withColumns({c: F.lit("q") for c in ("p", "n", "topic", "row", "_topic", "lang_", "_source")})
+    wanted = {"source": {"big": 0.2}, "lang": {}, "topic": {}}
+    out = mix_sources(df, targets=wanted, temperature=1.0)
     got = out.collect()
-    assert len(got) == len(rows) and out.columns[:9] == df.columns[:9] and len(set(out.columns)) == 13
+    assert len(got) == len(rows) and set(out.columns) == {*df.columns, "_topic", "_tokens", "_probability", "_sampled"} and len(set(out.columns)) == len(out.columns)
     assert max(r["_probability"] for r in got) == pytest.approx(1.0) and min(r["_probability"] for r in got) > 0
     kept = [r for r in got if r["_sampled"]]
     share = sum(r["_tokens"] for r in kept if r["source"] == "big") / sum(r["_tokens"] for r in kept)
     # the other values keep their half, so the target of big is 0.2 of 0.7
     assert abs(share - 0.2 / 0.7) < 0.03
-    assert sorted(str(r) for r in mix_sources(df.repartition(7), targets={"source": {"big": 0.2}, "lang": {}}, temperature=1.0).collect()) == sorted(map(str, got))
+    assert sorted(str(r) for r in mix_sources(df.repartition(7), targets=wanted, temperature=1.0).collect()) == sorted(map(str, got))
     assert mix_sources(df.limit(0)).count() == 0
 
 
+def test_mixing_meets_all_marginals(spark):
+    """Topics follow the words, and expected and sampled tokens have the target shares in every dimension."""
+    rng = np.random.default_rng(15)
+    text = lambda k, n: " ".join(f"{'abcd'[k]}{rng.integers(60)}" for _ in range(n))
+    rows = [(i, text(int(rng.integers(4)), int(rng.integers(20, 200))), ["en", "de"][int(rng.random() < 0.3)], f"s{rng.integers(3) if i % 2 else 0}", 1) for i in range(6000)]
+    df = spark.createDataFrame(rows, DOCS)
+    from folium.llm.mixing import fit_topics
+
+    model = fit_topics(df, topics=4)
+    assert sum(len(model.means[k]) for k in ("en", "de")) == 256
+    targets = {"lang": {"en": 0.5, "de": 0.5}, "source": {"s0": 0.4, "s1": 0.3, "s2": 0.3}, "topic": {f"t{k}": 0.25 for k in range(4)}}
+    got = mix_sources(df, targets=targets, topics=model).collect()
+    pure = {(r["_topic"], r["text"][0]) for r in got}
+    assert len(pure) == 4 and len({t for t, _ in pure}) == 4
+    for weight, slack in ((lambda r: r["_tokens"] * r["_probability"], 1e-4), (lambda r: r["_tokens"] * r["_sampled"], 0.03)):
+        whole = sum(map(weight, got))
+        for column, want in (("lang", "lang"), ("source", "source"), ("_topic", "topic")):
+            for value, share in targets[want].items():
+                assert abs(sum(weight(r) for r in got if r[column] == value) / whole - share) < slack, (column, value)
+
+
 # -- op8
 
 
 def test_folding():
     assert tox.fold("An IDI0T, a lоsеr!") == " an idiot a ioser "
     assert tox.fold("c1own 5cum tr@sh") == " ciown scum trash " and tox.fold("") == "  "
-    m = tox.Model({"trash": 2.0, "idio*": 3.0}, ("trash can",))
+    m = tox.Model({"trash": 2.0, "idio*": 3.0, "tra*": 1.0, "trash*": 1.5}, ("trash can", "idiot proof"))
+    m.weights = {tox.fold(w).strip() if w[-1] != "*" else tox.fold(w[:-1]).strip() + "*": x for w, x in m.weights.items()}
     a = m.automaton()
+    assert tox.feature(a, "an idiot proof trash can")[0] == 0 and tox.feature(a, "trash can trash") == (2.0 / np.log2(8 + 4), 1)
+    assert tox.feature(a, "can trash idiotic") == ((2.0 + 3.0) / np.log2(8 + 4), 2)
     assert tox.feature(a, "the trash can")[0] == 0 and tox.feature(a, "TRA5H idiots")[0] > tox.feature(a, "tra5h")[0] > 0
     assert tox.feature(a, None) == (0.0, 0) and tox.feature(a, "x " * 500 + "trash")[0] < tox.feature(a, "trash")[0]
 
 
+def score_by_hand(model, text):
+    """The score without an automaton: every word against every entry, phrases by position."""
+    w = tox.fold(text or "").split()
+    phrases = [tox.fold(e).split() for e in model.exceptions]
+    free = [not any(w[k : k + len(p)] == p for p in phrases for k in range(max(0, i - len(p) + 1), i + 1)) for i in range(len(w))]
+    best = [max((x for e, x in model.weights.items() if (v.startswith(e[:-1]) if e[-1] == "*" else v == e)), default=0.0) for v in w]
+    return 1 / (1 + np.exp(-(model.slope * sum(b for b, f in zip(best, free, strict=True) if f) / np.log2(8 + max(1, len(w) + 1)) + model.intercept)))
+
+
+def test_scores_by_hand(spark):
+    docs, labels = toxic_tables(spark)
+    odd = [(7000, "a trash can, an Idiot-proof clown fish", "en", "s", 1), (7001, "grumpf " * 4000 + "trash can", "en", "s", 1), (7002, "x", "en", "s", 1), (7002, "blorgish", "en", "s", 1)]
+    docs = docs.unionByName(spark.createDataFrame(odd, DOCS))
+    model = tox.fit(tox.training_sample(docs, labels, "doc_id", "text", "toxic", 20_000))
+    got = sorted((str(r["doc_id"]), r["score"]) for r in tox.score_toxicity(docs, labels).collect())
+    want = sorted((str(r["doc_id"]), score_by_hand(model, r["text"])) for r in docs.collect())
+    assert [k for k, _ in got] == [k for k, _ in want] and np.allclose([x for _, x in got], [x for _, x in want])
+
+
+def test_toxicity_of_repeated_ids(spark):
+    docs, labels = toxic_tables(spark)
+    more = spark.createDataFrame([(6, "again and again", "en", "s", 1)] * 20_000, DOCS).withColumns({c: F.lit(1) for c in ("id", "y", "x", "score")})
+    docs = docs.withColumns({c: F.lit(1) for c in ("id", "y", "x", "score")}).unionByName(more)
+    sample = tox.training_sample(docs, labels, "doc_id", "text", "toxic", 20_000)
+    assert sample.count() == sample.select("id").distinct().count() <= 900
+    got = tox.score_toxicity(docs, labels)
+    assert got.count() == 20_903 and got.where("doc_id = 6").select("score").distinct().count() == 2
+
+
 def toxic_tables(spark):
     rng = np.random.default_rng(12)
     rows, labels = [], []
@@ -494,5 +600,26 @@ def test_language(spark):
     assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[901]["rejected"]
     assert got[902]["lang_pred"] == "aa" and got[None]["lang_pred"] == "bb" and not got[None]["held_out"]
     assert all(0 <= r["score"] <= 1 for r in got.values())
+    from folium.llm import language_id as li
+
+    a, b = [i for i in range(0, 240, 3) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    again = df.unionByName(spark.createDataFrame([(a, rows[a][1], "aa", "s", 1)] * 20_000 + [(3000 + k, rows[b][1], "aa", "s", 1) for k in range(500)], DOCS)).withColumns({c: F.lit(1) for c in ("id", "t", "h", "score", "piece")})
+    learned = fit_languages(again)
+    # equal texts fill one place, whatever their ids
+    assert learned == fit_languages(df) and identify_language(again).count() == 20_744
+    # sizes by a plain loop over the pieces, very long texts too
+    import zstandard as z
+
+    for i in (0, 100, 902):
+        t, size = li.letters(next(r[1] for r in rows if r[0] == i)), {}
+        for lang, content in learned.items():
+            c = z.ZstdCompressor(level=li.LEVEL, dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            size[lang] = sum(len(c.compress(t[a : a + li.PIECE])) - 8 for a in range(0, len(t), li.PIECE))
+        best = sorted((max(1, n), lang) for lang, n in size.items())
+        assert got[i]["lang_pred"] == best[0][1] and got[i]["margin"] == pytest.approx((best[1][0] - best[0][0]) / best[1][0], abs=0.02)
+    many = spark.createDataFrame([(3 * k + j, text("bb", 20), f"l{k:04d}", "s", 1) for k in range(300) for j in range(3)], DOCS)
+    assert len(fit_languages(many, most_docs=300)) == many.where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1").select("lang").distinct().count() > 250
+    full = li._filled([b"a" * 2000] * 100 + [b"b" * 50] * 10)
+    assert len(full) <= li.DICTIONARY_BYTES and len(full) > 0.99 * li.DICTIONARY_BYTES and full.count(b"b" * 50) == 10
     assert fit_languages(df.limit(0)) == {} and identify_language(df.limit(0)).count() == 0
     assert {r["lang_pred"] for r in identify_language(df, dictionaries={}).collect()} == {"und"}
