@@ -46,12 +46,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path(), length=1024, end_id=0)
 
 
-#: Target shares of tokens; sources are flattened to the power 0.7.
+#: Target shares of tokens; sources are flattened to the power 0.7, and half of all tokens are kept.
 MIX_TARGETS = {"lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}, "topic": {f"t{k}": 0.125 for k in range(8)}}
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix_sources(_read(spark, sf_dir, "documents"), targets=MIX_TARGETS, temperature=0.7)
+    out = mix_sources(_read(spark, sf_dir, "documents"), targets=MIX_TARGETS, temperature=0.7, keep=0.5)
     return out.select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").cast("long").alias("n_tokens"), F.round("_probability", 6).alias("probability"), F.col("_sampled").alias("sampled"))
 
 

@@ -45,7 +45,7 @@ def test_stages(spark, small):
     assert {r["doc_id"] for r in near.collect()} == ids - {500 + k for k in range(5)}
     mixed = stages["mixing"](spark, near, small)
     kept = {r["doc_id"] for r in mixed.collect()}
-    assert mixed.columns == docs.columns and kept <= {r["doc_id"] for r in near.collect()} and len(kept) > 0.8 * near.count()
+    assert mixed.columns == docs.columns and kept <= {r["doc_id"] for r in near.collect()} and 0.5 * near.count() < len(kept) < near.count()
     pieces = stages["packing"](spark, mixed, small).collect()
     assert {r["doc_id"] for r in pieces} == kept
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, small).collect()} == kept
