@@ -17,17 +17,35 @@ from folium.llm.mixing import mix_sources
 from folium.llm.packing import pack_documents
 from folium.llm.queries import tokenizer_path
 from folium.operators.catalog import best_per
+from folium.shared import drop_tables
+
+
+#: Target shares of tokens by language; sources and topics are flattened to the power MIX_TEMPERATURE.
+MIX_TARGETS = {"lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}}
+MIX_TEMPERATURE = 0.7
+#: Share of all tokens that mixing keeps.
+MIX_KEEP = 0.7
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose toxicity score is 0.7 or more."""
+    """Rejects documents whose toxicity score is 0.7 or more.
+
+    Null and empty texts stay, texts of any length are scored whole, and rows that repeat, or have
+    no id, are judged each by their own text; a score of just 0.7 goes. An empty table stays empty.
+    Further columns are passed on.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = tox.fit(tox.training_sample(docs, labels, "doc_id", "text", "toxic", 20_000))
     return tox.drop_toxic(docs, model, threshold=0.7)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines that ten or more sources share out of the texts."""
+    """Takes lines that ten or more sources share out of the texts; n_chars is counted anew.
+
+    No row goes: a null text stays null, with a null n_chars, and a text may become empty. A null
+    source is no source. Equal rows get equal texts. Further columns are passed on, whatever their
+    names.
+    """
     out = remove_shared_lines(docs, min_sites=10)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -35,26 +53,37 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies (similarity of 0.8 or more), as one row.
 
-    Of rows with one id the longest text stays. A row without an id gets one made of its columns,
-    from 2^62 on, so that its copies go too.
+    Of rows with one id the longest text stays, of equal lengths the first in the order of the
+    columns. A row without an id gets one made of its columns, from 2^62 on, so that its copies go
+    too. Texts that are null or without words are near nothing and stay, once for each id. Long
+    texts are compared whole. Further columns are passed on, whatever their names.
     """
     made = F.shiftrightunsigned(F.xxhash64(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"})), 2) + F.lit(2**62)
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), made))
-    near = near_documents(rows, "_id", percent=80).where("kept")
+    # the row travels as one struct, so that none of its columns can clash with those added
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), made).alias("_id"), F.col("text").alias("_text"), F.struct(*docs.columns).alias("row"))
+    near = near_documents(rows, "_id", "_text", percent=80).where("kept")
     # rows without words are kept beside others with their id, which may be copies
     kept = near.groupBy("_id").agg(F.count("*").alias("_c"), F.max(F.col("n_shingles") > 0).alias("_words"))
-    stay = rows.join(kept, "_id").where(F.coalesce(F.col("text").rlike(r"[^\t-\r ]"), F.lit(False)) == F.col("_words"))
-    first = best_per(stay.where("_c > 1"), "_id", F.desc(F.length("text")), *(F.col(c) for c in docs.columns))
-    return stay.where("_c = 1").select(*docs.columns).unionByName(first.select(*docs.columns))
+    stay = rows.join(kept, "_id").where(F.coalesce(F.col("_text").rlike(r"[^\t-\r ]"), F.lit(False)) == F.col("_words"))
+    first = best_per(stay.where("_c > 1"), "_id", F.desc(F.length("_text")), *(F.col(f"row.`{c}`") for c in docs.columns))
+    return stay.where("_c = 1").select("row").unionByName(first.select("row")).select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents so that sources are somewhat evener than they are; languages and topics keep their shares."""
-    return mix_sources(docs, targets={"lang": {}, "topic": {}}, temperature=0.9).where("_sampled").select(*docs.columns)
+    """Samples documents so that tokens have the languages' target shares, and sources and topics are evener than they are.
+
+    Null sources and languages are values of their own; a null text is one token. Rows that repeat
+    are sampled alike. Further columns are passed on, but for those that the operator adds.
+    """
+    return mix_sources(docs, targets=MIX_TARGETS, temperature=MIX_TEMPERATURE, keep=MIX_KEEP).where("_sampled").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of 1024 tokens."""
+    """Packs the documents into sequences of 1024 tokens.
+
+    Null and empty texts are a single end token; long texts take several sequences. Rows with a null
+    id, and rows that repeat, are packed like others. No documents give no pieces.
+    """
     return pack_documents(docs, tokenizer_path(), length=1024, end_id=0)
 
 
@@ -65,10 +94,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each written as Parquet and read again by the next."""
+    """Applies the stages to documents, each written as Parquet and read again by the next.
+
+    A stage's table is deleted once the next one is there.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = table(docs)
+            drop_tables(before)
     return docs
