@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+#: Parts of the table of keys.
+KEY_PARTS = 64
+
 
 def drop_folder(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int | None = None, pattern: str | None = None) -> DataFrame:
     """A stream of the files of a folder, or of one file."""
@@ -23,22 +29,45 @@ def drop_folder(spark: SparkSession, path: str, schema, fmt: str = "parquet", fi
 def append_new(stream: DataFrame, out: str, checkpoint: str, key: str | None = None, fmt: str = "parquet") -> StreamingQuery:
     """Appends what the stream brings until it has caught up; with a key, only rows whose key isn't there yet.
 
-    A batch that is run again after a failure overwrites its own folder, so nothing is doubled.
+    Rows land in out/batch-<run>-<number>, where run is a hash of the checkpoint's path: a batch
+    that is run again after a failure overwrites its own folder, so nothing is doubled, and a stream
+    with a new checkpoint never overwrites another's. The keys that are there are kept in the folder
+    <out>-keys, parted by hash, so a batch reads keys and not rows, and only of its own parts. Read
+    what has landed with landed().
     """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        spark, own = batch.sparkSession, f"{run}-{number}"
         if key is not None:
-            batch = batch.dropDuplicates([key])
-            if number:
-                there = spark.read.format(fmt).option("recursiveFileLookup", True).schema(batch.schema).load(out)
-                there = there.where(F.regexp_extract(F.col("_metadata.file_path"), r"/batch-([0-9]+)/", 1).cast("long") < number)
-                batch = batch.join(there.select(key).distinct(), key, "left_anti")
-        batch.write.mode("overwrite").format(fmt).save(f"{out}/batch-{number}")
+            part = F.pmod(F.xxhash64(key), F.lit(KEY_PARTS)).cast("int")
+            batch = batch.dropDuplicates([key]).withColumn("_part", part).persist()
+            if _exists(spark, f"{out}-keys"):
+                # at most KEY_PARTS numbers
+                parts = [r["_part"] for r in batch.select("_part").distinct().collect()]
+                layout = T.StructType([batch.schema[key], T.StructField("_part", T.IntegerType()), T.StructField("_run", T.StringType())])
+                known = spark.read.schema(layout).parquet(f"{out}-keys").where(F.col("_part").isin(parts) & (F.col("_run") != own))
+                batch = batch.join(known.select(key), key, "left_anti")
+            batch = batch.drop("_part")
+        batch.write.mode("overwrite").format(fmt).save(f"{out}/batch-{own}")
+        if key is not None:
+            keys = spark.read.format(fmt).schema(batch.schema).load(f"{out}/batch-{own}").select(key).withColumn("_part", part)
+            keys.repartition("_part").write.mode("overwrite").partitionBy("_part").parquet(f"{out}-keys/_run={own}")
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def landed(spark: SparkSession, out: str, schema, fmt: str = "parquet") -> DataFrame:
+    """All rows that append_new has written."""
+    return spark.read.format(fmt).option("recursiveFileLookup", True).schema(schema).load(out)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def progress(stream: DataFrame, name: str, *counts) -> DataFrame:
     """Attaches named counters that a StreamingQueryListener sees with each batch."""
     return stream.observe(name, F.count(F.lit(1)).alias("rows"), *counts)
