@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,9 +47,9 @@ def retry_temperature(attempt: Column, first: float, step: float) -> Column:
 def fixed(digits: int, missing: str = ""):
     """A text sink's number format, rounded half to even as in C; null gives `missing`."""
 
-    @F.udf("string")
-    def show(x):
-        return missing if x is None else f"{x:.{digits}f}"
+    @F.pandas_udf("string")
+    def show(s: pd.Series) -> pd.Series:
+        return pd.Series([missing if pd.isna(x) else f"{x:.{digits}f}" for x in s], dtype=object)
 
     return show
 
@@ -56,8 +57,8 @@ def fixed(digits: int, missing: str = ""):
 def percent_text(part: Column, whole: Column) -> Column:
     """Percentage with two decimals for a text sink, or N/A."""
 
-    @F.udf("string")
-    def show(x):
-        return "N/A" if x is None else f"{x:.2f}%"
+    @F.pandas_udf("string")
+    def show(s: pd.Series) -> pd.Series:
+        return pd.Series(["N/A" if pd.isna(x) else f"{x:.2f}%" for x in s], dtype=object)
 
     return show(share(part, whole))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -65,6 +66,32 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+#: Similarity, 0 to 1, of two texts.
+Score = Callable[[str, str], float]
+
+#: Match types that rules may name beside `strict`; none as score means Indel similarity.
+MATCH_TYPES: dict[str, Score | None] = {"fuzzy": None}
+
+
+def register_match_type(name: str, score: Score) -> None:
+    """Lets rules use score(a, b) under a name; it runs in tasks, so it must be importable or picklable there."""
+    if name == "strict":
+        raise ValueError("strict is equality")
+    MATCH_TYPES[name] = score
+
+
+def similarity(a: Column, b: Column, score: Score | None = None) -> Column:
+    """The similarity of two texts by a match type's score."""
+    if score is None:
+        return indel_ratio(a, b)
+
+    @F.pandas_udf(T.DoubleType())
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([float(score(p or "", q or "")) for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return run(a, b)
+
+
 def edit_distance(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b)
 
@@ -105,18 +132,18 @@ def assignment(weight: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(i), j) for j, i in enumerate(row_of) if i >= 0 and weight[i, j] > 0)
 
 
-def pair_up(left: list[str], right: list[str], threshold: float) -> list[tuple[int, int, float]]:
+def pair_up(left: list[str], right: list[str], threshold: float, score: Score | None = None) -> list[tuple[int, int, float]]:
     """One-to-one pairs of similar texts with the largest total similarity; ties go to the lowest places.
 
-    Texts are compared only if their lengths allow the threshold, and each connected group of
-    similar texts is assigned by itself. A threshold of 0 is taken as just above it.
+    By Indel similarity, texts are compared only if their lengths allow the threshold. Each connected
+    group of similar texts is assigned by itself. A threshold of 0 is taken as just above it.
     """
     threshold = max(threshold, 1e-9)
     near: dict[tuple[int, int], float] = {}
     for i, a in enumerate(left):
         for j, b in enumerate(right):
-            if 2 * min(len(a), len(b)) >= threshold * (len(a) + len(b)) - 1e-9:
-                s = indel(a, b)
+            if score is not None or 2 * min(len(a), len(b)) >= threshold * (len(a) + len(b)) - 1e-9:
+                s = (score or indel)(a, b)
                 if s >= threshold:
                     near[i, j] = s
     links: dict = {}
@@ -142,12 +169,12 @@ def pair_up(left: list[str], right: list[str], threshold: float) -> list[tuple[i
     return sorted(out)
 
 
-def assign_pairs(left: Column, right: Column, threshold: float) -> Column:
+def assign_pairs(left: Column, right: Column, threshold: float, score: Score | None = None) -> Column:
     """array<struct<l int, r int, score double>> of the one-to-one pairs of two text arrays of a row."""
 
     @F.pandas_udf("array<struct<l:int,r:int,score:double>>")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        got = [pair_up([x or "" for x in (p if p is not None else [])], [x or "" for x in (q if q is not None else [])], threshold) for p, q in zip(a, b, strict=True)]
+        got = [pair_up([x or "" for x in (p if p is not None else [])], [x or "" for x in (q if q is not None else [])], threshold, score) for p, q in zip(a, b, strict=True)]
         return pd.Series([[{"l": i, "r": j, "score": s} for i, j, s in g] for g in got])
 
     return run(left, right)

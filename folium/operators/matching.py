@@ -30,14 +30,15 @@ def strict_counts(gt: DataFrame, pred: DataFrame, doc: str, key: str) -> DataFra
     return n.groupBy(doc).agg(F.sum("m").alias("tp"), F.sum(F.col("p") - F.col("m")).alias("fp"), F.sum(F.col("g") - F.col("m")).alias("fn"))
 
 
-def fuzzy_pairs(gt: DataFrame, pred: DataFrame, doc: str, text: str, threshold: float, idx: str = "idx") -> DataFrame:
+def fuzzy_pairs(gt: DataFrame, pred: DataFrame, doc: str, text: str, threshold: float, idx: str = "idx", score=None) -> DataFrame:
     """(doc, gt_idx, pred_idx, score): the best one-to-one assignment of similar texts in each document.
 
-    Meant for what strict pairs leave over, so documents without rows on both sides never reach Python.
+    Meant for what strict pairs leave over, so documents without rows on both sides never reach
+    Python. A document is one row and one call, which compares all its texts of fitting lengths.
     """
     side = lambda df, name: df.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")))).alias(name))
     both = side(gt, "g").join(side(pred, "p"), doc)
-    found = both.withColumn("m", F.explode(assign_pairs(F.col("g.t"), F.col("p.t"), threshold)))
+    found = both.withColumn("m", F.explode(assign_pairs(F.col("g.t"), F.col("p.t"), threshold, score)))
     return found.select(doc, F.element_at("g", F.col("m.l") + 1).i.alias("gt_idx"), F.element_at("p", F.col("m.r") + 1).i.alias("pred_idx"), F.col("m.score").alias("score"))
 
 
@@ -52,10 +53,15 @@ def greedy_map(source: DataFrame, target: DataFrame, group: str, text: str, thre
 
     Several sources may have one target; equal scores go to the first target. Raw text, 0 to 100.
     """
-    score = score or (lambda a, b: indel_ratio(a, b) * 100)
     s = source.select(group, F.col(idx).alias("src_idx"), F.col(text).alias("_s"))
     t = target.select(group, F.col(idx).alias("tgt_idx"), F.col(text).alias("_t"))
-    both = s.join(t, group).withColumn("score", score(F.col("_s"), F.col("_t"))).where(F.col("score") >= threshold)
+    both = s.join(t, group)
+    if score is None:
+        # texts whose lengths don't allow the threshold never reach Python
+        a, b = F.length("_s"), F.length("_t")
+        both = both.where(200 * F.least(a, b) >= threshold * (a + b) - 1e-6)
+        score = lambda a, b: indel_ratio(a, b) * 100
+    both = both.withColumn("score", score(F.col("_s"), F.col("_t"))).where(F.col("score") >= threshold)
     rank = F.row_number().over(Window.partitionBy(group, "src_idx").orderBy(F.desc("score"), "tgt_idx"))
     return both.withColumn("_r", rank).where("_r = 1").select(group, "src_idx", "tgt_idx", "score")
 
@@ -69,8 +75,12 @@ def mapping_iou(mapping: DataFrame, source: DataFrame, target: DataFrame, group:
     return out.select(group, "mapped", F.when(whole > 0, F.col("mapped") / whole).alias("iou"))
 
 
-def canonical_ids(df: DataFrame, known: DataFrame, id_col: str, normal) -> DataFrame:
-    """Replaces ids by the spelling of `known` (one column of the same name) where the normal forms agree; of equals the last."""
-    spelling = known.select(F.col(id_col).alias("_k"), normal(F.col(id_col)).alias("_n")).groupBy("_n").agg(F.max("_k").alias("_k"))
+def canonical_ids(df: DataFrame, known: DataFrame, id_col: str, normal, *pos: str) -> DataFrame:
+    """Replaces ids by the spelling of `known` (a column of the same name) where the normal forms agree.
+
+    Of several spellings the last by the columns pos of `known` counts; without pos the largest text.
+    """
+    place = F.struct(*pos, id_col) if pos else F.col(id_col)
+    spelling = known.select(F.col(id_col).alias("_k"), normal(F.col(id_col)).alias("_n"), place.alias("_p")).groupBy("_n").agg(F.max_by("_k", "_p").alias("_k"))
     out = df.withColumn("_n", normal(F.col(id_col))).join(spelling, "_n", "left")
     return out.withColumn(id_col, F.coalesce("_k", "_n")).drop("_k", "_n")

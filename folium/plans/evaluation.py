@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.identifiers import slug
 from ..functions.metrics import scores
-from ..functions.similarity import assign_pairs, indel_ratio, normalize, normalize_all
+from ..functions.similarity import assign_pairs, normalize, normalize_all, similarity
 from ..operators.matching import compare_values, fuzzy_pairs, strict_pairs
 from ..schema import EvalConfig
+from ..shared import table
 
 METRICS = ("precision", "recall", "f1_score", "f05_score", "f15_score", "true_positives", "false_positives", "false_negatives")
 
@@ -54,31 +55,44 @@ def entities(docs: DataFrame, config: EvalConfig) -> DataFrame:
     return rows.select("doc_id", F.col("_i").alias("idx"), "key", "arrays", "scalars")
 
 
+def statuses(gt_docs: DataFrame, pred_docs: DataFrame) -> DataFrame:
+    """(doc_id, status) of every ground-truth document: success, null_prediction, or error if there is no prediction."""
+    pred = pred_docs.select("doc_id", F.lit(True).alias("_there"), F.col("entities").isNotNull().alias("_some"))
+    j = gt_docs.select("doc_id").join(pred, "doc_id", "left")
+    return j.select("doc_id", F.when(F.col("_there").isNull(), "error").when(~F.col("_some"), "null_prediction").otherwise("success").alias("status"))
+
+
 def evaluate(gt_docs: DataFrame, pred_docs: DataFrame, config: EvalConfig) -> Evaluation:
     """Matches (doc_id, entities variant) documents and counts.
 
     Every ground-truth document is there with a status: success, null_prediction or error (not
-    predicted); only successes are counted. Predictions of other documents are left out.
+    predicted); only successes are counted. Predictions of other documents are left out. Entities,
+    pairs and counts are written to the shared folder, so that each is normalised, matched and
+    counted once, whatever is asked of the result.
     """
-    status = gt_docs.select("doc_id").join(pred_docs.select("doc_id", F.lit(True).alias("_there"), F.col("entities").isNotNull().alias("_some")), "doc_id", "left")
-    status = status.select("doc_id", F.when(F.col("_there").isNull(), "error").when(~F.col("_some"), "null_prediction").otherwise("success").alias("status"))
+    status = statuses(gt_docs, pred_docs)
     good = status.where("status = 'success'").select("doc_id")
     gt = entities(gt_docs.join(good, "doc_id", "left_semi"), config)
     pred = entities(pred_docs.join(good, "doc_id", "left_semi"), config)
     rule = config.rule(config.key_field)
     normal = (lambda df: df.withColumn("norm", normalize("key"))) if rule.normalization else (lambda df: df.withColumn("norm", F.col("key")))
-    gt, pred = normal(gt), normal(pred)
+    gt, pred = table(normal(gt)), table(normal(pred))
     exact, gt_left, pred_left = strict_pairs(gt, pred, ["doc_id", "norm"])
     pairs = exact.select("doc_id", "gt_idx", "pred_idx", F.lit("strict").alias("kind"))
     if rule.fuzzy:
-        near = fuzzy_pairs(gt_left, pred_left, "doc_id", "norm", rule.similarity_threshold)
+        near = fuzzy_pairs(gt_left, pred_left, "doc_id", "norm", rule.similarity_threshold, score=rule.score)
         pairs = pairs.unionByName(near.select("doc_id", "gt_idx", "pred_idx", F.lit("fuzzy").alias("kind")))
-    pairs = attributes(pairs, gt, pred, config)
-    return Evaluation(status, gt, pred, pairs, count_all(good, gt, pred, pairs, config), config)
+    pairs = table(attributes(pairs, gt, pred, config))
+    return Evaluation(table(status), gt, pred, pairs, table(count_all(good, gt, pred, pairs, config)), config)
 
 
 def attributes(pairs: DataFrame, gt: DataFrame, pred: DataFrame, config: EvalConfig) -> DataFrame:
-    """Adds, for each array field f, f_matched, f_missing, f_extra, f_close (fuzzy pairs of what is left), and full_strict and full_fuzzy."""
+    """Adds, for each array field f, what its values have in common and not, and full_strict and full_fuzzy.
+
+    f_matched, f_missing and f_extra are normalised values; f_missing_text and f_extra_text are the
+    last spellings of them; f_close are fuzzy pairs of what is missing and extra, f_left_gt and
+    f_left_pred what those leave. A scalar field has f_gt, f_pred and f_same.
+    """
     side = lambda df, p: df.select("doc_id", F.col("idx").alias(f"{p}_idx"), F.col("arrays").alias(f"{p}_arrays"), F.col("scalars").alias(f"{p}_scalars"))
     out = pairs.join(side(gt, "gt"), ["doc_id", "gt_idx"]).join(side(pred, "pred"), ["doc_id", "pred_idx"])
     strict, fuzzy = F.lit(True), F.lit(True)
@@ -87,20 +101,25 @@ def attributes(pairs: DataFrame, gt: DataFrame, pred: DataFrame, config: EvalCon
         empty = F.expr("cast(array() as array<string>)")
         for p in ("gt", "pred"):
             value = F.coalesce(F.try_element_at(f"{p}_arrays", F.lit(f)), empty)
-            out = out.withColumn(f"_{p}", normalize_all(value) if rule.normalization else value)
+            out = out.withColumn(f"_{p}_text", value).withColumn(f"_{p}", normalize_all(value) if rule.normalization else value)
         got = compare_values(F.col("_gt"), F.col("_pred"))
         out = out.withColumns({f"{f}_{k}": c for k, c in got.items()})
-        close = assign_pairs(F.col(f"{f}_missing"), F.col(f"{f}_extra"), rule.similarity_threshold) if rule.fuzzy else F.expr("cast(array() as array<struct<l:int,r:int,score:double>>)")
+        close = assign_pairs(F.col(f"{f}_missing"), F.col(f"{f}_extra"), rule.similarity_threshold, rule.score) if rule.fuzzy else F.expr("cast(array() as array<struct<l:int,r:int,score:double>>)")
         out = out.withColumn(f"{f}_close", close)
+        spelt = lambda p, kind, f=f: F.transform(f"{f}_{kind}", lambda n: F.element_at(F.filter(F.arrays_zip(F.col(f"_{p}").alias("n"), F.col(f"_{p}_text").alias("t")), lambda z: z.n == n), -1).t)
+        rest = lambda kind, place, f=f: F.filter(f"{f}_{kind}", lambda n, i: ~F.exists(f"{f}_close", lambda c: c[place] == i))
+        out = out.withColumns({f"{f}_missing_text": spelt("gt", "missing"), f"{f}_extra_text": spelt("pred", "extra"), f"{f}_left_gt": rest("missing", "l"), f"{f}_left_pred": rest("extra", "r")})
         left = [F.size(f"{f}_missing"), F.size(f"{f}_extra")]
         strict &= (left[0] == 0) & (left[1] == 0)
         fuzzy &= (left[0] == F.size(f"{f}_close")) & (left[1] == F.size(f"{f}_close"))
     for f in config.scalar_fields:
-        a, b = (F.coalesce(F.try_element_at(f"{p}_scalars", F.lit(f)), F.lit("")) for p in ("gt", "pred"))
-        same = a == b
-        strict &= same
-        fuzzy &= same | (indel_ratio(a, b) >= config.rule(f).similarity_threshold) if config.rule(f).fuzzy else same
-    return out.withColumns({"full_strict": strict, "full_fuzzy": fuzzy}).drop("_gt", "_pred", "gt_arrays", "pred_arrays", "gt_scalars", "pred_scalars")
+        for p in ("gt", "pred"):
+            out = out.withColumn(f"{f}_{p}", F.coalesce(F.try_element_at(f"{p}_scalars", F.lit(f)), F.lit("")))
+        a, b = F.col(f"{f}_gt"), F.col(f"{f}_pred")
+        out = out.withColumn(f"{f}_same", a == b)
+        strict &= F.col(f"{f}_same")
+        fuzzy &= F.col(f"{f}_same") | (similarity(a, b, config.rule(f).score) >= config.rule(f).similarity_threshold) if config.rule(f).fuzzy else F.col(f"{f}_same")
+    return out.withColumns({"full_strict": strict, "full_fuzzy": fuzzy}).drop("_gt", "_pred", "_gt_text", "_pred_text", "gt_arrays", "pred_arrays", "gt_scalars", "pred_scalars")
 
 
 def count_all(docs: DataFrame, gt: DataFrame, pred: DataFrame, pairs: DataFrame, config: EvalConfig) -> DataFrame:

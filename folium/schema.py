@@ -7,10 +7,12 @@ import os
 import re
 from dataclasses import dataclass, field
 
+from .functions.similarity import MATCH_TYPES, Score
+
 
 @dataclass(frozen=True)
 class Rule:
-    """How a field is compared: strict, or fuzzy from a similarity on; normalised or raw."""
+    """How a field is compared: strict, or by a match type (fuzzy, or a registered one) from a similarity on; normalised or raw."""
 
     match_type: str = "strict"
     normalization: bool = True
@@ -18,7 +20,11 @@ class Rule:
 
     @property
     def fuzzy(self) -> bool:
-        return self.match_type == "fuzzy"
+        return self.match_type in MATCH_TYPES
+
+    @property
+    def score(self) -> Score | None:
+        return MATCH_TYPES.get(self.match_type)
 
 
 @dataclass(frozen=True)
