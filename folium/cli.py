@@ -34,25 +34,61 @@ def evaluate(spark, a) -> int:
     status = {r["status"]: r["count"] for r in e.documents.groupBy("status").count().collect()}
     writers.json_report({"task_name": config.task_name, "reporting_modes": list(config.reporting_modes), "summary": {"total_documents": sum(status.values()), **status}, "reports": reports}, a.output)
     if a.tables:
-        writers.csv(export.correct_documents(e), f"{a.tables}/correct")
-        writers.csv(export.error_documents(e), f"{a.tables}/errors")
-        details = export.error_details(e)
-        if not details.isEmpty():
-            writers.csv(details, f"{a.tables}/details")
         writers.jsonl(e.document_scores(), f"{a.tables}/documents", "overwrite")
+        writers.jsonl(export.document_results(e), f"{a.tables}/results", "overwrite")
+        _tables(spark, f"{a.tables}/results", f"{a.tables}/correct", f"{a.tables}/errors", f"{a.tables}/details")
+    return 0
+
+
+def _tables(spark, results: str, correct: str, errors: str, details: str) -> None:
+    rows = spark.read.schema(export.RESULTS).json(results)
+    writers.csv(export.correct_documents(rows), correct, export.CORRECT)
+    writers.csv(export.error_documents(rows), errors, export.ERRORS)
+    found = export.error_details(rows)
+    if not found.isEmpty():
+        writers.csv(found, details, export.DETAILS)
+
+
+def export_tables(spark, a) -> int:
+    """The tables of saved document results (the folder `results` that evaluate --tables writes)."""
+    _tables(spark, a.input, a.output_prefix + a.correct_suffix, a.output_prefix + a.error_suffix, a.output_prefix + a.details_suffix)
     return 0
 
 
 def convert(spark, a) -> int:
     known = None
     if a.ground_truth:
-        known = readers.json_records(spark, a.ground_truth).select(F.expr("try_variant_get(record, '$.arxiv_id', 'string')").alias("doc_id")).where("doc_id is not null")
-    out, stats = predictions.convert(readers.json_records(spark, a.input), known)
-    writers.jsonl(out.select(F.col("doc_id").alias("arxiv_id"), F.col("authors").alias("predicted_authors")), a.output, "overwrite")
+        known = readers.json_records(spark, a.ground_truth).select(F.expr("try_variant_get(record, '$.arxiv_id', 'string')").alias("doc_id"), "src_file", "src_pos").where("doc_id is not null")
+    records = readers.json_records(spark, a.input)
+    out, stats = predictions.convert(records, known, a.preserve_metadata)
+    kept = [F.try_parse_json(f).alias(f) for f in predictions.METADATA if f in out.columns]
+    writers.jsonl(out.select(F.col("doc_id").alias("arxiv_id"), F.col("authors").alias("predicted_authors"), *kept), a.output, "overwrite")
     print(stats.first().asDict())
+    if a.verbose:
+        # records without an id, or that can't be read
+        bad = records.where(F.coalesce("key", predictions.record_id()).isNull())
+        for r in profile.preview(bad.select("src_file", "src_pos", "error"), 10, "src_file", "src_pos").collect():
+            print(r.asDict())
     return 0
 
 
+def to_test_format(spark, a) -> int:
+    """Ground truth in the test format from records of a bibliographic API, saved as JSON lines, joined by DOI."""
+    get = lambda k, t="string": F.expr(f"try_variant_get(record, '$.{k}', '{t}')")
+    wanted = readers.json_records(spark, a.input).select(get("arxiv_id").alias("arxiv_id"), get("doi").alias("own_doi"), get("filename").alias("filename"), "src_file", "src_pos")
+    people = "array<struct<raw_author_name:string,author:struct<display_name:string>,raw_affiliation_strings:array<string>>>"
+    records = readers.jsonl(spark, a.records).where("error is null").select(get("doi").alias("doi"), get("title").alias("title"), get("display_name").alias("display_name"), get("language").alias("language"), get("authorships", people).alias("authorships"), "src_file", "src_pos")
+    records = catalog.last_wins(records.withColumn("k", ids.plain_doi(F.col("doi"))), "k", "src_file", "src_pos").drop("src_file", "src_pos")
+    asked = wanted.where(F.coalesce("own_doi", F.lit("")) != "").withColumn("k", ids.plain_doi(F.col("own_doi")))
+    found = asked.join(records, "k").withColumn("doi", F.coalesce("doi", "own_doi"))
+    out = predictions.api_record(found, "src_file", "src_pos").cache()
+    writers.json_array(out.orderBy("src_file", "src_pos").select("arxiv_id", "doi", "title", "authors", "filename"), a.output)
+    s = out.agg(F.count("*").alias("converted"), F.count_if("missing_all").alias("no_affiliations")).first()
+    total = wanted.count()
+    print({"total": total, "converted": s["converted"], "failed": total - s["converted"], "no_affiliations": s["no_affiliations"]})
+    return int(total > s["converted"])
+
+
 def profile_snapshot(spark, a) -> int:
     works = readers.snapshot(spark, a.input)
     found = profile.classify_works(works, a.source).cache()
@@ -135,6 +171,10 @@ def batches(spark, a) -> int:
         there = readers.lines(spark, a.present).select(F.col("value").alias("local_path"))
         rows = catalog.not_present(rows, there, "local_path")
     out = catalog.batches(rows, "gcs_path", size=a.size, count=a.count)
+    if a.dry_run:
+        s = out.agg(F.count("*").alias("files"), F.max("batch").alias("batches")).first().asDict()
+        print(s)
+        return 0
     writers.numbered_batches(out, "batch", a.output)
     return 0
 
@@ -143,11 +183,19 @@ def resolve(spark, a) -> int:
     wanted = readers.json_records(spark, a.input).select(F.expr("try_variant_get(record, '$.arxiv_id', 'string')").alias("arxiv_id"))
     listing = readers.object_listing(spark, a.listing).cache()
     out = catalog.resolve(wanted, listing, listing)
-    writers.routed(out, {"resolved": F.col("status") != "not_found", "not_found": F.col("status") == "not_found"}, a.output)
     if a.present:
         there = readers.lines(spark, a.present).select(ids.base_name(F.col("value")).alias("name"))
-        found = catalog.by_base_name(out.where("status <> 'not_found'"), "url")
-        writers.jsonl(catalog.not_present(found, there, "name").drop("name"), f"{a.output}/pending", "overwrite")
+        left = catalog.not_present(catalog.by_base_name(out.where("status <> 'not_found'"), "url"), there, "name").drop("name")
+    else:
+        left = out.where("status <> 'not_found'")
+    if a.dry_run:
+        first = profile.preview(left, 10, "arxiv_id").collect()
+        for r in first:
+            print(r["url"])
+        print(f"{first[0]['remaining'] if first else 0} more to fetch")
+        return 0
+    writers.routed(out, {"resolved": F.col("status") != "not_found", "not_found": F.col("status") == "not_found"}, a.output)
+    writers.jsonl(left, f"{a.output}/pending", "overwrite")
     return 0
 
 
@@ -178,14 +226,26 @@ def reassemble(spark, a) -> int:
     good = pages.where(F.coalesce("success", F.lit(False))).where("r.error is null").select("document_id", "page", "src_pos", documents.layout_elements(F.col("r.json")).alias("elements"))
     out = documents.assemble_markdown(good, markers=not a.no_page_markers, skip_margins=a.skip_headers_footers)
     writers.markdown_files(out, "document_id", "markdown", f"{a.output}/markdown")
-    bad = documents.page_failures(pages.withColumn("success", F.coalesce("success", F.lit(False)) & F.col("r.error").isNull()))
+    if a.output_jsonl:
+        bare = documents.assemble_markdown(good, markers=not a.no_page_markers, skip_margins=a.skip_headers_footers, header=False)
+        writers.jsonl(bare.select("document_id", F.col("markdown").alias("markdown_text")), a.output_jsonl, "overwrite")
+    judged = pages.withColumn("success", F.coalesce("success", F.lit(False)) & F.col("r.error").isNull())
+    bad = documents.page_failures(judged)
     writers.csv(bad, f"{a.output}/failures")
+    s = documents.page_totals(judged).first()
+    done, all_ = out.count(), judged.select("document_id").distinct().count()
+    share = 100 * s["succeeded"] / s["total"] if s["total"] else 0.0
+    head = [f"Input: {a.input}", f"Successful pages: {s['succeeded']}", f"Failed pages: {s['failed']}", f"Success rate: {share:.2f}%", f"Documents processed: {done}", f"Documents failed: {all_ - done}"]
+    failed = (f"  {r['document_id']}: pages {r['pages']}" for r in bad.orderBy("document_id").toLocalIterator())
+    writers.text_report([*head, "Failed pages:" if s["failed"] else "All pages were processed.", *failed], f"{a.output}/processing_report.txt")
     return 0
 
 
 COMMANDS = {
     "evaluate": (evaluate, ["ground_truth", "predictions", "output", "config"], {"tables": None}),
-    "convert": (convert, ["input", "output"], {"ground_truth": None}),
+    "export": (export_tables, ["input", "output_prefix"], {"correct_suffix": "_correct", "error_suffix": "_errors", "details_suffix": "_errors_details"}),
+    "convert": (convert, ["input", "output"], {"ground_truth": None, "preserve_metadata": False, "verbose": False}),
+    "to-test-format": (to_test_format, ["input", "records", "output"], {}),
     "profile-snapshot": (profile_snapshot, ["input", "output", "report"], {"source": None}),
     "profile-nulls": (profile_nulls, ["input", "output"], {"sample": 0, "seed": 42}),
     "compare": (compare, ["base", "candidate"], {"output": None}),
@@ -194,11 +254,11 @@ COMMANDS = {
     "sample": (sample, ["input", "output"], {"size": 10_000, "seed": 42}),
     "check-pdfs": (check_pdfs, ["input", "output"], {}),
     "manifest": (manifest, ["input", "output"], {}),
-    "batches": (batches, ["input", "output"], {"size": 0, "count": 0, "present": None}),
-    "resolve": (resolve, ["input", "listing", "output"], {"present": None}),
+    "batches": (batches, ["input", "output"], {"size": 0, "count": 0, "present": None, "dry_run": False}),
+    "resolve": (resolve, ["input", "listing", "output"], {"present": None, "dry_run": False}),
     "prepare": (prepare, ["input", "output"], {"flat": False}),
     "merge": (merge, ["input", "output"], {}),
-    "reassemble": (reassemble, ["input", "output"], {"no_page_markers": False, "skip_headers_footers": False}),
+    "reassemble": (reassemble, ["input", "output"], {"no_page_markers": False, "skip_headers_footers": False, "output_jsonl": None}),
 }
 
 
@@ -219,7 +279,10 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None) -> int:
-    args = parser().parse_args(argv)
+    p = parser()
+    args = p.parse_args(argv)
+    if args.command == "batches" and bool(args.size) == bool(args.count):
+        p.error("give either --size or --count")
     return COMMANDS[args.command][0](session(), args)
 
 

@@ -134,3 +134,8 @@ def directory_name(c: Column) -> Column:
 def source_of(c: Column) -> Column:
     """Last part of a source's id."""
     return F.substring_index(c, "/", -1)
+
+
+def plain_doi(c: Column) -> Column:
+    """A DOI in lower case without its resolver."""
+    return F.regexp_replace(F.lower(strip(c)), r"^(?:https?://(?:dx\.)?doi\.org/|doi:)", "")

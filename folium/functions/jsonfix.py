@@ -95,7 +95,12 @@ _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 
 
 def mend(text: str | None) -> tuple[str | None, str | None]:
-    """(valid JSON text, None) or (None, reason): the first of several repairs that parses."""
+    """(valid JSON text, None) or (None, reason): the first of several repairs that parses.
+
+    The text as it is, strictly and then with raw control characters allowed; the same of the text
+    with stray quotes and line ends escaped; that text with bad escapes mended, with control
+    characters blanked, and with both, strictly.
+    """
     if text is None:
         return None, "missing"
     if truncated(text):
@@ -105,7 +110,7 @@ def mend(text: str | None) -> tuple[str | None, str | None]:
     blanks = lambda t: _CONTROL.sub(" ", t)
     tries = [(text, True), (text, False)]
     tries += [(clean, True), (clean, False)] if clean != text else []
-    tries += [(slashes(text), False), (blanks(text), False), (slashes(blanks(text)), False), (slashes(blanks(clean)), False)]
+    tries += [(slashes(clean), True), (blanks(clean), True), (blanks(slashes(clean)), True)]
     reason = "unparsed"
     for t, strict in tries:
         try:

@@ -48,6 +48,17 @@ def not_present(wanted: DataFrame, present: DataFrame, on: str) -> DataFrame:
     return wanted.join(present.select(on).distinct(), on, "left_anti")
 
 
+def not_downloaded(wanted: DataFrame, files: DataFrame, on: str, length: str = "length", least: int = 4096) -> DataFrame:
+    """Rows whose file isn't there or is no longer than `least` bytes, as broken downloads are."""
+    return not_present(wanted, files.where(F.col(length) > least), on)
+
+
+def set_sides(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """(value, side) of the distinct values of two tables: left, right or both."""
+    a, b = left.select(on).distinct().withColumn("_l", F.lit(1)), right.select(on).distinct().withColumn("_r", F.lit(1))
+    return a.join(b, on, "full").select(on, F.when(F.col("_l").isNull(), "right").when(F.col("_r").isNull(), "left").otherwise("both").alias("side"))
+
+
 def pending(resolved: DataFrame, todo: DataFrame, on: str) -> DataFrame:
     return resolved.join(todo.select(on).distinct(), on, "left_semi")
 

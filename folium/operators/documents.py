@@ -20,7 +20,7 @@ def merge_pages(pages: DataFrame) -> DataFrame:
     total = F.when(F.coalesce("total_tokens", F.lit(0)) != 0, F.col("total_tokens")).otherwise(F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0)))
     text = F.regexp_replace(F.coalesce("content", F.lit("")), r"(?U)\s+$", "")
     place = F.struct(F.coalesce("page_index", F.lit(0)).alias("i"), F.coalesce("page", F.lit(0)).alias("p"), F.col("src_pos").alias("s"), text.alias("t"))
-    turned = F.struct(F.col("src_pos").alias("s"), F.coalesce("page", F.lit(0)).alias("p"), F.coalesce("rotation_applied", F.lit(0)).alias("r"))
+    turned = F.struct(F.coalesce("page", F.lit(0)).alias("p"), F.col("src_pos").alias("s"), F.coalesce("rotation_applied", F.lit(0)).alias("r"))
     out = pages.groupBy("document_id").agg(
         F.min_by("pdf_path", "src_pos").alias("pdf_path"),
         F.min_by("model", "src_pos").alias("model"),
@@ -33,7 +33,10 @@ def merge_pages(pages: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(place)).alias("_pages"),
         F.array_sort(F.collect_list(turned)).alias("_turned"),
     )
-    last = F.map_from_entries(F.transform(F.filter("_turned", lambda x, i: ~F.exists("_turned", lambda y: (y.p == x.p) & (y.s > x.s))), lambda x: F.struct(x.p, x.r)))
+    # sorted by page and place, so the last of a page has another page behind it
+    after = F.slice("_turned", 2, F.size("_turned"))
+    last = F.filter(F.transform("_turned", lambda x, i: F.when(F.coalesce(F.get(after, i).p, x.p + 1) != x.p, F.struct(x.p, x.r))), lambda x: x.isNotNull())
+    last = F.map_from_entries(last)
     body = F.array_join(F.filter(F.transform("_pages", lambda x: x.t), lambda t: t != ""), "\n")
     return out.withColumns({"rotation_applied": last, "text": body}).drop("_pages", "_turned")
 

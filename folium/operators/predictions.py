@@ -12,6 +12,7 @@ from .matching import canonical_ids
 
 # Keys that hold a prediction, in order, and metadata that is kept.
 PREDICTION_KEYS = ("predicted_authors", "prediction", "predictions", "authors")
+METADATA = ("doi", "title", "filename", "processing_time", "error")
 AUTHORS = "array<struct<name:string,affiliations:array<string>>>"
 
 
@@ -57,11 +58,13 @@ def clean_authors(df: DataFrame, variant: str, out: str = "authors") -> DataFram
     return df.withColumn(out, kept.cast(AUTHORS)).drop("_items", "_shaped")
 
 
-def convert(records: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def convert(records: DataFrame, known: DataFrame | None = None, metadata: bool = False) -> tuple[DataFrame, DataFrame]:
     """(doc_id, authors; one row of stats) of records (src_file, src_pos, key, record, error).
 
     A key of a file's object is the id of its list. Null predictions are empty lists; the last
-    record of an id wins; ids take the spelling of `known` (column doc_id) where it has them.
+    record of an id wins; ids take the spelling of `known` (column doc_id, and src_file and src_pos,
+    of which the last of equals counts) where it has them. With metadata, a record's METADATA come
+    along as JSON text, null where it has none.
     """
     rows = records.withColumn("doc_id", F.coalesce(F.col("key"), record_id()))
     rows = rows.withColumn("_list", F.when(F.col("key").isNotNull(), F.col("record")).otherwise(payload()))
@@ -73,8 +76,15 @@ def convert(records: DataFrame, known: DataFrame | None = None) -> tuple[DataFra
         F.count_if(F.col("doc_id").isNotNull() & (F.size("authors") == 0)).alias("null_predictions"),
         F.count_if(F.col("doc_id").isNull()).alias("errors"),
     )
-    good = rows.where("doc_id is not null").select("doc_id", "authors", "src_file", "src_pos")
-    good = good.withColumn("doc_id", ids.paper_id(F.col("doc_id"))) if known is None else canonical_ids(good, known, "doc_id", ids.paper_id)
+    kept = []
+    for f in METADATA if metadata else ():
+        v = F.expr(f"try_variant_get(record, '$.{f}', 'variant')")
+        kept.append(F.when(F.col("key").isNull() & ~F.is_variant_null(v), F.to_json(v)).alias(f))
+    good = rows.where("doc_id is not null").select("doc_id", "authors", "src_file", "src_pos", *kept)
+    if known is None:
+        good = good.withColumn("doc_id", ids.paper_id(F.col("doc_id")))
+    else:
+        good = canonical_ids(good, known, "doc_id", ids.paper_id, *(c for c in ("src_file", "src_pos") if c in known.columns))
     return last_wins(good, "doc_id", "src_file", "src_pos").drop("src_file", "src_pos"), counted
 
 
@@ -109,14 +119,15 @@ def annotations(rows: DataFrame) -> DataFrame:
     return top.join(authors, "link", "left").select(ident.alias("arxiv_id"), doi.alias("doi"), "title", F.coalesce(F.col("x.v").cast(AUTHORS), empty).alias("authors"), ids.base_name(F.col("link")).alias("filename"), "first")
 
 
-def api_record(rows: DataFrame) -> DataFrame:
+def api_record(rows: DataFrame, *keep: str) -> DataFrame:
     """Ground-truth documents of bibliographic records joined to their inputs.
 
     rows: arxiv_id, filename, doi, title, display_name, language, authorships. Raw names win over
-    display names; nameless authors go; `missing_all` says that nobody has an affiliation.
+    display names; nameless authors go; `missing_all` says that nobody has an affiliation. Columns
+    named in keep come along.
     """
     name = lambda a: F.coalesce(F.nullif(a.raw_author_name, F.lit("")), F.nullif(a.author.display_name, F.lit("")))
-    people = F.filter(F.transform(F.coalesce("authorships", F.expr("array()")), lambda a: F.struct(name(a).alias("name"), F.coalesce(a.raw_affiliation_strings, F.expr("array()")).alias("affiliations"))), lambda x: x.name.isNotNull())
+    people = F.filter(F.transform(F.coalesce("authorships", F.expr("array()")), lambda a: F.struct(name(a).alias("name"), F.coalesce(a.raw_affiliation_strings, F.expr("array()")).alias("affiliations"))), lambda x: x["name"].isNotNull())
     out = rows.withColumn("authors", people.cast(AUTHORS))
     title = F.struct(F.coalesce(F.nullif("title", F.lit("")), F.col("display_name")).alias("text"), F.coalesce("language", F.lit("en")).alias("lang"))
-    return out.select("arxiv_id", "doi", title.alias("title"), "authors", "filename", F.coalesce(F.forall("authors", lambda a: F.size(a.affiliations) <= 0), F.lit(True)).alias("missing_all"))
+    return out.select("arxiv_id", "doi", title.alias("title"), "authors", "filename", F.coalesce(F.forall("authors", lambda a: F.size(a.affiliations) <= 0), F.lit(True)).alias("missing_all"), *keep)

@@ -87,12 +87,23 @@ def sample_random(df: DataFrame, n: int, seed: int | None = None) -> DataFrame:
     return df.orderBy(F.rand(seed)).limit(n)
 
 
+def preview(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in an order, each with how many more there are."""
+    return df.orderBy(*order).limit(n).withColumn("remaining", F.lit(max(0, df.count() - n)).cast("long"))
+
+
+def normalize_stats(df: DataFrame, column: str) -> DataFrame:
+    """lookups, misses and hits of normalising each distinct value of a column once."""
+    out = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("lookups"), F.count("*").alias("misses"))
+    return out.withColumn("hits", F.col("lookups") - F.col("misses"))
+
+
 def missing_all(authors: Column) -> Column:
     """Whether no author has an affiliation; true without authors."""
     return F.coalesce(F.forall(authors, lambda a: F.coalesce(F.size(a.affiliations), F.lit(0)) <= 0), F.lit(True))
 
 
-def run_summary(df: DataFrame, result: str, seconds: str) -> DataFrame:
-    """total, succeeded (result isn't null, even if empty), failed and mean seconds of inference rows."""
+def run_summary(df: DataFrame, result: str, seconds: str, *by: str) -> DataFrame:
+    """total, succeeded (result isn't null, even if empty), failed and mean seconds of inference rows, for each group if asked for."""
     ok = F.col(result).isNotNull()
-    return df.agg(F.count("*").alias("total"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"), F.avg(seconds).alias("avg_seconds"))
+    return df.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"), F.avg(seconds).alias("avg_seconds"))

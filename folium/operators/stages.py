@@ -52,6 +52,12 @@ def call_model(pages: DataFrame, client: Callable[[dict], str], tries: int = 3,
     return pages.mapInPandas(run, RESULT)
 
 
+def training_rows(df: DataFrame, template: str, text: str = "pdf_content", answer: str = "authors", drop: tuple[str, ...] = ("doi", "title", "filename"), most_chars: int = 28_000) -> DataFrame:
+    """Rows for training: prompt (messages with the text's head) and answer take the place of the source columns."""
+    own = [c for c in df.columns if c not in (text, answer, "prompt", "answer", *drop)]
+    return df.select(*own, prompt(F.col(text), template, most_chars).alias("prompt"), F.col(answer).alias("answer"))
+
+
 def failed_documents(documents: DataFrame, pages: DataFrame) -> DataFrame:
     """A page-0 error row for each document of which no page came back."""
     none = documents.select(F.col("document_id").cast("string").alias("document_id")).join(pages.select("document_id").distinct(), "document_id", "left_anti")

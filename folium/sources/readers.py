@@ -17,9 +17,15 @@ WORK = "id string, doi string, primary_location struct<source:struct<id:string>>
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(src_file, src_pos, value) of the physical lines of text files, compressed or not."""
+    """(src_file, src_pos, value) of the physical lines of text files, compressed or not.
+
+    src_pos grows along a file, whichever tasks read its blocks: where the block begins, then the
+    line's number within its task.
+    """
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("_b"), "value")
-    return rows.withColumn("src_pos", F.monotonically_increasing_id()).drop("_b").select("src_file", "src_pos", "value")
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    place = (F.col("_b").cast("decimal(19,0)") * F.lit(2**33).cast("decimal(10,0)") + number.cast("decimal(10,0)")).cast("decimal(30,0)")
+    return rows.withColumn("src_pos", place).select("src_file", "src_pos", "value")
 
 
 def jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -58,7 +64,7 @@ def json_records(spark: SparkSession, path: str) -> DataFrame:
     for k in ID_KEYS:
         own_id = own_id | F.expr(f"try_variant_get(record, '$.{k}', 'string') is not null")
     single = kind.startswith("OBJECT") & own_id
-    shape = lambda df: df.select("src_file", F.col("src_pos").cast("long").alias("src_pos"), F.col("key").cast("string").alias("key"), "record", none.alias("error"))
+    shape = lambda df: df.select("src_file", F.col("src_pos").cast("decimal(30,0)").alias("src_pos"), F.col("key").cast("string").alias("key"), "record", none.alias("error"))
     listed = whole.where(kind.startswith("ARRAY")).select("src_file", F.posexplode(F.expr("try_variant_get(record, '$', 'array<variant>')")).alias("src_pos", "record")).withColumn("key", none)
     keyed = whole.where(kind.startswith("OBJECT") & ~single).select("src_file", F.posexplode(F.expr("try_variant_get(record, '$', 'map<string,variant>')")).alias("src_pos", "key", "record"))
     alone = whole.where(single).withColumns({"src_pos": F.lit(0), "key": none})
@@ -78,9 +84,13 @@ def snapshot(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("src_file", "r.*")
 
 
-def csv_rows(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """CSV with a header, quoted line ends allowed; all columns are text."""
-    return spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("sep", sep).csv(path)
+def csv_rows(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True) -> DataFrame:
+    """CSV with a header; all columns are text.
+
+    Quoted line ends are allowed, for which a file is one task; large files without any are split
+    between tasks with multi_line off.
+    """
+    return spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"').option("sep", sep).csv(path)
 
 
 def column_named(df: DataFrame, name: str) -> Column:

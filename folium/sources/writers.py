@@ -19,6 +19,17 @@ def json_report(data: dict | list, path: str | None = None, sort_keys: bool = Fa
     return text
 
 
+def json_array(df: DataFrame, path: str) -> None:
+    """One JSON document, a list of the rows of a small or moderate result, written row by row as they arrive."""
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("[\n")
+        for k, r in enumerate(rows):
+            f.write((",\n" if k else "") + json.dumps(json.loads(r["j"]), indent=2, ensure_ascii=False))
+        f.write("\n]\n")
+
+
 def text_report(lines: list[str], path: str) -> None:
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
@@ -66,6 +77,11 @@ def numbered_batches(df: DataFrame, batch: str, path: str, sep: str = "\t") -> N
 
 
 def markdown_files(df: DataFrame, id_col: str, text_col: str, path: str) -> None:
-    """A text file for each document, named after it, below a partition folder that tasks write."""
-    safe = F.regexp_replace(F.col(id_col), r"[^0-9A-Za-z._-]+", "_")
+    """A text file for each document, named after it, below a partition folder that tasks write.
+
+    A name that has to be changed ends with a hash of the id, so that no two documents share a folder.
+    """
+    ident = F.col(id_col).cast("string")
+    plain = F.regexp_replace(ident, r"[^0-9A-Za-z._-]+", "_")
+    safe = F.when(plain == ident, ident).otherwise(F.concat(plain, F.lit("-"), F.substring(F.md5(ident.cast("binary")), 1, 12)))
     df.select(safe.alias("document"), F.col(text_col).alias("value")).write.mode("overwrite").partitionBy("document").text(path)
