@@ -51,10 +51,12 @@ def query(sql: str | None = None):
 
 
 def _works(t):
-    """Orders as works, their lines as authors; a line that isn't flagged N is affiliated."""
-    lines = t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("authors"), F.count_if(F.col("l_returnflag") != "N").alias("affiliated"))
-    works = t("orders").select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").na.fill(0, ["authors", "affiliated"])
-    return works.withColumns({"category": profile.category(F.col("authors"), F.col("affiliated")), "pct": F.when(F.col("authors") > 0, F.col("affiliated") * 100.0 / F.col("authors"))})
+    """Orders as works of a snapshot, their lines as authors; a line that isn't flagged N has an institution."""
+    place = F.when(F.col("l_returnflag") != "N", F.array("l_linestatus")).otherwise(F.expr("cast(array() as array<string>)"))
+    lines = t("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(place.alias("institutions"))).alias("authorships"))
+    source = F.concat(F.lit("https://example.org/S"), (F.col("o_orderkey") % 3).cast("string"))
+    works = t("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return works.select(F.col("o_orderkey").cast("string").alias("id"), F.lit(None).cast("string").alias("doi"), F.struct(F.struct(source.alias("id")).alias("source")).alias("primary_location"), "authorships")
 
 
 _WORKS_SQL = """
@@ -70,12 +72,17 @@ SELECT CASE WHEN authors = 0 THEN 'no_authors' WHEN affiliated = authors THEN 'a
 FROM ({_WORKS_SQL}) GROUP BY 1
 """)
 def completeness_categories(t):
-    return _works(t).groupBy("category").agg(F.count("*").alias("works"), F.sum("authors").alias("authors"))
+    return profile.classify_works(_works(t)).groupBy("category").agg(F.count("*").alias("works"), F.sum("authors").alias("authors"))
 
 
-@query(f"SELECT median(affiliated * 100.0::DOUBLE / authors) AS median_pct, count(*)::BIGINT AS works FROM ({_WORKS_SQL}) WHERE authors > 0")
+@query(f"""
+SELECT median(affiliated * 100.0::DOUBLE / authors) FILTER (WHERE authors > 0) AS median_pct, count(*)::BIGINT AS works_found,
+       count(*) FILTER (WHERE authors > 0 AND affiliated = authors)::BIGINT AS all_affiliations, count(*) FILTER (WHERE affiliated > 0 AND affiliated < authors)::BIGINT AS partial_affiliations
+FROM ({_WORKS_SQL}) WHERE o_orderkey % 3 = 1
+""")
 def completeness_median(t):
-    return _works(t).where("authors > 0").agg(F.median("pct").alias("median_pct"), F.count("*").alias("works"))
+    """The summary of the works of one source."""
+    return profile.completeness_summary(profile.classify_works(_works(t), "S1")).select("median_pct", "works_found", "all_affiliations", "partial_affiliations")
 
 
 @query("SELECT page_id, split_part(url, '/', 3) AS host FROM pages WHERE split_part(url, '/', -1) LIKE '%1'")
@@ -171,10 +178,8 @@ def batch_by_count(t):
 
 @query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'error' WHEN l.toxic = 1 THEN 'null_prediction' ELSE 'success' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)")
 def tri_state_join(t):
-    gt = t("documents").select("doc_id")
-    pred = t("labels").select("doc_id", F.when(F.col("toxic") == 0, F.lit("[]")).alias("entities"))
-    j = gt.join(pred.withColumn("_there", F.lit(True)), "doc_id", "left")
-    return j.select("doc_id", F.when(F.col("_there").isNull(), "error").when(F.col("entities").isNull(), "null_prediction").otherwise("success").alias("status"))
+    pred = t("labels").select("doc_id", F.when(F.col("toxic") == 0, F.parse_json(F.lit("[]"))).alias("entities"))
+    return evaluation.statuses(t("documents"), pred)
 
 
 @query("""
@@ -234,30 +239,47 @@ def edit_similarity(t):
     return a.join(b, ["p_brand", "p_size"]).where("a < b").select("a", "b", edit_distance(F.col("x"), F.col("y")).cast("long").alias("edits"))
 
 
-@query()
+@query("""
+WITH RECURSIVE w AS (SELECT DISTINCT c_mktsegment AS a, o_orderpriority AS b FROM customer JOIN orders ON o_custkey = c_custkey),
+lcs(a, b, i, l) AS (
+  SELECT a, b, 0, [0 FOR j IN range(length(b) + 1)] FROM w
+  UNION ALL
+  SELECT a, b, i + 1, [list_max([greatest(l[k + 1], CASE WHEN k > 0 AND a[i + 1] = b[k] THEN l[k] + 1 ELSE 0 END) FOR k IN range(j + 1)]) FOR j IN range(length(b) + 1)] FROM lcs WHERE i < length(a)
+)
+SELECT o_orderkey, 2.0::DOUBLE * l[length(b) + 1] / (length(a) + length(b)) AS score
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN lcs ON a = c_mktsegment AND b = o_orderpriority AND i = length(a)
+""")
 def indel_similarity(t):
-    a = t("nation").select("n_regionkey", F.col("n_name").alias("a"))
-    b = t("nation").select("n_regionkey", F.col("n_name").alias("b"))
-    return a.join(b, "n_regionkey").where("a < b").select("a", "b", indel_ratio("a", "b").alias("score"))
+    """Similarity of each order's priority to its customer's segment."""
+    rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return rows.select("o_orderkey", indel_ratio("c_mktsegment", "o_orderpriority").alias("score"))
 
 
-@query()
+def _numbered(t):
+    """Customers and suppliers by the nine digits of their names, in groups of fifty keys."""
+    side = lambda name, key, text: t(name).select(F.floor(F.col(key) / 50).cast("long").alias("doc_id"), F.col(key).alias("idx"), F.regexp_extract(text, "([0-9]+)$", 1).alias("text"))
+    return side("customer", "c_custkey", "c_name"), side("supplier", "s_suppkey", "s_name")
+
+
+_NUMBERED_SQL = """
+WITH g AS (SELECT c_custkey // 50 AS doc_id, c_custkey AS idx, regexp_extract(c_name, '([0-9]+)$', 1) AS text FROM customer),
+     p AS (SELECT s_suppkey // 50 AS doc_id, s_suppkey AS idx, regexp_extract(s_name, '([0-9]+)$', 1) AS text FROM supplier)
+"""
+
+
+@query(_NUMBERED_SQL + "SELECT g.doc_id, g.idx AS gt_idx, p.idx AS pred_idx, 1.0::DOUBLE AS score FROM g JOIN p ON g.doc_id = p.doc_id AND g.text = p.text")
 def fuzzy_assignment(t):
-    """Customers and suppliers of a nation with similar names, one to one."""
-    g = t("customer").select(F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("idx"), F.regexp_extract("c_name", "([0-9]+)$", 1).alias("text"))
-    p = t("supplier").select(F.col("s_nationkey").alias("doc_id"), F.col("s_suppkey").alias("idx"), F.regexp_extract("s_name", "([0-9]+)$", 1).alias("text"))
-    return matching.fuzzy_pairs(g, p, "doc_id", "text", 0.95)
+    """Customers and suppliers with similar numbers, one to one, among fifty of each.
 
+    Numbers that differ in a digit are similar too, but the whole is largest where equals pair off.
+    """
+    return matching.fuzzy_pairs(*_numbered(t), "doc_id", "text", 0.85)
 
-@query("""
-WITH c AS (SELECT c_nationkey AS g, c_custkey AS src_idx, s_suppkey AS tgt_idx, 100 - 10 * levenshtein(c_name, s_name)::DOUBLE AS score FROM customer JOIN supplier ON c_nationkey = s_nationkey),
-     r AS (SELECT *, row_number() OVER (PARTITION BY g, src_idx ORDER BY score DESC, tgt_idx) AS r FROM c WHERE score >= 10)
-SELECT g, src_idx, tgt_idx, score FROM r WHERE r = 1
-""")
+
+@query(_NUMBERED_SQL + "SELECT g.doc_id, g.idx AS src_idx, p.idx AS tgt_idx, 100.0::DOUBLE AS score FROM g JOIN p ON g.doc_id = p.doc_id AND g.text = p.text")
 def greedy_map(t):
-    s = t("customer").select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("idx"), F.col("c_name").alias("text"))
-    p = t("supplier").select(F.col("s_nationkey").alias("g"), F.col("s_suppkey").alias("idx"), F.col("s_name").alias("text"))
-    return matching.greedy_map(s, p, "g", "text", 10, score=lambda a, b: 100 - 10 * edit_distance(a, b).cast("double"))
+    """Customers to suppliers by number, among fifty of each. Numbers that differ in one of nine digits stay under 90."""
+    return matching.greedy_map(*_numbered(t), "doc_id", "text")
 
 
 _RULE_SQL = "SELECT lang, count(*) FILTER (WHERE n_chars {op} {n} AND quality = 1)::BIGINT AS tp, count(*) FILTER (WHERE n_chars {op} {n} AND quality = 0)::BIGINT AS fp, count(*) FILTER (WHERE NOT n_chars {op} {n} AND quality = 1)::BIGINT AS fn FROM documents JOIN labels USING (doc_id) GROUP BY lang"
@@ -280,8 +302,16 @@ WITH c AS (SELECT lang, (n_chars >= 500)::INT = quality AS a, (n_chars >= 300)::
 SELECT lang, count(*) FILTER (WHERE a AND b)::BIGINT AS tp, count(*) FILTER (WHERE NOT (a AND b))::BIGINT AS fp, count(*) FILTER (WHERE NOT (a AND b))::BIGINT AS fn FROM c GROUP BY lang
 """)
 def combined_penalty(t):
-    full = ((F.col("n_chars") >= 500).cast("int") == F.col("quality")) & ((F.col("n_chars") >= 300).cast("int") == 1 - F.col("toxic"))
-    return t("documents").join(t("labels"), "doc_id").groupBy("lang").agg(F.count_if(full).alias("tp"), F.count_if(~full).alias("fp"), F.count_if(~full).alias("fn"))
+    """Documents with one entity each, whose two fields are guessed from the length: partial matches count against both sides."""
+    from ..schema import EntitySchema, EvalConfig
+
+    config = EvalConfig(EntitySchema({"name": "string", "long": "string", "clean": "string"}, "Document"))
+    rows = t("documents").join(t("labels"), "doc_id")
+    entity = lambda long, clean: F.parse_json(F.to_json(F.array(F.struct(F.col("source").alias("name"), long.cast("int").cast("string").alias("long"), clean.cast("int").cast("string").alias("clean")))))
+    gt = rows.select("doc_id", entity(F.col("quality"), 1 - F.col("toxic")).alias("entities"))
+    pred = rows.select("doc_id", entity(F.col("n_chars") >= 500, F.col("n_chars") >= 300).alias("entities"))
+    counts = evaluation.evaluate(gt, pred, config).counts.where("category = 'combined' and mode = 'strict'")
+    return counts.join(t("documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
 
 
 def _long(t, least):
@@ -388,13 +418,15 @@ def token_usage(t):
     return documents.merge_pages(pages).select(F.col("document_id").alias("user_id"), "prompt_tokens", "total_tokens")
 
 
-@query("SELECT o_custkey, count(DISTINCT o_orderkey)::BIGINT AS orders, count(DISTINCT (o_orderkey, l_suppkey))::BIGINT AS suppliers FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey")
+@query("SELECT 'arXiv:' || o_custkey AS arxiv_id, count(DISTINCT o_orderkey)::BIGINT AS orders, count(DISTINCT (o_orderkey, l_suppkey))::BIGINT AS suppliers FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey")
 def nested_group(t):
-    rows = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "o_orderkey", "l_suppkey", F.col("l_linenumber").alias("pos"))
-    once = rows.groupBy("o_custkey", "o_orderkey", "l_suppkey").agg(F.min("pos").alias("pos"))
-    inner = once.groupBy("o_custkey", "o_orderkey").agg(F.array_sort(F.collect_list(F.struct("pos", "l_suppkey"))).alias("s"))
-    outer = inner.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", F.col("s.l_suppkey").alias("s")))).alias("o"))
-    return outer.select("o_custkey", F.size("o").cast("long").alias("orders"), F.aggregate("o", F.lit(0).cast("long"), lambda a, x: a + F.size(x.s)).alias("suppliers"))
+    """Customers as publications, their orders as authors, the orders' suppliers as affiliations."""
+    from ..operators.predictions import annotations
+
+    rows = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    text = lambda c: F.col(c).cast("string")
+    rows = rows.select(F.concat(text("o_custkey"), F.lit(".pdf")).alias("link"), F.lit("T").alias("title"), F.lit("en").alias("title_lang"), text("o_orderkey").alias("author"), text("l_suppkey").alias("affiliation"), F.col("l_linenumber").alias("src_pos"))
+    return annotations(rows).select("arxiv_id", F.size("authors").cast("long").alias("orders"), F.aggregate("authors", F.lit(0).cast("long"), lambda a, x: a + F.size(x.affiliations)).alias("suppliers"))
 
 
 @query("SELECT source AS document_id, count(*)::BIGINT AS failed, string_agg(doc_id::VARCHAR, ', ' ORDER BY doc_id::VARCHAR) AS pages FROM documents WHERE n_chars < 300 GROUP BY source")
@@ -413,13 +445,11 @@ def sample_random(t):
 
 
 @query("""
-SELECT coalesce(c.k, s.k) AS k, CASE WHEN c.k IS NULL THEN 'right' WHEN s.k IS NULL THEN 'left' ELSE 'both' END AS side
-FROM (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_custkey % 7 = 0) c FULL JOIN (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_suppkey % 3 = 0) s ON c.k = s.k
+SELECT coalesce(l.k, n.k) AS k, CASE WHEN l.k IS NULL THEN 'right' WHEN n.k IS NULL THEN 'left' ELSE 'both' END AS side
+FROM (SELECT DISTINCT l_linenumber AS k FROM lineitem) l FULL JOIN (SELECT DISTINCT n_regionkey AS k FROM nation) n ON l.k = n.k
 """)
 def distinct_sets(t):
-    c = t("customer").where("c_custkey % 7 = 0").select(F.col("c_nationkey").alias("k")).distinct().withColumn("l", F.lit(1))
-    s = t("supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("k")).distinct().withColumn("r", F.lit(1))
-    return c.join(s, "k", "full").select("k", F.when(F.col("l").isNull(), "right").when(F.col("r").isNull(), "left").otherwise("both").alias("side"))
+    return catalog.set_sides(t("lineitem").select(F.col("l_linenumber").cast("int").alias("k")), t("nation").select(F.col("n_regionkey").cast("int").alias("k")), "k")
 
 
 @query("""
@@ -433,11 +463,10 @@ def zip_details(t):
 
 
 @query("""
-SELECT event_type, count(*)::BIGINT AS total, count(*) FILTER (WHERE value >= 10)::BIGINT AS succeeded, min(value) AS least, avg(value) AS mean FROM events GROUP BY event_type
+SELECT event_type, count(*)::BIGINT AS total, count(*) FILTER (WHERE value >= 10)::BIGINT AS succeeded, count(*) FILTER (WHERE NOT coalesce(value >= 10, false))::BIGINT AS failed, avg(value) AS avg_seconds FROM events GROUP BY event_type
 """)
 def run_summary(t):
-    ok = F.col("value") >= 10
-    return t("events").groupBy("event_type").agg(F.count("*").alias("total"), F.count_if(ok).alias("succeeded"), F.min("value").alias("least"), F.avg("value").alias("mean"))
+    return profile.run_summary(t("events").withColumn("result", F.when(F.col("value") >= 10, F.col("props"))), "result", "value", "event_type")
 
 
 @query("""
@@ -464,18 +493,12 @@ def evaluate_entities(t):
 
     rules = {"name": Rule("fuzzy", True, 0.8), "affiliations": Rule("fuzzy", True, 0.6)}
     config = EvalConfig(EntitySchema({"name": "string", "affiliations": "array[string]"}, "Author"), rules, "name", ("strict", "fuzzy"))
-    parts = F.filter(F.split("text", r"[.\n]+"), lambda s: F.trim(s) != "")
-    people = F.transform(parts, lambda s: F.struct(F.trim(s).alias("name"), F.slice(F.split(F.trim(s), " "), 1, 3).alias("affiliations")))
-    turns = t("conversations").where("role in ('user', 'assistant')").select("conv_id", "turn", "role", F.to_json(people).alias("said"))
-    after = Window.partitionBy("conv_id").orderBy("turn")
-    asked = turns.withColumns({"next_role": F.lead("role").over(after), "answer": F.lead("said").over(after)}).where("role = 'user'")
-    asked = asked.withColumn("doc_id", F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")))
-    gt = asked.select("doc_id", F.parse_json("said").alias("entities"))
-    pred = asked.where("next_role = 'assistant'").select("doc_id", F.parse_json("answer").alias("entities"))
-    return evaluation.evaluate(gt, pred, config).report()
+    return evaluation.evaluate(*_sentences(t), config).report()
 
 
-@query()
+@query("""
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN '[{"a": "say ' || chr(92) || '"hi' || chr(92) || '" now"}, ' || props || ']' WHEN 1 THEN NULL ELSE '[' || props || ']' END AS json, event_id % 4 = 1 AS failed FROM events
+""")
 def repair_json(t):
     """Event properties as one-element lists, some with stray quotes or cut short, mended."""
     k = F.col("event_id") % 4
@@ -483,11 +506,13 @@ def repair_json(t):
     return t("events").select("event_id", jsonfix.repair(text).alias("r")).select("event_id", "r.json", F.col("r.error").isNotNull().alias("failed"))
 
 
-@query()
+@query("SELECT conv_id::VARCHAR AS document_id, turn::INT AS page, true AS success, md5(coalesce(text, '')) AS content, 1 AS attempts FROM conversations")
 def model_stage(t):
-    """A deterministic stand-in for a model, called for every conversation turn."""
+    """A deterministic stand-in for a model, called with the whole text of every conversation turn."""
+    import hashlib
+
     pages = t("conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page"), "text")
-    return stages.call_model(pages, lambda row: (row["text"] or "")[:40].upper(), wait=0.0).drop("latency")
+    return stages.call_model(pages, lambda row: hashlib.md5((row["text"] or "").encode()).hexdigest(), wait=0.0).select("document_id", "page", "success", "content", "attempts")
 
 
 @query("SELECT event_type, count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS users FROM events GROUP BY event_type")
@@ -501,8 +526,7 @@ def stream_ingest(t):
     work = shared_dir(spark)
     stream = ingest.drop_folder(spark, t.path("events"), events.schema)
     ingest.append_new(stream, f"{work}/out", f"{work}/state", key="event_id").awaitTermination()
-    landed = spark.read.schema(events.schema).option("recursiveFileLookup", True).parquet(f"{work}/out")
-    return landed.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+    return ingest.landed(spark, f"{work}/out", events.schema).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
 @query("SELECT o_orderkey, bool_and(coalesce(l_returnflag, 'N') = 'N') AS missing_all FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
@@ -513,9 +537,10 @@ def missing_all(t):
     return works.select("o_orderkey", profile.missing_all(F.col("authors")).alias("missing_all"))
 
 
-@query("SELECT event_id, user_id, event_type FROM events ORDER BY event_id LIMIT 25")
+@query("SELECT event_id, user_id, event_type, greatest((SELECT count(*) FROM events) - 25, 0)::BIGINT AS remaining FROM events ORDER BY event_id LIMIT 25")
 def head_of_input(t):
-    return t("events").orderBy("event_id").limit(25).select("event_id", "user_id", "event_type")
+    """The first events, with how many more there are."""
+    return profile.preview(t("events").select("event_id", "user_id", "event_type"), 25, "event_id")
 
 
 @query("""
@@ -555,7 +580,7 @@ def pdf_classes(t):
     return t("pages").select("page_id", pdf_status(F.length(body), body).alias("status"))
 
 
-@query()
+@query("SELECT o_orderkey, (o_orderkey % 3 <> 0)::INT AS format_reward, CASE WHEN o_orderkey % 3 = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE END AS answer_reward FROM orders")
 def completion_rewards(t):
     """Format and answer rewards of made-up completions for each order."""
     from ..operators.rewards import rewards
@@ -570,3 +595,67 @@ def completion_rewards(t):
 @query(r"SELECT regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)/*$', 1), '\.[^.]*$', '') AS document_id, url AS pdf_path FROM pages")
 def input_manifest(t):
     return catalog.input_manifest(t("pages").select("url"), "url")
+
+
+@query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents f WHERE f.doc_id = d.doc_id AND octet_length(encode(f.text)) > 4096)")
+def resume_by_size(t):
+    """Documents whose text, taken as a file, is too small to be a whole download."""
+    docs = t("documents")
+    return catalog.not_downloaded(docs.select("doc_id", "source"), docs.select("doc_id", F.octet_length("text").alias("length")), "doc_id")
+
+
+@query("SELECT count(source)::BIGINT AS lookups, count(DISTINCT source)::BIGINT AS misses, (count(source) - count(DISTINCT source))::BIGINT AS hits FROM documents")
+def normalize_stats(t):
+    return profile.normalize_stats(t("documents"), "source")
+
+
+@query("SELECT doc_id, source, len(text) > 1000 AS cut, substr(text, 1, 1000) AS said, lang AS answer FROM documents")
+def training_rows(t):
+    rows = t("documents").select("doc_id", "source", "lang", "n_chars", F.col("text").alias("pdf_content"), (F.length("text") > 1000).alias("cut"))
+    out = stages.training_rows(rows, "Name the language.", answer="lang", drop=("n_chars",), most_chars=1000)
+    return out.select("doc_id", "source", "cut", F.element_at("prompt", 2).content.alias("said"), "answer")
+
+
+_SENTENCES_SQL = r"""
+WITH t AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+q AS (SELECT conv_id || ':' || turn AS doc_id, text, answer FROM t WHERE role = 'user' AND next_role = 'assistant'),
+s AS (SELECT doc_id, 1 AS g, 0 AS p, unnest(regexp_split_to_array(text, '[.\n]+')) AS x FROM q UNION ALL SELECT doc_id, 0, 1, unnest(regexp_split_to_array(answer, '[.\n]+')) FROM q),
+n AS (SELECT doc_id, sum(g) AS g, sum(p) AS p FROM (SELECT *, trim(regexp_replace(regexp_replace(strip_accents(lower(x)), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS y FROM s WHERE trim(x) <> '') GROUP BY doc_id, y)
+"""
+
+
+def _sentences(t):
+    """Sentences of user turns as authors, of the next answers as predictions; a turn without an answer has none."""
+    parts = F.filter(F.split("text", r"[.\n]+"), lambda s: F.trim(s) != "")
+    people = F.transform(parts, lambda s: F.struct(F.trim(s).alias("name"), F.slice(F.split(F.trim(s), " "), 1, 3).alias("affiliations")))
+    turns = t("conversations").where("role in ('user', 'assistant')").select("conv_id", "turn", "role", F.to_json(people).alias("said"))
+    after = Window.partitionBy("conv_id").orderBy("turn")
+    asked = turns.withColumns({"next_role": F.lead("role").over(after), "answer": F.lead("said").over(after)}).where("role = 'user'")
+    asked = asked.withColumn("doc_id", F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")))
+    return asked.select("doc_id", F.parse_json("said").alias("entities")), asked.where("next_role = 'assistant'").select("doc_id", F.parse_json("answer").alias("entities"))
+
+
+@query(_SENTENCES_SQL + """
+SELECT 'entity:author' AS category, 'strict' AS mode, sum(least(g, p))::BIGINT AS tp, sum(p - least(g, p))::BIGINT AS fp, sum(g - least(g, p))::BIGINT AS fn FROM n
+""")
+def evaluate_strict(t):
+    """Every user turn with its answer by equal normalised sentences."""
+    from ..schema import EntitySchema, EvalConfig
+
+    report = evaluation.evaluate(*_sentences(t), EvalConfig(EntitySchema({"name": "string"}, "Author"))).report()
+    return report.where("category like 'entity:%'").select("category", "mode", "tp", "fp", "fn")
+
+
+@query(_SENTENCES_SQL + """
+, d AS (SELECT doc_id, sum(g - least(g, p)) AS missing, sum(p - least(g, p)) AS extra FROM n GROUP BY doc_id)
+SELECT t.conv_id || ':' || t.turn AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'error' ELSE 'success' END AS status, coalesce(missing, 0)::BIGINT AS missing_author, coalesce(extra, 0)::BIGINT AS extra_author, (d.doc_id IS NULL)::INT::BIGINT AS document_error
+FROM t LEFT JOIN d ON d.doc_id = t.conv_id || ':' || t.turn WHERE t.role = 'user' AND (d.doc_id IS NULL OR missing > 0 OR extra > 0)
+""")
+def error_details(t):
+    """Errors of every user turn that its answer doesn't repeat, counted by kind from the exported rows."""
+    from ..schema import EntitySchema, EvalConfig
+    from . import export
+
+    e = evaluation.evaluate(*_sentences(t), EvalConfig(EntitySchema({"name": "string"}, "Author")))
+    kinds = ("missing_author", "extra_author", "document_error")
+    return export.error_details(export.document_results(e)).groupBy("doc_id", "status").agg(*(F.count_if(F.col("issue_type") == k).alias(k) for k in kinds))

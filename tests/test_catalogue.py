@@ -65,6 +65,27 @@ def test_command_line(spark, tmp_path):
     assert "v2.pdf" in "".join(open(p).read() for p in glob.glob(f"{tmp_path}/b/*/*.txt"))
     pages = [{"document_id": "d", "page": p, "page_index": p, "success": True, "latency": 1.0, "usage": {"prompt_tokens": 1, "completion_tokens": 2, "total_tokens": 0}, "content": json.dumps([{"bbox": [0, 0, 1, 1], "category": "Text", "text": f"p{p}"}])} for p in (10, 2)]
     (tmp_path / "in/p.jsonl").write_text("\n".join(map(json.dumps, pages)) + "\n")
+    (tmp_path / "in/l.jsonl").write_text("\n".join(map(json.dumps, pages)) + "\n" + json.dumps({**pages[0], "page": 11, "success": False}) + "\n")
+    assert cli.main(["reassemble", "--input", f"{tmp_path}/in/l.jsonl", "--output", f"{tmp_path}/md2", "--output-jsonl", f"{tmp_path}/mdl"]) == 0
+    bare = [json.loads(x) for p in glob.glob(f"{tmp_path}/mdl/*.json") for x in open(p)]
+    assert bare[0]["document_id"] == "d" and bare[0]["markdown_text"].startswith("<!-- Page 2 -->")
+    said = (tmp_path / "md2/processing_report.txt").read_text()
+    assert "Successful pages: 2" in said and "Success rate: 66.67%" in said and "  d: pages 11" in said
+    with pytest.raises(SystemExit):
+        cli.main(["batches", "--input", f"{tmp_path}/m", "--output", f"{tmp_path}/b2", "--size", "1", "--count", "2"])
+    assert cli.main(["batches", "--input", f"{tmp_path}/m", "--output", f"{tmp_path}/b2", "--size", "1", "--dry-run"]) == 0 and not (tmp_path / "b2").exists()
+    assert cli.main(["export", "--input", f"{tmp_path}/t/results", "--output-prefix", f"{tmp_path}/e"]) == 0
+    assert "missing_author,B,name,B" in "".join(open(p).read() for p in glob.glob(f"{tmp_path}/e_errors_details/*.csv"))
+    (tmp_path / "in/test.json").write_text(json.dumps([{"arxiv_id": "a1", "doi": "10.1/A", "filename": "f.pdf"}, {"arxiv_id": "a2", "doi": ""}, {"arxiv_id": "a3", "doi": "https://doi.org/10.1/c"}]))
+    records = [{"doi": "https://doi.org/10.1/a", "title": "T", "language": "fr", "authorships": [{"raw_author_name": "", "author": {"display_name": "Ann"}, "raw_affiliation_strings": ["U"]}, {"raw_author_name": None}]}]
+    (tmp_path / "in/api.jsonl").write_text("\n".join(map(json.dumps, records)) + "\n")
+    assert cli.main(["to-test-format", "--input", f"{tmp_path}/in/test.json", "--records", f"{tmp_path}/in/api.jsonl", "--output", f"{tmp_path}/tf.json"]) == 1
+    assert json.loads((tmp_path / "tf.json").read_text()) == [{"arxiv_id": "a1", "doi": "https://doi.org/10.1/a", "title": {"text": "T", "lang": "fr"}, "authors": [{"name": "Ann", "affiliations": ["U"]}], "filename": "f.pdf"}]
+    (tmp_path / "in/list.txt").write_text("gs://arxiv-dataset/arxiv/arxiv/pdf/2301/2301.00001v1.pdf\n")
+    (tmp_path / "in/want.json").write_text(json.dumps([{"arxiv_id": "2301.00001"}, {"arxiv_id": "2301.00009"}]))
+    assert cli.main(["resolve", "--input", f"{tmp_path}/in/want.json", "--listing", f"{tmp_path}/in/list.txt", "--output", f"{tmp_path}/rs", "--dry-run"]) == 0 and not (tmp_path / "rs").exists()
+    assert cli.main(["resolve", "--input", f"{tmp_path}/in/want.json", "--listing", f"{tmp_path}/in/list.txt", "--output", f"{tmp_path}/rs"]) == 0
+    assert "2301.00001" in "".join(open(p).read() for p in glob.glob(f"{tmp_path}/rs/pending/*.json"))
     assert cli.main(["merge", "--input", f"{tmp_path}/in/p.jsonl", "--output", f"{tmp_path}/mp"]) == 0
     merged = json.loads("".join(open(p).read() for p in glob.glob(f"{tmp_path}/mp/*.json")))
     assert merged["page_count"] == 2 and merged["total_tokens"] == 6

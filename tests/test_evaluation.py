@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from folium.plans import evaluation, export
@@ -36,10 +37,17 @@ def test_two_against_three(spark):
     rep = e.report().collect()
     assert [r["category"] for r in rep if r["mode"] == "strict"] == ["entity:author", "field:affiliations", "combined"]
     assert [r["label"] for r in rep if r["mode"] == "fuzzy"] == ["author_identification", "affiliations_matching", "combined_authors"]
-    assert export.correct_documents(e).count() == 0
-    errors = export.error_documents(e).first()
-    assert errors["combined_fp"] == 3 and "missing_author" in errors["notes"] and "extra_author" in errors["notes"]
-    assert {r["error_type"] for r in export.error_details(e).collect()} == {"missing_author", "extra_author", "name_mismatch", "affiliations_mismatch"}
+    results = export.document_results(e)
+    assert export.correct_documents(results).count() == 0
+    errors = export.error_documents(results).first()
+    assert errors.asDict().keys() == set(export.ERRORS) and errors["combined_strict_false_positives"] == 3
+    assert errors["notes"].startswith("missing_authors=Bob Stone ; extra_authors=Bob Stones | Zoltan Quirk ; affiliations_issues=Ann Lee: missed=City Lab; extra=City Labs || Bob Stone: missed=South Institute; extra=South Institut")
+    details = export.error_details(results).collect()
+    assert {r["issue_type"] for r in details} == {"missing_author", "extra_author", "name_mismatch", "affiliations_mismatch", "email_mismatch"}
+    by = {(r["issue_type"], r["match_level"], r["entity_name"]): r for r in details}
+    assert by["affiliations_mismatch", "strict", "Ann Lee"]["prediction"] == "City Labs"
+    assert not any(level == "fuzzy" for issue, level, _ in by if issue == "affiliations_mismatch")  # all are close
+    assert by["extra_author", "strict", "Zoltan Quirk"]["detail"] == "Elsewhere | Nowhere" and by["name_mismatch", "fuzzy", "Bob Stone"]["detail"].startswith("similarity=0.")
 
 
 def test_entities_without_key_go(spark):
@@ -61,8 +69,10 @@ def test_empty_and_status(spark):
     e = run(spark, [("a", []), ("b", [{"name": "X"}]), ("c", [])], [("a", []), ("b", None), ("z", [])], EvalConfig(EntitySchema({"name": "string"}, "Author")))
     assert {r["doc_id"]: r["status"] for r in e.documents.collect()} == {"a": "success", "b": "null_prediction", "c": "error"}
     assert set(counts(e).values()) == {(0, 0, 0)} and evaluation.entity_details(e).count() == 0
-    assert [r["doc_id"] for r in export.correct_documents(e).collect()] == ["a"]
-    assert {r["detail"] for r in export.error_details(e).collect()} == {"null_prediction", "error"}
+    results = export.document_results(e)
+    assert [r["doc_id"] for r in export.correct_documents(results).collect()] == ["a"]
+    assert {(r["status"], r["issue_type"], r["detail"]) for r in export.error_details(results).collect()} == {("null_prediction", "document_error", "authors is None"), ("error", "document_error", "Missing prediction")}
+    assert {r["notes"] for r in export.error_documents(results).collect()} == {"error=authors is None", "error=Missing prediction"}
 
 
 def test_duplicates_and_nulls_pair_off(spark):
@@ -92,3 +102,35 @@ def test_config_files(tmp_path):
     assert c.reporting_modes == ("strict",) and c.rule("name").fuzzy and c.rule("affiliations").similarity_threshold == 0.95
     assert c.array_fields == ["affiliations"] and c.entity_slug == "author" and c.harsh_penalty
     assert config_from({"combined_eval": {"harsh_penalty": False}}, schema_from({"entities_field": "people"})).entity_slug == "people"
+
+
+def same_initials(a, b):
+    return float([w[:1] for w in a.split()] == [w[:1] for w in b.split()])
+
+
+def test_registered_match_type(spark):
+    from folium.functions.similarity import MATCH_TYPES, register_match_type
+
+    register_match_type("initials", lambda a, b: float([w[:1] for w in a.split()] == [w[:1] for w in b.split()]))
+    try:
+        c = EvalConfig(EntitySchema({"name": "string", "role": "string"}, "Author"), {"name": Rule("initials", True, 0.5), "role": Rule("initials", True, 0.5)}, "name", ("strict", "fuzzy"))
+        got = counts(run(spark, [("d", [{"name": "Ann B Lee", "role": "head cook"}, {"name": "Carl", "role": "x"}])], [("d", [{"name": "Alice Bea Long", "role": "hot chef"}, {"name": "Dan", "role": "x"}])], c))
+        assert got["entity:author", "strict"] == (0, 2, 2) and got["entity:author", "fuzzy"] == (1, 1, 1) and got["combined", "fuzzy"] == (1, 1, 1)
+        with pytest.raises(ValueError):
+            register_match_type("strict", same_initials)
+    finally:
+        MATCH_TYPES.pop("initials")
+
+
+def test_results_read_back(spark, tmp_path):
+    gt = [("a", [{"name": "Ann", "affiliations": ["École X", "ecole x", "Y"]}]), ("b", [{"name": "Bo", "affiliations": []}]), ("c", [{"name": "Cy", "affiliations": ["Q"]}])]
+    pred = [("a", [{"name": "ann", "affiliations": ["Z"]}]), ("b", [{"name": "Bo", "affiliations": []}])]
+    e = run(spark, gt, pred, EvalConfig(EntitySchema({"name": "string", "affiliations": "array[string]"}, "Author")))
+    results = export.document_results(e)
+    results.write.json(str(tmp_path / "r"))
+    again = spark.read.schema(export.RESULTS).json(str(tmp_path / "r"))
+    for f in (export.correct_documents, export.error_documents, export.error_details):
+        assert sorted(map(str, f(results).collect())) == sorted(map(str, f(again).collect()))
+    d = export.error_details(again).where("doc_id = 'a'").collect()
+    # the last spelling of a value is shown, and normalised text where fuzzy comparison leaves it
+    assert {(r["match_level"], r["ground_truth"], r["prediction"]) for r in d} == {("strict", "ecole x | Y", "Z"), ("fuzzy", "ecole x | y", "z")}

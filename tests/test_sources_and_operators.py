@@ -221,3 +221,60 @@ def test_samples(spark):
     a = [r["id"] for r in profile.sample_rows(df, 10, 3, "id").collect()]
     assert a == [r["id"] for r in profile.sample_rows(df.repartition(7), 10, 3, "id").collect()] and len(set(a)) == 10
     assert profile.sample_random(df, 80, 1).count() == 50
+
+
+def test_new_checkpoint_never_overwrites(spark, tmp_path):
+    schema = "k long, v string"
+    for n, state in ((1, "s1"), (2, "s2"), (3, "s2"), (4, "s1")):
+        spark.createDataFrame([(n, "x"), (n + 1, "y"), (1, "again")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest.append_new(ingest.drop_folder(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / state), key="k").awaitTermination()
+        got = sorted(r["k"] for r in ingest.landed(spark, str(tmp_path / "out"), schema).collect())
+        assert got == list(range(1, n + 2))
+
+
+def test_line_places_grow_along_a_file(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("\n".join(f"{i:05d}" for i in range(3000)))
+    (tmp_path / "b.txt").write_text("00000\n00001")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = readers.lines(spark, str(tmp_path)).orderBy("src_file", "src_pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r["value"] for r in rows] == [f"{i:05d}" for i in range(3000)] + ["00000", "00001"]
+
+
+def test_last_spelling_and_metadata(spark, tmp_path):
+    (tmp_path / "gt.jsonl").write_text('{"arxiv_id": "arXiv:2301.00001"}\n{"arxiv_id": "2301.00001"}\n')
+    (tmp_path / "p.jsonl").write_text('{"arxiv_id": "ARXIV:2301.00001", "authors": [], "doi": "10.1/x", "title": {"text": "T"}, "error": null, "processing_time": 1.5, "raw_output": "r"}\n{"arxiv_id": "2301.00002", "authors": []}\n')
+    known = readers.json_records(spark, str(tmp_path / "gt.jsonl")).select(F.expr("try_variant_get(record, '$.arxiv_id', 'string')").alias("doc_id"), "src_file", "src_pos")
+    out, _ = predictions.convert(readers.json_records(spark, str(tmp_path / "p.jsonl")), known, metadata=True)
+    got = {r["doc_id"]: r for r in out.collect()}
+    r = got["2301.00001"]
+    assert (r["doi"], r["title"], r["error"], r["processing_time"], r["filename"]) == ('"10.1/x"', '{"text":"T"}', None, "1.5", None)
+    assert len(got) == 2 and "raw_output" not in out.columns
+
+
+def test_documents_never_share_a_folder(spark, tmp_path):
+    from folium.sources import writers
+
+    rows = spark.createDataFrame([("a/b", "one"), ("a_b", "two"), ("a b", "three")], "id string, text string")
+    writers.markdown_files(rows, "id", "text", str(tmp_path / "md"))
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "md")).collect()) == ["one", "three", "two"]
+    assert len([d for d in (tmp_path / "md").iterdir() if d.is_dir()]) == 3
+
+
+def test_rotation_of_repeated_pages(spark):
+    schema = "document_id string, page int, page_index int, pdf_path string, model string, success boolean, latency double, rotation_applied int, prompt_tokens int, completion_tokens int, total_tokens int, content string, src_pos long"
+    page = lambda n, r, pos: ("d", n, n, None, None, True, 0.0, r, 0, 0, 0, "", pos)
+    got = documents.merge_pages(spark.createDataFrame([page(1, 0, 0), page(2, 180, 1), page(1, 90, 2), page(2, 0, 3), page(3, 270, 4)], schema)).first()
+    assert got["rotation_applied"] == {1: 90, 2: 0, 3: 270}
+
+
+def test_sizes_sides_and_previews(spark):
+    wanted = spark.createDataFrame([("a",), ("b",), ("c",)], "f string")
+    files = spark.createDataFrame([("a", 5000), ("b", 4096)], "f string, length long")
+    assert sorted(r["f"] for r in catalog.not_downloaded(wanted, files, "f").collect()) == ["b", "c"]
+    assert {tuple(r) for r in catalog.set_sides(wanted, files.where("f = 'a'").union(spark.createDataFrame([("z", 1)], files.schema)), "f").collect()} == {("a", "both"), ("b", "left"), ("c", "left"), ("z", "right")}
+    assert [tuple(r) for r in profile.preview(wanted, 2, "f").collect()] == [("a", 1), ("b", 1)] and profile.preview(wanted, 9, "f").first()["remaining"] == 0
+    assert tuple(profile.normalize_stats(spark.createDataFrame([("x",), ("x",), (None,), ("y",)], "v string"), "v").first()) == (3, 2, 1)
