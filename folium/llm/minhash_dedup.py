@@ -87,17 +87,26 @@ def _enough(both: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.
     return (both > 0) & (100 * both >= percent * (a + b - both))
 
 
-def near_centres(h: np.ndarray, first: np.ndarray, centre: np.ndarray, of: np.ndarray, percent: int) -> np.ndarray:
-    """Which sets are near the centre set of their group; centre: the set that is the centre of each group, of: each set's group."""
+def near_centres(h: np.ndarray, first: np.ndarray, member: np.ndarray, centre: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets, a member and the centre of its star each, are near. Time and memory follow the members' sizes."""
     size = np.diff(first)
-    tag = mix(np.arange(len(centre)).astype(_U) + _U(0x1F123BB5))
-    group = np.repeat(of, size)
-    own = np.repeat(first[centre], size[centre]) + np.arange(size[centre].sum()) - np.repeat(np.cumsum(size[centre]) - size[centre], size[centre])
-    known = np.sort(mix(h[own] ^ tag[np.repeat(np.arange(len(centre)), size[centre])]))
-    asked = mix(h ^ tag[group])
-    hit = known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked if len(known) else np.zeros(len(h), bool)
-    run = np.r_[0, np.cumsum(hit)]
-    return _enough(run[first[1:]] - run[first[:-1]], size, size[centre][of], percent)
+    tag = mix(np.arange(len(size)).astype(_U) + _U(0x1F123BB5))
+    heads = np.unique(centre)
+    within = lambda some: np.repeat(first[some], size[some]) + np.arange(size[some].sum()) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
+    known = np.sort(mix(h[within(heads)] ^ np.repeat(tag[heads], size[heads])))
+    out = np.zeros(len(member), dtype=bool)
+    # so many pairs at once that their shingles fit a block
+    run = np.cumsum(size[member])
+    a = 0
+    while a < len(member):
+        b = max(a + 1, int(np.searchsorted(run, (run[a - 1] if a else 0) + BLOCK_SHINGLES, "right")))
+        some, of = member[a:b], centre[a:b]
+        asked = mix(h[within(some)] ^ np.repeat(tag[of], size[some]))
+        hit = known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked
+        both = np.r_[0, np.cumsum(hit)][np.r_[0, np.cumsum(size[some])]]
+        out[a:b] = _enough(np.diff(both), size[some], size[of], percent)
+        a = b
+    return out
 
 
 def near_cross(h: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
@@ -170,32 +179,38 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = table(entries.join(buckets.select("key", "centre", "centre_t", "c"), "key"))
     star = shared.where("doc <> centre").select("doc", "t", "n", "centre", "centre_t").distinct()
 
-    load = star.groupBy("centre", "centre_t").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_DOCS)).cast("int").alias("g"))
-    load = table(load)
-    members = star.join(load, ["centre", "centre_t"]).withColumn("b", F.pmod(F.xxhash64("doc", "t"), F.col("g")).cast("int")).select("centre", "centre_t", "b", "doc", "t", F.lit(False).alias("head"))
-    heads = load.select("centre", "centre_t", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("b"), F.col("centre").alias("doc"), F.col("centre_t").alias("t"), F.lit(True).alias("head"))
-    stars = table(members.unionByName(heads))
-    # one text for each set in a star
-    texts = docs.where("doc is not null and text is not null").join(stars.select("doc", "t").distinct(), ["doc", "t"]).groupBy("doc", "t").agg(F.first("text").alias("text"))
-    texts = table(texts)
-
-    def confirm(rows: pa.Table) -> pa.Table:
-        doc, centre = rows.column("doc").to_numpy(), rows.column("centre").to_numpy()
-        head = rows.column("head").to_numpy()
-        keys = np.stack([centre, rows.column("centre_t").to_numpy(), rows.column("b").to_numpy()], axis=1)
-        _, of = np.unique(keys, axis=0, return_inverse=True)
-        of = of.reshape(-1)
-        buf, off = text_buffer(rows.column("text"))
-        near = near_centres(*shingle_sets(buf, off, shingle), _first_where(of, head), of, percent) & ~head
-        return pa.table([pa.array(doc[near], pa.int64()), pa.array(centre[near], pa.int64())], names=["a", "b"])
+    star = table(star)
 
+    # a bin has some members with all their stars, and each set that it needs once, whatever stars name it
+    size = star.agg(F.sum("n"), F.count("*")).first()
     bins = 4 * partition_count(df)
-    whole = stars.join(sets.select("doc", "t", "n"), ["doc", "t"]).agg(F.sum("n")).first()[0] or 0
-    dealt = stars.join(texts, ["doc", "t"]).withColumn("bin", F.pmod(F.xxhash64("centre", "centre_t", "b"), F.lit(max(bins, whole // BLOCK_SHINGLES + 1))))
+    count = max(bins, (size[0] or 0) // BLOCK_SHINGLES + 1, (size[1] or 0) // (BANDS * BLOCK_DOCS) + 1)
+    star = star.withColumn("bin", F.pmod(F.xxhash64("doc", "t"), F.lit(count)))
+    need = star.select("bin", "doc", "t").unionByName(star.select("bin", F.col("centre").alias("doc"), F.col("centre_t").alias("t"))).distinct()
+    need = table(need)
+    named = docs.where("doc is not null and text is not null")
+    # one text of rows that repeat; kept for the second comparison
+    texts = table(named.join(need.select("doc", "t").distinct(), ["doc", "t"]).groupBy("doc", "t").agg(F.first("text").alias("text")))
+
+    def confirm(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 2, names=["a", "b"])
+        place = {k: i for i, k in enumerate(zip(right.column("doc").to_pylist(), right.column("t").to_pylist(), strict=True))}
+        buf, off = text_buffer(right.column("text"))
+        doc, centre = left.column("doc").to_numpy(), left.column("centre").to_numpy()
+        member = np.array([place[k] for k in zip(doc.tolist(), left.column("t").to_pylist(), strict=True)])
+        head = np.array([place[k] for k in zip(centre.tolist(), left.column("centre_t").to_pylist(), strict=True)])
+        near = near_centres(*shingle_sets(buf, off, shingle), member, head, percent)
+        return pa.table([pa.array(doc[near], pa.int64()), pa.array(centre[near], pa.int64())], names=["a", "b"])
+
+    confirmed = star.groupBy("bin").cogroup(need.join(texts, ["doc", "t"]).groupBy("bin")).applyInArrow(confirm, "a long, b long")
     # an id with several sets, each of which may go by another document's id
     several = able.groupBy("doc").agg(F.min("d1").alias("lo1"), F.max("d1").alias("hi1"), F.min("d2").alias("lo2"), F.max("d2").alias("hi2")).where("lo1 <> hi1 or lo2 <> hi2").select("doc")
-    ties = able.join(several, "doc", "left_semi").select(F.col("doc").alias("a"), "d1", "d2").join(sets.select("d1", "d2", F.col("doc").alias("b")), ["d1", "d2"]).select("a", "b")
-    first_links = components(dealt.groupBy("bin").applyInArrow(confirm, "a long, b long").unionByName(ties))
+    several = table(several)
+    if not several.isEmpty():
+        ties = able.join(several, "doc", "left_semi").select(F.col("doc").alias("a"), "d1", "d2").join(sets.select("d1", "d2", F.col("doc").alias("b")), ["d1", "d2"]).select("a", "b")
+        confirmed = confirmed.unionByName(ties)
+    first_links = components(confirmed)
     first_links = first_links.select(F.col("v").alias("doc"), F.col("component").alias("part"))
 
     # buckets of three and more that hold several components still
@@ -205,6 +220,8 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blocks = lambda n, docs_, each: F.greatest(F.lit(1), F.ceil(F.greatest(n / BLOCK_SHINGLES, docs_ / each))).cast("int")
     open_ = open_.select("key", "largest", blocks(F.col("n") - F.col("most.n"), F.col("c") - F.col("most.c"), BLOCK_LESS).alias("gi"), blocks(F.col("n"), F.col("c"), BLOCK_DOCS).alias("gj"), "n")
     open_ = table(open_)
+    if open_.isEmpty():
+        return _answer(signed, sets, first_links.withColumnRenamed("part", "component"), id_col)
     rows = parts.join(open_.drop("n"), "key").withColumn("less", F.col("part") != F.col("largest"))
     deal = lambda salt, g: F.pmod(F.xxhash64("doc", "t", F.lit(salt)), F.col(g)).cast("int")
     less = rows.where("less").withColumn("i", deal(1, "gi")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("gj") - 1))).withColumn("left", F.lit(True))
@@ -234,15 +251,13 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     later = components(dealt.groupBy("bin").applyInArrow(compare, "a long, b long"))
 
     final = first_links.join(later.select(F.col("v").alias("part"), "component"), "part", "full").select(F.coalesce("doc", "part").alias("doc"), F.coalesce("component", "part").alias("component"))
+    return _answer(signed, sets, final, id_col)
+
+
+def _answer(signed: DataFrame, sets: DataFrame, final: DataFrame, id_col: str) -> DataFrame:
+    """A row for each row, by the component of the document that its set goes by."""
     found = sets.join(final, "doc", "left").select("d1", "d2", F.coalesce("component", "doc").alias("component_id"))
     # a document with several sets has them all in one component
     out = signed.drop("keys", "t").join(found, ["d1", "d2"], "left")
     own = F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("component_id")).otherwise(F.col("doc"))
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc") == own, F.lit(True)).alias("kept"))
-
-
-def _first_where(of: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """For each group the row that is its head."""
-    out = np.zeros(int(of.max()) + 1 if len(of) else 0, dtype=np.int64)
-    out[of[head]] = np.flatnonzero(head)
-    return out

@@ -137,5 +137,47 @@ WITH d AS (
   SELECT doc_id, l, list_filter(l, lambda x: NOT coalesce(list_contains(bad, trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), false)) AS kept FROM d, s
 )
 SELECT doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(len(l) - len(kept), 0)::BIGINT AS n_removed, md5(array_to_string(kept, chr(10))) AS kept_md5 FROM k
+""",
+    "op3_embedding_dedup": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), ok AS (
+  SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON len(a.e) = len(b.e) WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+), r(a, b) AS (
+  SELECT a, a FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (
+  SELECT a, min(b) AS component_id FROM r GROUP BY a
+), n AS (
+  SELECT a, count(*) AS n_links FROM l GROUP BY a
+)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+""",
+    "op4_minhash_dedup": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), u AS (
+  SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM d
+), q AS (
+  SELECT doc_id, x, lead(x, 1) OVER o AS x1, lead(x, 2) OVER o AS x2, lead(x, 3) OVER o AS x3, lead(x, 4) OVER o AS x4 FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), s AS (
+  SELECT DISTINCT doc_id, concat_ws(' ', x, x1, x2, x3, x4) AS x FROM q WHERE x4 IS NOT NULL
+  UNION ALL SELECT doc_id, 'short ' || array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4
+), g AS (
+  SELECT doc_id, count(s.x) AS n FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x WHERE a.doc_id < b.doc_id GROUP BY ALL
+), near AS (
+  SELECT a, b FROM p JOIN g ga ON ga.doc_id = a JOIN g gb ON gb.doc_id = b WHERE 100 * c >= 85 * (ga.n + gb.n - c)
+), l AS (
+  SELECT a, b FROM near UNION ALL SELECT b, a FROM near
+), r(a, b) AS (
+  SELECT a, a FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (
+  SELECT a, min(b) AS component_id FROM r GROUP BY a
+)
+SELECT doc_id, n::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept FROM g LEFT JOIN c ON c.a = doc_id
 """,
 }

@@ -517,7 +517,7 @@ def test_mixing_meets_all_marginals(spark):
     # a share of all tokens: a small cell is kept whole, the others still have their proportions
     odd = df.unionByName(spark.createDataFrame([(9000, "e1 e2 e3 " * 20, "fr", "tiny", 1)], DOCS))
     for keep in (0.3, 0.6):
-        out = mix_sources(odd, targets=targets | {"lang": {"en": 0.5, "de": 0.4, "fr": 0.1}}, topics=model, keep=keep).collect()
+        out = mix_sources(odd, targets=targets | {"lang": {"en": 0.5, "de": 0.4, "fr": 0.1}, "source": {"s0": 0.3, "s1": 0.3, "s2": 0.3, "tiny": 0.1}}, topics=model, keep=keep).collect()
         weight = lambda r: r["_tokens"] * r["_probability"]
         assert abs(sum(map(weight, out)) / sum(r["_tokens"] for r in out) - keep) < 0.03
         assert next(r["_probability"] for r in out if r["doc_id"] == 9000) == 1
