@@ -16,6 +16,8 @@ BINS = ROWS * BANDS
 BLOCK_SHINGLES, BLOCK_DOCS, BLOCK_LESS = 1_000_000, 1024, 256
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: For each bin the places of all bins in its order of donors.
+_RANK = np.random.default_rng(1234567).permuted(np.tile(np.arange(BINS, dtype=np.uint8), (BINS, 1)), axis=1)
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -29,39 +31,48 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarra
     h = np.zeros(len(at), dtype=_U)
     for j in range(size):
         h = h * _U(0xD1342543DE82EF95) + words[at + j]
-    owner, h = doc[at], mix(h)
+    h = mix(h)
     short = np.flatnonzero((count > 0) & (count < size))
+    number = np.maximum(count - size + 1, 0)
+    number[short] = 1
+    start = np.r_[0, np.cumsum(number)]
+    out = np.empty(int(start[-1]), dtype=_U)
+    long = np.ones(len(out), dtype=bool)
     if len(short):
         whole = np.zeros(len(short), dtype=_U)
         for j in range(size - 1):
             has = count[short] > j
             whole[has] = whole[has] * _U(0xD1342543DE82EF95) + words[first[short[has]] + j]
-        owner, h = np.r_[owner, short], np.r_[h, mix(whole ^ mix(count[short].astype(_U)))]
-    order = np.lexsort((h, owner))
-    owner, h = owner[order], h[order]
-    fresh = np.r_[True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])] if len(h) else np.zeros(0, bool)
-    owner, h = owner[fresh], h[fresh]
-    return h, np.searchsorted(owner, np.arange(len(count) + 1))
+        out[start[short]] = mix(whole ^ mix(count[short].astype(_U)))
+        long[start[short]] = False
+    out[long] = h
+    for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
+        if b - a > 1:
+            out[a:b].sort()
+    fresh = np.ones(len(out), dtype=bool)
+    fresh[1:] = out[1:] != out[:-1]
+    fresh[start[:-1][number > 0]] = True
+    return out[fresh], np.r_[0, np.cumsum(fresh)][start]
 
 
 def one_permutation(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Minimum of each bin for each set (all filled); an empty bin copies a full one, chosen by a hash."""
+    """Minimum of each bin for each set (ordered hashes; no set is empty).
+
+    An empty bin copies a full one: of its own fixed random order of all bins, the first that is full.
+    """
     n = len(first) - 1
     owner = np.repeat(np.arange(n), np.diff(first))
-    none = _U(2**64 - 1)
-    out = np.full(n * BINS, none, dtype=_U)
-    which = ((h >> _U(32)) * _U(BINS)) >> _U(32)
-    np.minimum.at(out, owner * BINS + which.astype(np.int64), mix(h ^ _U(0x243F6A8885A308D3)) >> _U(1))
-    out = out.reshape(n, BINS)
-    full = out != none
-    empty_row, empty_bin = np.nonzero(~full)
-    attempt = 0
-    while len(empty_row):
-        attempt += 1
-        donor = (mix(empty_bin.astype(_U) * _U(1_000_003) + _U(attempt)) % _U(BINS)).astype(np.int64)
-        hit = full[empty_row, donor]
-        out[empty_row[hit], empty_bin[hit]] = out[empty_row[hit], donor[hit]]
-        empty_row, empty_bin = empty_row[~hit], empty_bin[~hit]
+    # hashes are in order, so those of a bin are next to each other
+    cell = owner * BINS + (((h >> _U(32)) * _U(BINS)) >> _U(32)).astype(np.int64)
+    head = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+    out = np.zeros(n * BINS, dtype=_U)
+    full = np.zeros(n * BINS, dtype=bool)
+    out[cell[head]] = np.minimum.reduceat(mix(h ^ _U(0x243F6A8885A308D3)), head) if len(head) else out[:0]
+    full[cell[head]] = True
+    out, full = out.reshape(n, BINS), full.reshape(n, BINS)
+    for i in np.flatnonzero(~full.all(axis=1)):
+        empty, able = np.flatnonzero(~full[i]), np.flatnonzero(full[i])
+        out[i, empty] = out[i, able[_RANK[empty][:, able].argmin(axis=1)]]
     return out
 
 
