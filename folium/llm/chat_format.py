@@ -20,7 +20,8 @@ def collapse_conversations(df: DataFrame, id_col: str = "conv_id", turn_col: str
     anti-joined away; hashes are summed up before that join, so that a first turn that very many
     conversations share is one row. Turns are ordered by turn, role and text; equal rows of a
     conversation are one turn; a null role is `unknown`, a null text empty, a null turn comes first.
-    Rows without an id are left out.
+    Texts of any length are hashed and rendered whole. Rows without an id are left out; an empty
+    table gives an empty result. Other columns, whatever their names, aren't used.
     """
     turns = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("c"), F.col(turn_col).cast("long").alias("t"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("r"), F.coalesce(F.col(text_col), F.lit("")).alias("x")).distinct()
     order = Window.partitionBy("c").orderBy(F.col("t").asc_nulls_first(), "r", "x")

@@ -34,7 +34,8 @@ def remove_shared_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     Sketches of the sites of each line are built before the shuffle and merged after it; only lines
     whose estimate is near the threshold are counted exactly. Null sites count as none. A null text
     stays null with no lines; a document may end up empty. Rows are told apart by id and text, so
-    null and repeated ids are fine, and equal rows get equal results.
+    null and repeated ids are fine, and equal rows get equal results. Texts and lines of any length
+    are taken whole; an empty table gives an empty result.
     """
     text = F.col(text_col)
     key = [F.xxhash64(F.col(id_col), text).alias("k1"), F.xxhash64(F.lit(7), text, F.col(id_col)).alias("k2")]

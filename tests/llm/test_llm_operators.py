@@ -140,10 +140,14 @@ def test_conversations(spark):
     log(4, "hi", "other")
     log(5, "hi", "hello", "how", "fine")
     log(6, None, "x")
+    long = "very long " * 50_000
+    log(8, "hi", long)
+    log(9, "hi", long, "more")
+    log(10, "hi", long[:-1] + "!")
     turns += [(7, None, None, "z"), (7, None, None, "z"), (None, 1, "user", "gone"), (2, 0, "user", "hi")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("n", F.lit(9))
     got = {r["conv_id"]: r for r in collapse_conversations(df).collect()}
-    assert set(got) == {2, 4, 6, 7}
+    assert set(got) == {2, 4, 6, 7, 9, 10} and long in got[9]["rendered"] and got[9]["n_prefixes"] == 1
     assert (got[2]["n_turns"], got[2]["n_prefixes"]) == (4, 3) and got[7]["rendered"] == "<|unknown|>\nz<|end|>\n"
     assert got[4]["rendered"] == "<|user|>\nhi<|end|>\n<|assistant|>\nother<|end|>\n"
     assert collapse_conversations(df.limit(0)).count() == 0
@@ -360,9 +364,12 @@ def test_components(spark):
 
 def test_lines(spark):
     rows = [(i, f"start {i}\n shared \nrare\n\nend {i}" if i < 12 else f"rare\nalone {i}", f"s{i}") for i in range(14)]
+    long = "long " * 100_000
+    rows += [(90 + k, f"{long}\n{long}{k}", f"s{k}") for k in range(12)]
     rows += [(50, None, "s1"), (51, "", "s1"), (None, "shared\nx", None), (0, "shared", "s0"), (60, "shared\n" * 3, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("q") for c in ("pos", "line", "k1", "gone", "row", "_n_lines")})
     got = {(r["doc_id"], r["_n_lines"]): (r["_n_removed"], r["text"]) for r in remove_shared_lines(df, min_sites=12).collect()}
+    assert all(got[90 + k, 2] == (1, f"{long}{k}") for k in range(12))
     assert got[3, 5] == (2, "start 3\n\nend 3") and got[13, 2] == (1, "alone 13")
     assert got[50, 0] == (0, None) and got[51, 1] == (0, "") and got[None, 2] == (1, "x") and got[0, 1] == (1, "") and got[60, 4] == (3, "")
     assert "shared" in remove_shared_lines(df, min_sites=13).where("doc_id = 3").first()["text"]

@@ -42,3 +42,22 @@ def test_one_row_for_each_kept_id(kept):
     of = lambda i: [t.split(" ")[0] for j, t in got if j == i]
     assert of(200) == ["twice0"] and of(201) == [""] and of(202) == ["mixed0"] and of(203) == [""]
     assert sorted(of(None)) == ["alone0", "none0"]
+
+
+def test_clashing_columns(spark, tmp_path):
+    """Every filtering stage passes columns on whose names it uses itself."""
+    from pyspark.sql import functions as F
+
+    long = lambda p: " ".join(f"{p}{i}" for i in range(50))
+    rows = [(1, long("a"), "en", "s"), (2, long("a"), "en", "s"), (3, long("b"), "de", None), (4, None, None, "s")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in ("_id", "_text", "row", "_c", "bin", "t", "n", "k1", "line", "x", "p")})
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        got = {r["doc_id"]: r for r in out.collect()}
+        assert set(got) == ({1, 3, 4} if "near" in name else {1, 2, 3, 4})
+        assert all(r[c] == f"own {c}" for r in got.values() for c in docs.columns[5:])
+    mixed = corpus_pipeline.mixing(spark, docs, str(tmp_path))
+    assert mixed.columns == docs.columns and mixed.count() <= 4
