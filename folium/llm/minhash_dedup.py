@@ -187,7 +187,8 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     digest = [F.bit_xor(F.xxhash64(*order)).alias(c) for c, order in (("x1", ("doc", "t")), ("x2", ("t", "doc")))]
     buckets = entries.groupBy("key").agg(F.min("doc").alias("centre"), F.min_by("t", "doc").alias("centre_t"), F.count("*").alias("c"), *digest).where("c > 1")
     buckets = buckets.groupBy("centre", "c", "x1", "x2").agg(F.min("key").alias("key"), F.min_by("centre_t", "key").alias("centre_t"))
-    shared = table(entries.join(buckets.select("key", "centre", "centre_t", "c"), "key"))
+    # sides that grow with the input are merged at every size, never broadcast
+    shared = table(entries.join(buckets.select("key", "centre", "centre_t", "c").hint("merge"), "key"))
     star = shared.where("doc <> centre").select("doc", "t", "n", "centre", "centre_t").distinct()
 
     star = table(star)
@@ -201,7 +202,7 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     need = table(need)
     named = docs.where("doc is not null and text is not null")
     # one text of rows that repeat; kept for the second comparison
-    texts = table(named.join(need.select("doc", "t").distinct(), ["doc", "t"]).groupBy("doc", "t").agg(F.first("text").alias("text")))
+    texts = table(named.join(need.select("doc", "t").distinct().hint("merge"), ["doc", "t"]).groupBy("doc", "t").agg(F.first("text").alias("text")))
 
     def confirm(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -214,7 +215,7 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         near = near_centres(*shingle_sets(buf, off, shingle), member, head, percent)
         return pa.table([pa.array(doc[near], pa.int64()), pa.array(centre[near], pa.int64())], names=["a", "b"])
 
-    confirmed = star.groupBy("bin").cogroup(need.join(texts, ["doc", "t"]).groupBy("bin")).applyInArrow(confirm, "a long, b long")
+    confirmed = star.groupBy("bin").cogroup(need.join(texts.hint("merge"), ["doc", "t"]).groupBy("bin")).applyInArrow(confirm, "a long, b long")
     # an id with several sets, each of which may go by another document's id
     several = able.groupBy("doc").agg(F.min("d1").alias("lo1"), F.max("d1").alias("hi1"), F.min("d2").alias("lo2"), F.max("d2").alias("hi2")).where("lo1 <> hi1 or lo2 <> hi2").select("doc")
     several = table(several)
