@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
@@ -10,13 +12,11 @@ from pyspark.sql import functions as F
 from ..shared import drop_tables, table
 
 _U = np.uint64
-_RNG = np.random.default_rng(20240229)
-BYTE_CODES = _RNG.integers(0, 2**64, 256, dtype=_U)
-MULT = int(_RNG.integers(0, 2**64, dtype=_U)) | 1
-INV = pow(MULT, -1, 2**64)
-#: Codes for a second, independent hash.
-BYTE_CODES_2 = np.random.default_rng(77003).integers(0, 2**64, 256, dtype=_U)
 BLOCK_BYTES = 1 << 20
+#: First value and odd multiplier of each of two independent hashes.
+HASH_SEEDS = ((0x9AE16A3B2F90404F, 0xD6E8FEB86659FD93), (0xC3A5C85C97CB3127, 0xA0761D6478BD642F))
+#: Spans of more bytes than that are hashed one by one.
+LONG_SPAN = 64
 _powers: dict[str, np.ndarray] = {}
 
 #: The white space that separates words: 0x20 and 0x09 to 0x0D.
@@ -25,11 +25,11 @@ IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2**64, at least n of each."""
+    """Powers of an odd number and of its inverse modulo 2**64, at least n of each. For sums that are compared exactly afterwards."""
     if len(_powers.get("p", ())) < n:
-        n = max(n, BLOCK_BYTES + 1)
-        for key, base in (("p", MULT), ("i", INV)):
-            a = np.full(n, base, dtype=_U)
+        n, base = max(n, BLOCK_BYTES + 1), HASH_SEEDS[0][1]
+        for key, factor in (("p", base), ("i", pow(base, -1, 2**64))):
+            a = np.full(n, factor, dtype=_U)
             a[0] = 1
             _powers[key] = np.multiply.accumulate(a)
     return _powers["p"], _powers["i"]
@@ -46,21 +46,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
-    """64-bit hashes of the byte spans [starts, ends), which are in order and don't overlap."""
-    out = np.empty(len(starts), dtype=_U)
-    a = 0
-    while a < len(starts):
-        s0 = int(starts[a])
-        b = max(a + 1, int(np.searchsorted(ends, s0 + BLOCK_BYTES, "right")))
-        n = int(ends[b - 1]) - s0
-        p, inv = power_table(n + 1)
-        c = np.empty(n + 1, dtype=_U)
-        c[0] = 0
-        np.cumsum(codes[buf[s0 : s0 + n]] * p[:n], out=c[1:])
-        s, e = starts[a:b] - s0, ends[a:b] - s0
-        out[a:b] = mix((c[e] - c[s]) * inv[s] + (e - s).astype(_U))
-        a = b
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte spans [starts, ends), by one of two independent functions.
+
+    Each eight bytes are mixed into what stands before them, so no arrangement of letters cancels
+    out; spans of more than LONG_SPAN bytes get a BLAKE2b digest.
+    """
+    first, factor = (_U(x) for x in HASH_SEEDS[which])
+    size = ends - starts
+    out = mix(size.astype(_U) * factor + first)
+    if not len(size):
+        return out
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+    masks = (_U(1) << (np.arange(8, dtype=_U) * _U(8))) - _U(1)
+    masks = np.r_[masks, ~_U(0)]
+    todo = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    at = 0
+    while len(todo):
+        some = eight[starts[todo] + at] & masks[np.minimum(size[todo] - at, 8)]
+        out[todo] = mix((out[todo] ^ some) * factor + first)
+        at += 8
+        todo = todo[size[todo] > at]
+    key = bytes([which])
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        digest = hashlib.blake2b(padded[starts[i] : ends[i]], digest_size=8, key=key).digest()
+        out[i] = int.from_bytes(digest, "little")
     return out
 
 

@@ -74,7 +74,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     Null and empty texts are the single end_id. Texts of any length are encoded whole. Rows with a
     null id and repeated rows are packed like any other; an empty table gives no pieces. Equal curve
-    keys are ordered by id, so that many copies spread over partitions. Other columns, whatever
+    keys are ordered by id and by place, so that many copies spread over partitions, even of one row. Other columns, whatever
     their names, aren't used. The ids left over are kept in a table in the shared folder, since the
     range sort reads its input twice.
     """
@@ -116,10 +116,11 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
     kept = table(docs.mapInArrow(tokenize, "id long, doc_tokens long, key long, crcs array<long>, body binary, tail binary"))
-    rest = kept.select("id", "doc_tokens", "key", "tail").where(F.length("tail") > 0)
+    # rows that are equal in all else are told apart by their place in the table that was written
+    rest = kept.select("id", "doc_tokens", "key", "tail", F.monotonically_increasing_id().alias("place")).where(F.length("tail") > 0)
     left = rest.agg(F.sum(F.length("tail") / 2)).first()[0] or 0
     parts = max(1, min(partition_count(df), int(left) // (SEQUENCES * length)))
-    rest = rest.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id", "doc_tokens")
+    rest = rest.repartitionByRange(parts, "key", "id", "place").sortWithinPartitions("key", "id", "place")
     tails = rest.mapInArrow(pack, "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
     full = kept.select("id", "doc_tokens", "body", F.posexplode("crcs").alias("k", "ids_crc32")).select(
         "id", (F.col("k") * length).cast("long").alias("start"), F.lit(length).cast("long").alias("length"), "ids_crc32", "doc_tokens",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES_2, by_key, mix, part_column, part_of, partition_count, power_table, slices, span_hashes, text_buffer, word_spans
+from .common import by_key, mix, part_column, part_of, partition_count, power_table, slices, span_hashes, text_buffer, word_spans
 
 _U = np.uint64
 #: Rounds after which symbols span some 24 words on average, and those that can settle within a window.
@@ -89,10 +91,19 @@ def _span_sums(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return mix((c[hi] - c[lo]) * inv[lo])
 
 
-def long_symbols(words: np.ndarray, check: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+def digests(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """64 bits of the BLAKE2b digest of the bytes of the words [lo, hi), each word followed by a blank."""
+    body, begin, end = _joined([(buf, starts, ends)])
+    view = memoryview(body)
+    got = [hashlib.blake2b(view[a:b], digest_size=8).digest() for a, b in zip(begin[lo].tolist(), end[hi - 1].tolist(), strict=True)]
+    return np.frombuffer(b"".join(got), _U)
+
+
+def long_symbols(words: np.ndarray, spans: tuple[np.ndarray, np.ndarray, np.ndarray], first: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """(document number, first word, words, name, check) of each two neighbouring high-level symbols, or of a document's only one.
 
-    Neighbours overlap by a symbol, so every window of a passage of several symbols is inside one of them.
+    Neighbours overlap by a symbol, so every window of a passage of several symbols is inside one of
+    them. spans: bytes, begins and ends of the words, of which the check is a digest.
     """
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     s = recompress(words, doc, LONG_ROUNDS, False)[-1]
@@ -106,7 +117,7 @@ def long_symbols(words: np.ndarray, check: np.ndarray, first: np.ndarray, window
     hi = np.where(same, end[after], end)
     both = np.where(same, mix(name * _U(0x9E3779B97F4A7C15) + mix(name[after] ^ _U(7))), mix(name ^ _U(0xC0FFEE)))
     some = np.flatnonzero((same | lone) & (hi - begin >= window))
-    return own[some], begin[some] - first[own[some]], hi[some] - begin[some], both[some], _span_sums(check, begin[some], hi[some])
+    return own[some], begin[some] - first[own[some]], hi[some] - begin[some], both[some], digests(*spans, begin[some], hi[some])
 
 
 def window_anchors(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -351,7 +362,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for row, ids, buf, off in _chunks(batch):
                 starts, ends, first, words = read(buf, off)
-                own, place, size, name, check = long_symbols(words, span_hashes(buf, starts, ends, BYTE_CODES_2), first, window)
+                own, place, size, name, check = long_symbols(words, (buf, starts, ends), first, window)
                 held.append((name, check, row[own], ids[own], place, size))
                 count += len(own)
                 if count >= BLOCK_ENTRIES:

@@ -59,8 +59,10 @@ class Encoder:
 
     def _clear(self) -> None:
         empty = lambda kind: np.zeros(0, kind)
-        self.tiers = [(empty(_U), empty(np.int64), empty(np.int32))] * 2
+        # of each piece: hash, where its ids are, how many, where its bytes are, how many
+        self.tiers = [(empty(_U), empty(np.int64), empty(np.int32), empty(np.int64), empty(np.int64))] * 2
         self.flat, self.used = np.zeros(1 << 16, np.uint16), 0
+        self.bytes, self.used_bytes = np.zeros(1 << 18, np.uint8), 0
 
     def _batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
@@ -68,32 +70,33 @@ class Encoder:
     def _add(self, hashes: np.ndarray, pieces: list[str]) -> None:
         ids = self._batch(pieces)
         size = np.fromiter(map(len, ids), np.int32, len(ids))
-        total = int(size.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.r_[self.flat, np.zeros(max(len(self.flat), total), np.uint16)]
-        self.flat[self.used : self.used + total] = np.fromiter((x for y in ids for x in y), np.uint16, total)
-        at = self.used + np.r_[0, np.cumsum(size[:-1], dtype=np.int64)]
-        self.used += total
+        body = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        length = np.fromiter(map(len, body), np.int64, len(body))
+        at, where = self.used + np.r_[0, np.cumsum(size[:-1], dtype=np.int64)], self.used_bytes + np.r_[0, np.cumsum(length[:-1])]
+        self.flat, self.used = _appended(self.flat, self.used, np.fromiter((x for y in ids for x in y), np.uint16, int(size.sum())))
+        self.bytes, self.used_bytes = _appended(self.bytes, self.used_bytes, np.frombuffer(b"".join(body), np.uint8))
         old, new = self.tiers
-        new = self._merged(new, (hashes, at, size))
+        new = self._merged(new, (hashes, at, size, where, length))
         if len(new[0]) * 8 > len(old[0]):
             old, new = self._merged(old, new), tuple(x[:0] for x in new)
         self.tiers = [old, new]
 
     @staticmethod
     def _merged(a, b):
-        key = np.concatenate([a[0], b[0]])
-        order = np.argsort(key, kind="stable")
-        return key[order], np.concatenate([a[1], b[1]])[order], np.concatenate([a[2], b[2]])[order]
+        order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+        return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True))
 
     def _find(self, hashes: np.ndarray):
-        at, size = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int32)
-        for key, place, count in self.tiers:
+        """Of each hash: where its ids are (-1: not known), how many, where its bytes are, how many."""
+        n = len(hashes)
+        out = np.full(n, -1, np.int64), np.zeros(n, np.int32), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for key, *columns in self.tiers:
             if len(key):
                 i = np.minimum(np.searchsorted(key, hashes), len(key) - 1)
                 hit = key[i] == hashes
-                at[hit], size[hit] = place[i[hit]], count[i[hit]]
-        return at, size
+                for o, c in zip(out, columns, strict=True):
+                    o[hit] = c[i[hit]]
+        return out
 
     def cut(self, cp: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Where pieces begin in the characters of the texts that begin at off[:-1]; no text is empty."""
@@ -127,6 +130,17 @@ class Encoder:
             start = start[:n] | head[:-1]
         return np.flatnonzero(start)
 
+    def _differ(self, buf: np.ndarray, start: np.ndarray, stop: np.ndarray, where: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Which pieces [start, stop) of buf aren't the known pieces of the same hash, byte by byte."""
+        out = stop - start != length
+        same = np.flatnonzero(~out)
+        size = length[same]
+        step = _within(size)
+        unlike = buf[np.repeat(start[same], size) + step] != self.bytes[np.repeat(where[same], size) + step]
+        if unlike.any():
+            out[same[np.repeat(np.arange(len(same)), size)[unlike]]] = True
+        return out
+
     def encode(self, texts: list[str], end_id: int | None = None):
         """(ids as uint16, where each text's begin with the end, hashes of pieces, where each text's begin)."""
         if self.tiers[0][0].size + self.tiers[1][0].size > MOST_PIECES:
@@ -150,12 +164,20 @@ class Encoder:
         owner = np.repeat(np.arange(len(texts)), np.diff(first))
         keep = ~odd[owner] if odd.any() else np.ones(len(hashes), bool)
         distinct, sample, inverse = np.unique(hashes[keep], return_index=True, return_inverse=True)
-        at, size = self._find(distinct)
+        at, size, where, length = self._find(distinct)
         new = np.flatnonzero(at < 0)
         if len(new):
             k = np.flatnonzero(keep)[sample[new]]
             self._add(distinct[new], [whole[a:b] for a, b in zip(begin[k].tolist(), stop[k].tolist(), strict=True)])
-            at, size = self._find(distinct)
+            at, size, where, length = self._find(distinct)
+        # a piece that shares its hash with another one: its text goes to the library whole
+        k = np.flatnonzero(keep)
+        differ = self._differ(buf, place[begin[k]], place[stop[k]], where[inverse], length[inverse]) if len(k) else keep[:0]
+        if differ.any():
+            odd[owner[k[differ]]] = True
+            stay = ~odd[owner[k]]
+            keep[k[~stay]] = False
+            inverse = inverse[stay]
         each = np.zeros(len(hashes), np.int64)
         each[keep] = size[inverse]
         run = np.r_[0, np.cumsum(each)]
@@ -180,6 +202,14 @@ def _within(size: np.ndarray) -> np.ndarray:
     return np.arange(run[-1] if len(run) else 0) - np.repeat(run - size, size)
 
 
+def _appended(a: np.ndarray, used: int, more: np.ndarray) -> tuple[np.ndarray, int]:
+    """The array with more after its used part, and how much of it is used then."""
+    if used + len(more) > len(a):
+        a = np.r_[a, np.zeros(max(len(a), len(more)), a.dtype)]
+    a[used : used + len(more)] = more
+    return a, used + len(more)
+
+
 _tools: dict[str, Encoder] = {}
 
 
