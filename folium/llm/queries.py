@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
+from .centroids import cluster_vectors
 from .chat_format import collapse_conversations
 from .embedding_dedup import near_vectors
 from .graph_search import nearest
@@ -13,6 +15,7 @@ from .line_dedup import remove_shared_lines
 from .minhash_dedup import near_documents
 from .mixing import mix_sources
 from .packing import pack_documents
+from .prefix_trie import prefix_trie, spliced
 from .substring_dedup import dedup_substrings
 from .toxicity import score_toxicity
 
@@ -77,6 +80,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(_read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_read(spark, sf_dir, "conversations"), rebuild=spliced)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(_read(spark, sf_dir, "embeddings"), k=16, rounds=3)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_format": op2_chat_format,
@@ -88,6 +99,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_language_id": op10_language_id,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op13_centroids": op13_centroids,
 }
 
 #: Where SQL can express the query.
@@ -180,4 +193,6 @@ WITH RECURSIVE d AS (
 )
 SELECT doc_id, n::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept FROM g LEFT JOIN c ON c.a = doc_id
 """,
+    "op11_prefix_trie": oracles.PREFIX_TRIE,
+    "op13_centroids": oracles.centroids(),
 }
