@@ -12,6 +12,7 @@ from .embedding_dedup import near_vectors
 from .graph_search import nearest
 from .language_id import identify_language
 from .line_dedup import remove_shared_lines
+from .lm_score import score_texts
 from .minhash_dedup import near_documents
 from .mixing import mix_sources
 from .packing import pack_documents
@@ -84,6 +85,15 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(_read(spark, sf_dir, "conversations"), rebuild=spliced)
 
 
+#: Strength of smoothing of two-word sequences.
+LM_STRENGTH = (100.0,)
+
+
+def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    return score_texts(_read(spark, sf_dir, "documents"), learn, order=2, strength=LM_STRENGTH)
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(_read(spark, sf_dir, "embeddings"), k=16, rounds=3)
 
@@ -100,6 +110,7 @@ QUERIES = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_language_id": op10_language_id,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_lm_score": op12_lm_score,
     "op13_centroids": op13_centroids,
 }
 
