@@ -18,7 +18,9 @@ from .operators import catalog, documents, predictions, profile
 from .plans import evaluation, export
 from .schema import load_config
 from .session import session
+from .shared import drop_tables, scope, table
 from .sources import readers, writers
+from .streaming.monitor import counted
 
 
 def _documents(spark: SparkSession, path: str, config) -> DataFrame:
@@ -90,13 +92,18 @@ def to_test_format(spark, a) -> int:
 
 
 def profile_snapshot(spark, a) -> int:
-    works = readers.snapshot(spark, a.input)
-    found = profile.classify_works(works, a.source).cache()
+    # the snapshot is read once: what is needed of it is written as it is counted
+    good = F.col("_corrupt_record").isNull()
+    works, seen = counted(readers.snapshot(spark, a.input), parse_errors=~good, match_errors=good & profile.source_without_id())
+    found = table(profile.classify_works(works, a.source).select("id", "doi", "category", "pct"))
     out = found.where("id is not null").select(F.col("id").alias("openalex_id"), "doi", "category")
-    writers.split_csv(out, "category", f"{a.output}/categories")
+    if a.files:
+        writers.one_file_each(out, "category", ["openalex_id", "doi"], f"{a.output}/categories", ".csv", "openalex_id", header=True)
+    else:
+        writers.split_csv(out, "category", f"{a.output}/categories")
     s = profile.completeness_summary(found).first().asDict()
-    s["parse_errors"] = works.where("_corrupt_record is not null").count()
-    s["match_errors"] = profile.source_match_error(works).count()
+    s |= {k: seen.get[k] for k in ("parse_errors", "match_errors")}
+    drop_tables(found)
     writers.text_report([f"source: {a.source or 'all'}", *(f"{k}: {v}" for k, v in s.items())], a.report)
     return 0
 
@@ -129,7 +136,9 @@ def compare(spark, a) -> int:
 
 
 def annotations(spark, a) -> int:
-    rows = readers.csv_rows(spark, a.input).withColumn("src_pos", F.monotonically_increasing_id())
+    # files in order of their names, rows in that of the file
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    rows = readers.csv_rows(spark, a.input).withColumn("src_pos", place)
     named = rows.select(readers.column_named(rows, "PDF File Link").alias("link"), "title", "title_lang", F.col("authorName").alias("author"), F.col("author_affiliation").alias("affiliation"), "src_pos")
     writers.jsonl(predictions.annotations(named).orderBy("first").drop("first"), a.output, "overwrite")
     return 0
@@ -175,7 +184,11 @@ def batches(spark, a) -> int:
         s = out.agg(F.count("*").alias("files"), F.max("batch").alias("batches")).first().asDict()
         print(s)
         return 0
-    writers.numbered_batches(out, "batch", a.output)
+    if a.files:
+        named = out.withColumn("name", F.format_string("batch_%03d", F.col("batch")))
+        writers.one_file_each(named, "name", ["gcs_path", "local_path"], a.output, ".tsv", "gcs_path", sep="\t")
+    else:
+        writers.numbered_batches(out, "batch", a.output)
     return 0
 
 
@@ -225,7 +238,7 @@ def reassemble(spark, a) -> int:
     pages = _pages(spark, a.input).withColumn("r", repair("content"))
     good = pages.where(F.coalesce("success", F.lit(False))).where("r.error is null").select("document_id", "page", "src_pos", documents.layout_elements(F.col("r.json")).alias("elements"))
     out = documents.assemble_markdown(good, markers=not a.no_page_markers, skip_margins=a.skip_headers_footers)
-    writers.markdown_files(out, "document_id", "markdown", f"{a.output}/markdown")
+    (writers.documents if a.files else writers.markdown_files)(out, "document_id", "markdown", f"{a.output}/markdown")
     if a.output_jsonl:
         bare = documents.assemble_markdown(good, markers=not a.no_page_markers, skip_margins=a.skip_headers_footers, header=False)
         writers.jsonl(bare.select("document_id", F.col("markdown").alias("markdown_text")), a.output_jsonl, "overwrite")
@@ -246,7 +259,7 @@ COMMANDS = {
     "export": (export_tables, ["input", "output_prefix"], {"correct_suffix": "_correct", "error_suffix": "_errors", "details_suffix": "_errors_details"}),
     "convert": (convert, ["input", "output"], {"ground_truth": None, "preserve_metadata": False, "verbose": False}),
     "to-test-format": (to_test_format, ["input", "records", "output"], {}),
-    "profile-snapshot": (profile_snapshot, ["input", "output", "report"], {"source": None}),
+    "profile-snapshot": (profile_snapshot, ["input", "output", "report"], {"source": None, "files": False}),
     "profile-nulls": (profile_nulls, ["input", "output"], {"sample": 0, "seed": 42}),
     "compare": (compare, ["base", "candidate"], {"output": None}),
     "annotations": (annotations, ["input", "output"], {}),
@@ -254,11 +267,11 @@ COMMANDS = {
     "sample": (sample, ["input", "output"], {"size": 10_000, "seed": 42}),
     "check-pdfs": (check_pdfs, ["input", "output"], {}),
     "manifest": (manifest, ["input", "output"], {}),
-    "batches": (batches, ["input", "output"], {"size": 0, "count": 0, "present": None, "dry_run": False}),
+    "batches": (batches, ["input", "output"], {"size": 0, "count": 0, "present": None, "dry_run": False, "files": False}),
     "resolve": (resolve, ["input", "listing", "output"], {"present": None, "dry_run": False}),
     "prepare": (prepare, ["input", "output"], {"flat": False}),
     "merge": (merge, ["input", "output"], {}),
-    "reassemble": (reassemble, ["input", "output"], {"no_page_markers": False, "skip_headers_footers": False, "output_jsonl": None}),
+    "reassemble": (reassemble, ["input", "output"], {"no_page_markers": False, "skip_headers_footers": False, "output_jsonl": None, "files": False}),
 }
 
 
@@ -283,7 +296,8 @@ def main(argv: list[str] | None = None) -> int:
     args = p.parse_args(argv)
     if args.command == "batches" and bool(args.size) == bool(args.count):
         p.error("give either --size or --count")
-    return COMMANDS[args.command][0](session(), args)
+    with scope():
+        return COMMANDS[args.command][0](session(), args)
 
 
 if __name__ == "__main__":

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -69,15 +70,34 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 #: Similarity, 0 to 1, of two texts.
 Score = Callable[[str, str], float]
 
-#: Match types that rules may name beside `strict`; none as score means Indel similarity.
-MATCH_TYPES: dict[str, Score | None] = {"fuzzy": None}
 
+@dataclass(frozen=True)
+class MatchType:
+    """A registered similarity with what large groups need to find its pairs by a join.
 
-def register_match_type(name: str, score: Score) -> None:
-    """Lets rules use score(a, b) under a name; it runs in tasks, so it must be importable or picklable there."""
+    blocks gives, for a text column, an array of keys: similar texts must have one in common. bound,
+    of two text columns and a threshold, is a condition that similar texts meet; it prunes what the
+    join finds before the score is called.
+    """
+
+    score: Score
+    blocks: Callable[[Column], Column] | None = None
+    bound: Callable[[Column, Column, float], Column] | None = None
+
+
+#: Match types that rules may name beside `strict`; none as type means Indel similarity.
+MATCH_TYPES: dict[str, MatchType | None] = {"fuzzy": None}
+
+
+def register_match_type(name: str, score: Score, blocks: Callable[[Column], Column] | None = None, bound: Callable[[Column, Column, float], Column] | None = None) -> None:
+    """Lets rules use score(a, b) under a name; it runs in tasks, so it must be importable or picklable there.
+
+    With blocks, entities of a document are compared only if they have a key in common, whatever
+    their number; without, all pairs of a document are.
+    """
     if name == "strict":
         raise ValueError("strict is equality")
-    MATCH_TYPES[name] = score
+    MATCH_TYPES[name] = MatchType(score, blocks, bound)
 
 
 def similarity(a: Column, b: Column, score: Score | None = None) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import assign_pairs, indel_ratio
+from ..functions.similarity import MatchType, assign_pairs, similarity
+from ..shared import table
+from .near import GROUP_CELLS, assign_pairs_of_groups, near_pairs
 
 
 def occurrence(df: DataFrame, keys: list[str], order: str, out: str = "occ") -> DataFrame:
@@ -30,16 +32,34 @@ def strict_counts(gt: DataFrame, pred: DataFrame, doc: str, key: str) -> DataFra
     return n.groupBy(doc).agg(F.sum("m").alias("tp"), F.sum(F.col("p") - F.col("m")).alias("fp"), F.sum(F.col("g") - F.col("m")).alias("fn"))
 
 
-def fuzzy_pairs(gt: DataFrame, pred: DataFrame, doc: str, text: str, threshold: float, idx: str = "idx", score=None) -> DataFrame:
+def fuzzy_pairs(gt: DataFrame, pred: DataFrame, doc: str, text: str, threshold: float, idx: str = "idx", kind: MatchType | None = None, cells: int = GROUP_CELLS) -> DataFrame:
     """(doc, gt_idx, pred_idx, score): the best one-to-one assignment of similar texts in each document.
 
     Meant for what strict pairs leave over, so documents without rows on both sides never reach
-    Python. A document is one row and one call, which compares all its texts of fitting lengths.
+    Python. A document of up to `cells` pairs is one row and one call. In larger ones an index of
+    rare grams (or a kind's blocks) finds the similar pairs by a join, and each connected component
+    of them is assigned by itself; a kind without blocks has all its documents compared as rows.
     """
-    side = lambda df, name: df.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")))).alias(name))
-    both = side(gt, "g").join(side(pred, "p"), doc)
-    found = both.withColumn("m", F.explode(assign_pairs(F.col("g.t"), F.col("p.t"), threshold, score)))
-    return found.select(doc, F.element_at("g", F.col("m.l") + 1).i.alias("gt_idx"), F.element_at("p", F.col("m.r") + 1).i.alias("pred_idx"), F.col("m.score").alias("score"))
+    gt, pred = (table(df.select(doc, F.col(idx).alias("_i"), F.coalesce(F.col(text), F.lit("")).alias("_t"))) for df in (gt, pred))
+    large = _large_groups(gt, pred, doc, cells, kind)
+    few = lambda df: df if large is None else df.join(large.hint("merge"), doc, "left_anti")
+    side = lambda df, name: few(df).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("_i", "_t"))).alias(name))
+    both = side(gt, "_g").join(side(pred, "_p"), doc)
+    found = both.withColumn("_m", F.explode(assign_pairs(F.col("_g._t"), F.col("_p._t"), threshold, kind.score if kind else None)))
+    found = found.select(doc, F.element_at("_g", F.col("_m.l") + 1)["_i"].alias("gt_idx"), F.element_at("_p", F.col("_m.r") + 1)["_i"].alias("pred_idx"), F.col("_m.score").alias("score"))
+    if large is None:
+        return found
+    gt, pred = (df.join(large.hint("merge"), doc, "left_semi") for df in (gt, pred))
+    return found.unionByName(assign_pairs_of_groups(gt, pred, doc, "_t", near_pairs(gt, pred, doc, "_t", threshold, kind), "_i"))
+
+
+def _large_groups(left: DataFrame, right: DataFrame, group: str, cells: int, kind: MatchType | None) -> DataFrame | None:
+    """The groups with more than so many pairs of rows, if their similar pairs can be found by a join; none if there are none."""
+    if kind is not None and kind.blocks is None:
+        return None
+    count = lambda df, name: df.groupBy(group).agg(F.count("*").alias(name))
+    large = table(count(left, "_l").join(count(right, "_r"), group).where(F.col("_l") * F.col("_r") > cells).select(group))
+    return None if large.isEmpty() else large
 
 
 def compare_values(gt: Column, pred: Column) -> dict[str, Column]:
@@ -48,22 +68,36 @@ def compare_values(gt: Column, pred: Column) -> dict[str, Column]:
     return {"matched": F.array_sort(F.array_intersect(g, p)), "missing": F.array_sort(F.array_except(g, p)), "extra": F.array_sort(F.array_except(p, g))}
 
 
-def greedy_map(source: DataFrame, target: DataFrame, group: str, text: str, threshold: float = 90.0, idx: str = "idx", score=None) -> DataFrame:
+def greedy_map(source: DataFrame, target: DataFrame, group: str, text: str, threshold: float = 90.0, idx: str = "idx", kind: MatchType | None = None, cells: int = GROUP_CELLS) -> DataFrame:
     """(group, src_idx, tgt_idx, score): each source's most similar target of its group, from the threshold on.
 
-    Several sources may have one target; equal scores go to the first target. Raw text, 0 to 100.
+    Several sources may have one target; equal scores go to the first target. Raw text, 0 to 100; a
+    registered kind's score is a share too. Distinct texts are compared, so copies cost nothing: all
+    pairs of a group of up to `cells` pairs, and in larger ones those that a join on rare grams (or
+    on a kind's blocks) finds with the threshold as bound. Only a threshold of 0, which every pair
+    meets, or a kind without blocks has all pairs of a large group compared.
     """
-    s = source.select(group, F.col(idx).alias("src_idx"), F.col(text).alias("_s"))
-    t = target.select(group, F.col(idx).alias("tgt_idx"), F.col(text).alias("_t"))
-    both = s.join(t, group)
-    if score is None:
+    name = F.col(group).cast("string").alias("_g")
+    s = table(source.select(name, F.col(group).alias("_group"), F.col(idx).alias("src_idx"), F.coalesce(F.col(text), F.lit("")).alias("_t")))
+    t = target.select(name, F.col(idx).alias("tgt_idx"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    # of equal targets the first one counts
+    t = table(t.groupBy("_g", "_t").agg(F.min("tgt_idx").alias("tgt_idx")))
+    asked = s.select("_g", "_t").distinct()
+    large = _large_groups(asked, t, "_g", cells, kind) if threshold > 0 else None
+    few = lambda df: df if large is None else df.join(large.hint("merge"), "_g", "left_anti")
+    pairs = few(asked).withColumnRenamed("_t", "a").join(few(t).select("_g", F.col("_t").alias("b")), "_g")
+    if kind is None:
         # texts whose lengths don't allow the threshold never reach Python
-        a, b = F.length("_s"), F.length("_t")
-        both = both.where(200 * F.least(a, b) >= threshold * (a + b) - 1e-6)
-        score = lambda a, b: indel_ratio(a, b) * 100
-    both = both.withColumn("score", score(F.col("_s"), F.col("_t"))).where(F.col("score") >= threshold)
-    rank = F.row_number().over(Window.partitionBy(group, "src_idx").orderBy(F.desc("score"), "tgt_idx"))
-    return both.withColumn("_r", rank).where("_r = 1").select(group, "src_idx", "tgt_idx", "score")
+        pairs = pairs.where(200 * F.least(F.length("a"), F.length("b")) >= threshold * (F.length("a") + F.length("b")) - 1e-6)
+    pairs = pairs.withColumn("score", similarity(F.col("a"), F.col("b"), kind.score if kind else None))
+    if large is not None:
+        near = near_pairs(*(df.join(large.hint("merge"), "_g", "left_semi") for df in (asked, t)), "_g", "_t", threshold / 100 - 1e-12, kind)
+        pairs = pairs.unionByName(near.withColumnRenamed("group", "_g"))
+    pairs = pairs.withColumn("score", F.col("score") * 100).where(F.col("score") >= threshold)
+    placed = pairs.join(t.withColumnRenamed("_t", "b"), ["_g", "b"])
+    rank = F.row_number().over(Window.partitionBy("_g", "a").orderBy(F.desc("score"), "tgt_idx"))
+    best = placed.withColumn("_r", rank).where("_r = 1").select("_g", F.col("a").alias("_t"), "tgt_idx", "score")
+    return s.join(best, ["_g", "_t"]).select(F.col("_group").alias(group), "src_idx", "tgt_idx", "score")
 
 
 def mapping_iou(mapping: DataFrame, source: DataFrame, target: DataFrame, group: str, idx: str = "idx") -> DataFrame:

@@ -35,8 +35,13 @@ def category(authors: Column, affiliated: Column) -> Column:
     return F.when(authors == 0, CATEGORIES[0]).when(affiliated == authors, CATEGORIES[1]).when(affiliated > 0, CATEGORIES[2]).otherwise(CATEGORIES[3])
 
 
+def source_without_id() -> Column:
+    """A work that names a source but not its id."""
+    return F.col("primary_location.source").isNotNull() & F.col("primary_location.source.id").isNull()
+
+
 def source_match_error(works: DataFrame) -> DataFrame:
-    return works.where("primary_location.source is not null and primary_location.source.id is null")
+    return works.where(source_without_id())
 
 
 def completeness_summary(classified: DataFrame) -> DataFrame:
@@ -47,6 +52,42 @@ def completeness_summary(classified: DataFrame) -> DataFrame:
     return out.withColumns({"all_pct": F.coalesce(share(F.col("all_affiliations"), F.col("works_found")), F.lit(0.0)), "partial_pct": F.coalesce(share(F.col("partial_affiliations"), F.col("works_found")), F.lit(0.0))})
 
 
+def exact_median(df: DataFrame, column: str, bins: int = 1024, most: int = 100_000) -> float | None:
+    """The exact median of a column's numbers (the mean of the two middle ones), without ordering them all.
+
+    The range of values is cut into bins, which are counted; the bin that holds the middle is cut
+    again, between the smallest and largest value that are in it, until it holds at most `most` rows
+    or one value. Each round is a pass with `bins` counts; only the last bin's values, each with its
+    number, come to one place. Nulls and NaN don't count; without numbers there is no median.
+    """
+    x = df.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    found = x.agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    if not found["n"]:
+        return None
+
+    def ranked(rank: int) -> float:
+        n, lo, hi, below = found["n"], found["lo"], found["hi"], 0
+        while lo < hi and n > most:
+            # halves first, as the difference of two large numbers may have no double
+            place = F.floor((F.col("x") / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2) * bins)
+            own = x.where((F.col("x") >= lo) & (F.col("x") <= hi)).groupBy(F.least(place, F.lit(bins - 1)).alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+            for r in sorted(own.collect(), key=lambda r: r["lo"]):
+                if below + r["n"] > rank:
+                    n, lo, hi = r["n"], r["lo"], r["hi"]
+                    break
+                below += r["n"]
+        if lo == hi:
+            return lo
+        for r in x.where((F.col("x") >= lo) & (F.col("x") <= hi)).groupBy("x").agg(F.count("*").alias("n")).orderBy("x").collect():
+            below += r["n"]
+            if below > rank:
+                return r["x"]
+        raise RuntimeError("the table has changed between two passes")
+
+    low, high = ranked((found["n"] - 1) // 2), ranked(found["n"] // 2)
+    return low if low == high else low / 2 + high / 2
+
+
 def null_status(authors: Column) -> Column:
     """no_authors, all_null, some_null or none_null of array<struct<affiliations array<struct<affiliation>>>>."""
     void = lambda a: F.coalesce(F.forall(a.affiliations, lambda x: F.coalesce(x.affiliation, F.lit("")) == ""), F.lit(True))

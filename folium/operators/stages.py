@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.lookups import Busy
+
 RESULT = "document_id string, page int, success boolean, content string, error string, attempts int, latency double"
 
 
@@ -19,8 +21,9 @@ def prompt(text: Column, template: str, most_chars: int = 6000) -> Column:
 def call_model(pages: DataFrame, client: Callable[[dict], str], tries: int = 3, busy_tries: int = 10, wait: float = 0.5, first: float = 0.1, step: float = 0.2) -> DataFrame:
     """Calls client(row with temperature) for every (document_id, page, ...) row; failures become rows.
 
-    An error whose text tells of overload (429 or 5xx) waits ever longer and isn't counted as a
-    try, up to busy_tries; other errors are, and raise the temperature. An empty answer is an error.
+    A Busy error, or one whose text tells of overload (429 or 5xx), waits ever longer and isn't
+    counted as a try, up to busy_tries; other errors are, and raise the temperature. An empty answer
+    is an error.
     """
 
     def run(batches):
@@ -34,14 +37,15 @@ def call_model(pages: DataFrame, client: Callable[[dict], str], tries: int = 3,
             for row in pdf.to_dict("records"):
                 began, used, busy, content, error = time.time(), 0, 0, None, None
                 while used < tries and busy < busy_tries:
+                    full = False
                     try:
                         content = client({**row, "temperature": first + used * step})
                         error = None if content else "empty answer"
                     except Exception as e:  # the client's own failures become the row's error
-                        content, error = None, str(e)
+                        content, error, full = None, str(e) or type(e).__name__, isinstance(e, Busy)
                     if error is None:
                         break
-                    if re.search(r"\b(429|5[0-9][0-9])\b", error):
+                    if full or re.search(r"\b(429|5[0-9][0-9])\b", error):
                         busy += 1
                         time.sleep(min(30.0, wait * 2**busy))
                     else:

@@ -282,6 +282,97 @@ def greedy_map(t):
     return matching.greedy_map(*_numbered(t), "doc_id", "text")
 
 
+#: Similarities of the pairs w(a, b), by the longest common subsequence, one character of a at a time.
+_LCS_SQL = """
+lcs(a, b, i, l) AS (
+  SELECT a, b, 0, [0 FOR j IN range(length(b) + 1)] FROM w
+  UNION ALL
+  SELECT a, b, i + 1, [list_max([greatest(l[k + 1], CASE WHEN k > 0 AND a[i + 1] = b[k] THEN l[k] + 1 ELSE 0 END) FOR k IN range(j + 1)]) FOR j IN range(length(b) + 1)] FROM lcs WHERE i < length(a)
+), s AS (SELECT a, b, 2.0::DOUBLE * l[length(b) + 1] / (length(a) + length(b)) AS score FROM lcs WHERE i = length(a))
+"""
+
+
+@query(_NUMBERED_SQL.replace("WITH", "WITH RECURSIVE", 1) + ", w AS (SELECT DISTINCT g.text AS a, p.text AS b FROM g JOIN p USING (doc_id)), " + _LCS_SQL + """
+SELECT doc_id::VARCHAR AS doc_id, a, b, score FROM (SELECT DISTINCT doc_id, g.text AS a, p.text AS b FROM g JOIN p USING (doc_id)) JOIN s USING (a, b) WHERE score >= 0.85
+""")
+def near_pairs(t):
+    """All similar numbers of customers and suppliers among fifty keys, equal or not, by the index of rare grams."""
+    from ..operators.near import near_pairs as pairs
+
+    return pairs(*_numbered(t), "doc_id", "text", 0.85).withColumnRenamed("group", "doc_id")
+
+
+_HEX_SQL = """
+WITH RECURSIVE g AS (SELECT c_custkey // 2 AS doc_id, c_custkey % 2 AS i, left(md5(c_custkey::VARCHAR), 8) AS text FROM customer),
+     p AS (SELECT s_suppkey // 2 AS doc_id, s_suppkey % 2 AS j, left(md5('s' || s_suppkey), 8) AS text FROM supplier),
+     w AS (SELECT DISTINCT g.text AS a, p.text AS b FROM g JOIN p USING (doc_id)),
+"""
+
+
+def _hexes(t):
+    """Customers and suppliers by eight random digits each, in groups of two keys."""
+    side = lambda name, key, mark: t(name).select(F.floor(F.col(key) / 2).cast("long").alias("doc_id"), F.col(key).alias("idx"), F.substring(F.md5(F.concat(F.lit(mark), F.col(key).cast("string")).cast("binary")), 1, 8).alias("text"))
+    return side("customer", "c_custkey", ""), side("supplier", "s_suppkey", "s")
+
+
+@query(_HEX_SQL + _LCS_SQL + """, c AS (
+  SELECT doc_id, coalesce(max(score) FILTER (WHERE i = 0 AND j = 0), 0) AS s00, coalesce(max(score) FILTER (WHERE i = 0 AND j = 1), 0) AS s01,
+         coalesce(max(score) FILTER (WHERE i = 1 AND j = 0), 0) AS s10, coalesce(max(score) FILTER (WHERE i = 1 AND j = 1), 0) AS s11
+  FROM g JOIN p USING (doc_id) JOIN s ON s.a = g.text AND s.b = p.text WHERE score >= 0.5 GROUP BY doc_id
+)
+SELECT doc_id, greatest(s00 + s11, s01 + s10) AS total, CASE WHEN s00 + s11 >= s01 + s10 THEN (s00 > 0)::BIGINT + (s11 > 0)::BIGINT ELSE (s01 > 0)::BIGINT + (s10 > 0)::BIGINT END AS pairs FROM c
+""")
+def fuzzy_totals(t):
+    """What the best assignment of two customers to two suppliers by random digits comes to, where it isn't the same for all."""
+    found = matching.fuzzy_pairs(*_hexes(t), "doc_id", "text", 0.5, cells=2)
+    return found.groupBy("doc_id").agg(F.sum("score").alias("total"), F.count("*").alias("pairs"))
+
+
+@query(_NUMBERED_SQL.replace("WITH", "WITH RECURSIVE", 1) + ", q AS (SELECT * FROM p WHERE idx % 2 = 0), w AS (SELECT DISTINCT g.text AS a, q.text AS b FROM g JOIN q USING (doc_id)), " + _LCS_SQL + """
+SELECT doc_id, g.idx AS src_idx, q.idx AS tgt_idx, score * 100 AS score FROM g JOIN q USING (doc_id) JOIN s ON s.a = g.text AND s.b = q.text WHERE score * 100 >= 70
+QUALIFY row_number() OVER (PARTITION BY doc_id, g.idx ORDER BY score DESC, q.idx) = 1
+""")
+def greedy_similar(t):
+    """Each customer's most similar supplier with an even key, by number; those with odd keys have only similar ones. By the index of rare grams."""
+    left, right = _numbered(t)
+    return matching.greedy_map(left, right.where("idx % 2 = 0"), "doc_id", "text", 70.0, cells=100)
+
+
+def same_signs(a: str, b: str) -> float:
+    return float(sorted(a) == sorted(b))
+
+
+@query("""
+WITH c AS (SELECT regexp_extract(c_name, '([0-9]+)$', 1) AS a FROM customer), s AS (SELECT regexp_extract(s_name, '([0-9]+)$', 1) AS b FROM supplier)
+SELECT DISTINCT a, b, 1.0::DOUBLE AS score FROM c JOIN s ON list_sort(string_split(a, '')) = list_sort(string_split(b, ''))
+""")
+def match_type_pairs(t):
+    """Customers and suppliers whose numbers have the same digits in any order: a registered match type with keys of its own, in one group."""
+    from ..functions.similarity import MATCH_TYPES, register_match_type
+    from ..operators.near import near_pairs as pairs
+
+    register_match_type("same_signs", same_signs, lambda c: F.array(F.array_join(F.array_sort(F.split(c, "")), "")), lambda a, b, least: F.length(a) == F.length(b))
+    left, right = (df.withColumn("doc_id", F.lit("all")) for df in _numbered(t))
+    return pairs(left, right, "doc_id", "text", 1.0, MATCH_TYPES["same_signs"]).drop("group")
+
+
+@query("SELECT event_type AS server, max(event_id % 100)::INTEGER AS peak_running, max(user_id % 50)::INTEGER AS peak_waiting FROM events GROUP BY event_type")
+def stream_peaks(t):
+    """The last of the peaks that a stream of log lines, made of the events, tells of for each of their types."""
+    from ..shared import shared_dir
+    from ..streaming import ingest, monitor
+
+    events = t("events")
+    work = shared_dir(events.sparkSession)
+    stream = ingest.drop_folder(events.sparkSession, t.path("events"), events.schema)
+    line = F.concat(F.lit("Running: "), F.col("event_id") % 100, F.lit(" reqs, Waiting: "), F.col("user_id") % 50, F.lit(" reqs"))
+    peaks = monitor.running_peaks(stream.select("event_type", line.alias("value")), "event_type")
+    peaks.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start(f"{work}/out").awaitTermination()
+    told = events.sparkSession.read.schema(peaks.schema).parquet(f"{work}/out")
+    # peaks only rise
+    return told.groupBy("server").agg(F.max("peak_running").alias("peak_running"), F.max("peak_waiting").alias("peak_waiting"))
+
+
 _RULE_SQL = "SELECT lang, count(*) FILTER (WHERE n_chars {op} {n} AND quality = 1)::BIGINT AS tp, count(*) FILTER (WHERE n_chars {op} {n} AND quality = 0)::BIGINT AS fp, count(*) FILTER (WHERE NOT n_chars {op} {n} AND quality = 1)::BIGINT AS fn FROM documents JOIN labels USING (doc_id) GROUP BY lang"
 _PRF_SQL = "CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END AS recall"
 
@@ -571,12 +662,13 @@ def clean_predictions(t):
     return rows.select("event_id", F.nullif(F.array_join(F.flatten(F.col("authors.affiliations")), ","), F.lit("")).alias("affs"), F.size("authors").alias("n"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'valid' WHEN page_id % 3 = 1 THEN 'corrupted' ELSE 'password_protected' END AS status FROM pages")
+@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'valid' WHEN 2 THEN 'password_protected' WHEN 3 THEN 'zero_pages' ELSE 'corrupted' END AS status FROM pages")
 def pdf_classes(t):
     from ..sources.readers import pdf_status
 
-    k = F.col("page_id") % 3
-    body = F.when(k == 0, F.lit("%PDF-1.7 /Type /Page \n%%EOF")).when(k == 1, F.col("url")).otherwise(F.lit("%PDF-1.7 /Encrypt 1 /Type /Page \n%%EOF")).cast("binary")
+    k = F.col("page_id") % 5
+    text = lambda head: F.concat(F.lit(f"%PDF-1.7 {head} "), F.col("url"), F.lit("\n%%EOF"))
+    body = F.when(k == 0, text("/Type /Page ")).when(k == 1, F.col("url")).when(k == 2, text("/Encrypt 1 /Type /Page ")).when(k == 3, text("")).otherwise(F.lit("")).cast("binary")
     return t("pages").select("page_id", pdf_status(F.length(body), body).alias("status"))
 
 

@@ -80,7 +80,7 @@ def evaluate(gt_docs: DataFrame, pred_docs: DataFrame, config: EvalConfig) -> Ev
     exact, gt_left, pred_left = strict_pairs(gt, pred, ["doc_id", "norm"])
     pairs = exact.select("doc_id", "gt_idx", "pred_idx", F.lit("strict").alias("kind"))
     if rule.fuzzy:
-        near = fuzzy_pairs(gt_left, pred_left, "doc_id", "norm", rule.similarity_threshold, score=rule.score)
+        near = fuzzy_pairs(gt_left, pred_left, "doc_id", "norm", rule.similarity_threshold, kind=rule.kind)
         pairs = pairs.unionByName(near.select("doc_id", "gt_idx", "pred_idx", F.lit("fuzzy").alias("kind")))
     pairs = table(attributes(pairs, gt, pred, config))
     return Evaluation(table(status), gt, pred, pairs, table(count_all(good, gt, pred, pairs, config)), config)
@@ -101,6 +101,7 @@ def attributes(pairs: DataFrame, gt: DataFrame, pred: DataFrame, config: EvalCon
         empty = F.expr("cast(array() as array<string>)")
         for p in ("gt", "pred"):
             value = F.coalesce(F.try_element_at(f"{p}_arrays", F.lit(f)), empty)
+            out = out.withColumn(f"{f}_size_{p}", list_size(F.try_element_at(f"{p}_arrays", F.lit(f))))
             out = out.withColumn(f"_{p}_text", value).withColumn(f"_{p}", normalize_all(value) if rule.normalization else value)
         got = compare_values(F.col("_gt"), F.col("_pred"))
         out = out.withColumns({f"{f}_{k}": c for k, c in got.items()})
@@ -122,22 +123,32 @@ def attributes(pairs: DataFrame, gt: DataFrame, pred: DataFrame, config: EvalCon
     return out.withColumns({"full_strict": strict, "full_fuzzy": fuzzy}).drop("_gt", "_pred", "_gt_text", "_pred_text", "gt_arrays", "pred_arrays", "gt_scalars", "pred_scalars")
 
 
+def list_size(c: Column) -> Column:
+    """How many values a list has; a null one has none."""
+    return F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+
+
 def count_all(docs: DataFrame, gt: DataFrame, pred: DataFrame, pairs: DataFrame, config: EvalConfig) -> DataFrame:
-    """(doc_id, category, mode, tp, fp, fn): entities, array fields and the combination, in both modes."""
-    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
-    lists = lambda df, p: df.groupBy("doc_id").agg(F.count("*").alias(f"n_{p}"), *(F.sum(size(F.try_element_at("arrays", F.lit(f)))).alias(f"{p}_{f}") for f in config.array_fields))
-    used = lambda df, p: pairs.select("doc_id", F.col(f"{p}_idx").alias("idx"), "kind").join(df.select("doc_id", "idx", "arrays"), ["doc_id", "idx"]).groupBy("doc_id").agg(*(F.sum(F.when(when, size(F.try_element_at("arrays", F.lit(f))))).alias(f"{p}_{f}_{mode}") for f in config.array_fields for mode, when in modes.items())) if config.array_fields else docs
+    """(doc_id, category, mode, tp, fp, fn): entities, array fields and the combination, in both modes.
+
+    What documents, entities and pairs add to a document's counts is laid one below the other and
+    summed by document at once, in tasks first, so no table is joined to another.
+    """
     modes = {"strict": F.col("kind") == "strict", "fuzzy": F.lit(True)}
-    sums = []
+    one = lambda when: when.cast("long")
+    lists = lambda df, p: df.select("doc_id", F.lit(1).cast("long").alias(f"n_{p}"), *(list_size(F.try_element_at("arrays", F.lit(f))).alias(f"{p}_{f}") for f in config.array_fields))
+    own = []
     for mode, when in modes.items():
-        sums += [F.count_if(when).alias(f"pairs_{mode}"), F.count_if(when & F.col(f"full_{mode}")).alias(f"full_{mode}")]
+        own += [one(when).alias(f"pairs_{mode}"), one(when & F.col(f"full_{mode}")).alias(f"full_{mode}")]
         for f in config.array_fields:
             extra = F.size(f"{f}_close") if mode == "fuzzy" else F.lit(0)
-            sums += [F.sum(F.when(when, F.size(f"{f}_matched") + extra)).alias(f"tp_{f}_{mode}"), F.sum(F.when(when, F.size(f"{f}_missing") - extra)).alias(f"fn_{f}_{mode}"), F.sum(F.when(when, F.size(f"{f}_extra") - extra)).alias(f"fp_{f}_{mode}")]
-    t = docs
-    for part in (lists(gt, "gt"), lists(pred, "pred"), pairs.groupBy("doc_id").agg(*sums), used(gt, "gt"), used(pred, "pred")):
-        t = t.join(part, "doc_id", "left") if part is not docs else t
-    t = t.na.fill(0)
+            said = {"tp": F.size(f"{f}_matched") + extra, "fn": F.size(f"{f}_missing") - extra, "fp": F.size(f"{f}_extra") - extra}
+            own += [F.when(when, c).cast("long").alias(f"{k}_{f}_{mode}") for k, c in said.items()]
+            own += [F.when(when, F.col(f"{f}_size_{p}")).alias(f"{p}_{f}_{mode}") for p in ("gt", "pred")]
+    t = docs.select("doc_id")
+    for part in (lists(gt, "gt"), lists(pred, "pred"), pairs.select("doc_id", *own)):
+        t = t.unionByName(part, allowMissingColumns=True)
+    t = t.groupBy("doc_id").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in t.columns if c != "doc_id"))
     rows: list[Column] = []
     row = lambda c, m, tp, fp, fn: F.struct(F.lit(c).alias("category"), F.lit(m).alias("mode"), tp.cast("long").alias("tp"), fp.cast("long").alias("fp"), fn.cast("long").alias("fn"))
     for mode in modes:

@@ -7,7 +7,7 @@ import os
 import re
 from dataclasses import dataclass, field
 
-from .functions.similarity import MATCH_TYPES, Score
+from .functions.similarity import MATCH_TYPES, MatchType, Score
 
 
 @dataclass(frozen=True)
@@ -23,9 +23,13 @@ class Rule:
         return self.match_type in MATCH_TYPES
 
     @property
-    def score(self) -> Score | None:
+    def kind(self) -> MatchType | None:
         return MATCH_TYPES.get(self.match_type)
 
+    @property
+    def score(self) -> Score | None:
+        return self.kind.score if self.kind else None
+
 
 @dataclass(frozen=True)
 class EntitySchema:

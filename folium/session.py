@@ -14,6 +14,8 @@ def session(app: str = "folium", **conf: str) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+        # state of streams on the executors' disks, with its changes in the checkpoint
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
     for k, v in (settings | conf).items():
         builder = builder.config(k, v)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,12 +24,41 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/folium-{uuid.uuid4().hex}"
 
 
+class Scope:
+    """Tables that were written in it and not kept."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Leaves this table there when the scope ends."""
+        self.made = [t for t in self.made if t is not df]
+        return df
+
+
+_scopes: list[Scope] = []
+
+
+@contextmanager
+def scope() -> Iterator[Scope]:
+    """Deletes on exit what table() writes inside; results must have been written, or kept, by then."""
+    own = Scope()
+    _scopes.append(own)
+    try:
+        yield own
+    finally:
+        _scopes.remove(own)
+        drop_tables(*own.made)
+
+
 def table(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._table_path = path
+    if _scopes:
+        _scopes[-1].made.append(out)
     return out
 
 

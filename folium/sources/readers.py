@@ -6,10 +6,14 @@ Rows that can't be read are kept with a reason instead of failing the job. Where
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as ids
+from .lookups import ask
 
 ID_KEYS = ("arxiv_id", "arxivId", "paper_id", "doc_id", "document_id", "id", "filename", "file_name")
 #: Narrow schema of a bulk snapshot of works.
@@ -52,7 +56,9 @@ def json_records(spark: SparkSession, path: str) -> DataFrame:
     a file of one line.
     """
     by_line = jsonl(spark, path)
-    forms = by_line.groupBy("src_file").agg(F.min_by(F.schema_of_variant("record"), "src_pos").alias("first"), F.count("*").alias("n"))
+    # only the first line of each file is parsed for that
+    forms = by_line.groupBy("src_file").agg(F.min_by("value", "src_pos").alias("_v"), F.count("*").alias("n"))
+    forms = forms.withColumn("first", F.schema_of_variant(F.try_parse_json("_v")))
     lined = F.coalesce(F.col("first").startswith("OBJECT"), F.lit(False)) & (F.col("n") > 1)
     others = [r["src_file"] for r in forms.where(~lined).select("src_file").collect()]  # paths of files, which the driver lists anyway
     none = F.lit(None).cast("string")
@@ -123,13 +129,17 @@ def object_listing(spark: SparkSession, path: str) -> DataFrame:
 def pdf_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """(path, length, content) of PDF files, whatever the case of their suffix; fails if there are none.
 
-    Spark's binary source leaves files of no bytes out.
+    Spark's binary source leaves files of no bytes out; they are found in its listing of the folder.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
-    rows = rows.where(F.lower("path").endswith(".pdf")).select("path", "length", "content")
-    if rows.select("path").isEmpty():
+    # the paths that the driver has listed for the source anyway, as the source spells them
+    listed = [re.sub("^file:/+", "file:/", unquote(p)) for p in rows.inputFiles()]
+    listed = [p for p in listed if p.lower().endswith(".pdf")]
+    if not listed:
         raise FileNotFoundError(f"no PDF files in {path}")
-    return rows
+    rows = rows.where(F.lower("path").endswith(".pdf")).select("path", "length", "content")
+    void = spark.createDataFrame([(p,) for p in listed], "path string").join(rows.select("path"), "path", "left_anti")
+    return rows.unionByName(void.select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
 
 
 def page_images(spark: SparkSession, path: str) -> DataFrame:
@@ -156,36 +166,28 @@ def magic(content: Column) -> Column:
 
 
 def pdf_status(length: Column, content: Column) -> Column:
-    """empty, corrupted, password_protected, zero_pages or valid, from the bytes; pages are counted by their objects."""
+    """corrupted (as an empty file is), password_protected, zero_pages or valid, from the bytes; pages are counted by their objects."""
     text = F.decode(content, "ISO-8859-1")
     pages = F.regexp_count(text, F.lit(r"/Type\s*/Page[^s]"))
     streams = text.contains("/ObjStm")
     bad = (magic(content) != "pdf") | ~text.contains("%%EOF")
-    return F.when(length == 0, "empty").when(bad, "corrupted").when(text.rlike(r"/Encrypt\s"), "password_protected").when((pages == 0) & ~streams, "zero_pages").otherwise("valid")
+    return F.when((length == 0) | bad, "corrupted").when(text.rlike(r"/Encrypt\s"), "password_protected").when((pages == 0) & ~streams, "zero_pages").otherwise("valid")
 
 
 def fetch_by_key(keys: DataFrame, column: str, client, schema: str, tries: int = 3, wait: float = 1.0) -> DataFrame:
-    """Looks each key up with client(key) -> dict; a failure is tried again with a growing wait, then null.
+    """Looks each key up with client(key) -> dict; a failure is tried again after a wait, then null with its error.
 
-    The client is shipped to tasks, so that tests and offline runs give a local one.
+    The client is shipped to tasks, so that tests and offline runs give a local one. For a service
+    with a limit of requests, and answers that are kept, see lookups.lookup.
     """
 
     def run(batches):
-        import time
-
         import pandas as pd
 
         for pdf in batches:
             rows = []
             for key in pdf[column]:
-                got, error = None, None
-                for attempt in range(tries):
-                    try:
-                        got, error = client(key), None
-                        break
-                    except Exception as e:  # the client's own failures become the row's error
-                        error = str(e)
-                        time.sleep(wait * attempt)
+                got, error = ask(client, key, tries, wait)
                 rows.append({column: key, **(got or {}), "error": error})
             names = [f.split()[0] for f in schema.split(",")]
             yield pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names)

@@ -76,6 +76,32 @@ def numbered_batches(df: DataFrame, batch: str, path: str, sep: str = "\t") -> N
     df.select(name.alias("batch"), row.alias("value")).write.mode("overwrite").partitionBy("batch").text(path)
 
 
+def one_file_each(df: DataFrame, name: str, columns: list[str], path: str, suffix: str, order: str | None = None, sep: str | None = None, header: bool = False) -> None:
+    """One file path/<name><suffix> for each name, of its rows in order: CSV, or fields joined by sep. Many files a task; whole ones only."""
+    from .named_files import named_files
+
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    quoted = lambda c: F.when(text(c).rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(text(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text(c))
+    row = F.concat(F.concat_ws(",", *map(quoted, columns)) if sep is None else F.concat_ws(sep, *map(text, columns)), F.lit("\n"))
+    rows = df.select(F.concat(file_name(F.col(name)), F.lit(suffix)).alias("name"), row.alias("text"), *([F.col(order).alias("_o")] if order else []))
+    named_files(rows, "name", "text", path, "_o" if order else None, (sep or ",").join(columns) if header else "")
+
+
+def documents(df: DataFrame, id_col: str, text_col: str, path: str, suffix: str = ".md") -> None:
+    """A file path/<id><suffix> for each document, in one flat folder; many files a task, and whole ones only."""
+    from .named_files import named_files
+
+    named_files(df.select(F.concat(file_name(F.col(id_col)), F.lit(suffix)).alias("name"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "name", "text", path)
+
+
+def file_name(ident: Column) -> Column:
+    """A name for a file: the id if it is one, else its plain signs and a hash, so that no two ids share a name."""
+    ident = F.coalesce(ident.cast("string"), F.lit(""))
+    plain = F.regexp_replace(ident, r"[^0-9A-Za-z._-]+", "_")
+    safe = (plain == ident) & (ident != "") & ~ident.startswith(".") & ~ident.startswith("_")
+    return F.when(safe, ident).otherwise(F.concat(F.lit("x"), plain, F.lit("-"), F.substring(F.md5(ident.cast("binary")), 1, 12)))
+
+
 def markdown_files(df: DataFrame, id_col: str, text_col: str, path: str) -> None:
     """A text file for each document, named after it, below a partition folder that tasks write.
 

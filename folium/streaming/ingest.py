@@ -6,11 +6,9 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-#: Parts of the table of keys.
-KEY_PARTS = 64
+from .keys import KeyStore
 
 
 def drop_folder(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int | None = None, pattern: str | None = None) -> DataFrame:
@@ -32,27 +30,24 @@ def append_new(stream: DataFrame, out: str, checkpoint: str, key: str | None = N
     Rows land in out/batch-<run>-<number>, where run is a hash of the checkpoint's path: a batch
     that is run again after a failure overwrites its own folder, so nothing is doubled, and a stream
     with a new checkpoint never overwrites another's. The keys that are there are kept in the folder
-    <out>-keys, parted by hash, so a batch reads keys and not rows, and only of its own parts. Read
-    what has landed with landed().
+    <out>-keys (see KeyStore), so a batch reads keys and not rows, and only those parts of them whose
+    filters know one of its own. Read what has landed with landed().
     """
     run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, number: int) -> None:
         spark, own = batch.sparkSession, f"{run}-{number}"
-        if key is not None:
-            part = F.pmod(F.xxhash64(key), F.lit(KEY_PARTS)).cast("int")
-            batch = batch.dropDuplicates([key]).withColumn("_part", part).persist()
-            if _exists(spark, f"{out}-keys"):
-                # at most KEY_PARTS numbers
-                parts = [r["_part"] for r in batch.select("_part").distinct().collect()]
-                layout = T.StructType([batch.schema[key], T.StructField("_part", T.IntegerType()), T.StructField("_run", T.StringType())])
-                known = spark.read.schema(layout).parquet(f"{out}-keys").where(F.col("_part").isin(parts) & (F.col("_run") != own))
-                batch = batch.join(known.select(key), key, "left_anti")
-            batch = batch.drop("_part")
-        batch.write.mode("overwrite").format(fmt).save(f"{out}/batch-{own}")
-        if key is not None:
-            keys = spark.read.format(fmt).schema(batch.schema).load(f"{out}/batch-{own}").select(key).withColumn("_part", part)
-            keys.repartition("_part").write.mode("overwrite").partitionBy("_part").parquet(f"{out}-keys/_run={own}")
+        if key is None:
+            batch.write.mode("overwrite").format(fmt).save(f"{out}/batch-{own}")
+            return
+        store = KeyStore(spark, f"{out}-keys", key, batch.schema[key].dataType)
+        store.compact(but=own)
+        batch = batch.dropDuplicates([key]).persist()
+        try:
+            new = store.unknown(batch, but=own)
+            new.write.mode("overwrite").format(fmt).save(f"{out}/batch-{own}")
+            store.add(own, spark.read.format(fmt).schema(new.schema).load(f"{out}/batch-{own}"))
+        finally:
             batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -63,20 +58,10 @@ def landed(spark: SparkSession, out: str, schema, fmt: str = "parquet") -> DataF
     return spark.read.format(fmt).option("recursiveFileLookup", True).schema(schema).load(out)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
-def progress(stream: DataFrame, name: str, *counts) -> DataFrame:
-    """Attaches named counters that a StreamingQueryListener sees with each batch."""
-    return stream.observe(name, F.count(F.lit(1)).alias("rows"), *counts)
-
-
-def server_load(lines: DataFrame) -> DataFrame:
-    """(value, running, waiting) of a server's log lines that tell of its load."""
+def server_load(lines: DataFrame, *more: str) -> DataFrame:
+    """(value, more.., running, waiting) of a server's log lines that tell of its load."""
     n = lambda word: F.nullif(F.regexp_extract("value", rf"(?i){word}[:=]?\s*([0-9]+)", 1), F.lit("")).try_cast("int")
-    return lines.select("value", n("running").alias("running"), n("(?:waiting|pending)").alias("waiting")).where("running is not null or waiting is not null")
+    return lines.select("value", *more, n("running").alias("running"), n("(?:waiting|pending)").alias("waiting")).where("running is not null or waiting is not null")
 
 
 def peak_load(lines: DataFrame) -> DataFrame:
