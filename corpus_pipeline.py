@@ -6,7 +6,7 @@ last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.llm import toxicity as tox
@@ -17,7 +17,7 @@ from folium.llm.mixing import mix_sources
 from folium.llm.packing import pack_documents
 from folium.llm.queries import tokenizer_path
 from folium.operators.catalog import best_per
-from folium.shared import drop_tables
+from folium.shared import drop_tables, scope
 
 
 #: Target shares of tokens by language; sources and topics are flattened to the power MIX_TEMPERATURE.
@@ -27,6 +27,17 @@ MIX_TEMPERATURE = 0.7
 MIX_KEEP = 0.7
 
 
+def _aside(docs: DataFrame, added: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """The table with other names for columns that an operator adds, and the columns that give it its own names back."""
+    name = {}
+    for c in docs.columns:
+        other = c
+        while other in added or (other != c and other in docs.columns):
+            other += "_"
+        name[c] = other
+    return docs.withColumnsRenamed(name), [F.col(f"`{name[c]}`").alias(c) for c in docs.columns]
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose toxicity score is 0.7 or more.
 
@@ -46,8 +57,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     source is no source. Equal rows get equal texts. Further columns are passed on, whatever their
     names.
     """
-    out = remove_shared_lines(docs, min_sites=10)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    own, back = _aside(docs, ("_n_lines", "_n_removed"))
+    out = remove_shared_lines(own, min_sites=10)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*back)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,9 +85,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents so that tokens have the languages' target shares, and sources and topics are evener than they are.
 
     Null sources and languages are values of their own; a null text is one token. Rows that repeat
-    are sampled alike. Further columns are passed on, but for those that the operator adds.
+    are sampled alike. Further columns are passed on, whatever their names.
     """
-    return mix_sources(docs, targets=MIX_TARGETS, temperature=MIX_TEMPERATURE, keep=MIX_KEEP).where("_sampled").select(*docs.columns)
+    own, back = _aside(docs, ("_topic", "_tokens", "_probability", "_sampled"))
+    return mix_sources(own, targets=MIX_TARGETS, temperature=MIX_TEMPERATURE, keep=MIX_KEEP).where("_sampled").select(*back)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -96,12 +109,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents, each written as Parquet and read again by the next.
 
-    A stage's table is deleted once the next one is there.
+    A stage's table is deleted once the next one is there, as is all that the stage itself has
+    written, but for the last one.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        before, docs = docs, stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = table(docs)
-            drop_tables(before)
-    return docs
+        if name == STAGES[-1][0]:
+            return stage(spark, docs, sf_dir)
+        before = docs
+        with scope() as own:
+            docs = own.keep(table(stage(spark, docs, sf_dir)))
+        drop_tables(before)
