@@ -130,7 +130,7 @@ def _groups(rows: pa.Table, *keys: str):
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
-    """Links vectors whose cosine, in double precision, is at least `threshold` (meant for 0.9 and more).
+    """Links vectors whose cosine, in double precision, is at least `threshold` (0.9 to 1).
 
     Returns a row per input row: id_col, n_links (other rows linked directly), component_id
     (smallest id reachable) and kept (it is the smallest).
@@ -149,6 +149,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     Ties go to the smallest id; an empty table gives an empty result. Other columns of df, whatever
     their names, aren't used.
     """
+    if not 0.9 <= threshold <= 1:
+        raise ValueError("threshold is 0.9 to 1: below, pairs may share no filter")
     every = marked(df, id_col, vector_col)
     rows = every.where("ok").select("id", "v")
     named = [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(5), "v").alias("h2")]

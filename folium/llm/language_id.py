@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,18 @@ LEVEL = 6
 #: A sample document gives at most this much of its middle to a dictionary.
 SHARE = 2048
 DICTIONARY_BYTES = 112 << 10
+#: A shorter dictionary is filled up with blanks.
+LEAST_BYTES = 16
 
 
 def letters(text: str | None) -> bytes:
-    """Lower-case letters with single spaces for all else."""
-    return _GAP.sub(" ", (text or "").lower()).strip().encode()
+    """Lower-case letters with single spaces for all else; signs that are neither letters nor digits by their class, as fractions are, count as else."""
+    t = _GAP.sub(" ", (text or "").lower())
+    if not t.isascii():
+        odd = {c for c in set(t) if c != " " and not c.isalpha() and not unicodedata.combining(c)}
+        if odd:
+            t = " ".join("".join(" " if c in odd else c for c in t).split())
+    return t.strip().encode("utf-8", "surrogatepass") if any(map(str.isalpha, t)) else b""
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 120, most_docs: int = 24_000) -> dict[str, bytes]:
@@ -59,7 +67,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     out: dict[str, list[bytes]] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["t"])):
         out.setdefault(r["lang"], []).append(bytes(r["piece"]))
-    return {k: v for k, v in ((k, _filled(v)) for k, v in out.items()) if len(v) > 8}
+    return {k: _filled(v) for k, v in out.items()}
 
 
 def _filled(pieces: list[bytes], most: int = DICTIONARY_BYTES) -> bytes:
@@ -93,6 +101,8 @@ def identify_language(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         import zstandard as z
 
         def compressor(content: bytes):
+            if len(content) < LEAST_BYTES:  # the library takes no shorter dictionary
+                content = content.ljust(LEAST_BYTES)
             d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
             return z.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)

@@ -13,7 +13,7 @@ _U = np.uint64
 #: What stands before a text's first word, and the token after its last one.
 BEGIN, END = _U(0x6A09E667F3BCC909), _U(0xBB67AE8584CAA73B)
 #: Compressed input of a block of documents; a worker keeps a block's distinct n-grams.
-PART_BYTES = 16 << 20
+PART_BYTES = 6 << 20
 #: Tokens of a piece: long texts are traversed in pieces side by side.
 PIECE = 512
 #: Distinct words that a task keeps before it sends them.
@@ -139,6 +139,7 @@ class Automaton:
             chance = (count + strength[k - 1] * chance[place(k - 1, suffix)]) / (lower[1][place(k - 1, context)] + strength[k - 1])
             target = at[k] + np.arange(len(keys)) if k < self.order - 1 else at[k - 1] + place(k - 1, suffix)
             arcs.append((keys, np.log10(chance), target))
+        del known
         self.arc, self.arc_weight, self.arc_state = (np.concatenate(x) for x in zip(*arcs, strict=True)) if arcs else (np.zeros(0, _U), np.zeros(0), np.zeros(0, np.int64))
         order = np.argsort(self.arc, kind="stable")
         self.arc, self.arc_weight, self.arc_state = self.arc[order], self.arc_weight[order], self.arc_state[order]
@@ -167,7 +168,7 @@ class Automaton:
         weight[rest] += self.token_weight[number[rest]]
         return new, weight
 
-    def score(self, seq: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    def score(self, seq: np.ndarray, begin: np.ndarray, number: np.ndarray | None = None) -> np.ndarray:
         """Log-probability of each text, read from left to right; all pieces of texts are a step further at a time.
 
         A piece that begins inside a text first reads the tokens before it that a state can hold.
@@ -182,7 +183,7 @@ class Automaton:
         state = np.where(rank > 0, 0, self.start)
         order = np.argsort(-(b - a + lead), kind="stable")
         a, b, lead, state, owner = a[order], b[order], lead[order], state[order], owner[order]
-        number = np.searchsorted(self.tokens, seq)
+        number = np.searchsorted(self.tokens, seq) if number is None else number
         total = np.zeros(len(a))
         n = len(a)
         for t in range(int((b - a + lead).max()) if n else 0):
@@ -206,8 +207,10 @@ def _block_grams(texts: pa.Array, learn: np.ndarray, order: int, whole: bool):
             keys, count, one = summed(keys, mine[at])
             held[k].append((keys, count, context[one], suffix[one]) if whole and k else (keys, count))
     out = []
-    for parts in held:
+    for k in range(order):
+        parts, held[k] = held[k], []
         keys, count, *more = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, _U), np.zeros(0, np.int64), *[np.zeros(0, _U)] * 2)
+        del parts
         keys, count, one = summed(keys, count)
         out.append((keys, count, *((x[one] for x in more) if more else [keys[:0]] * 2)))
     return out
@@ -302,6 +305,7 @@ def score_texts(df: DataFrame, learn, id_col: str = "doc_id", text_col: str = "t
                     hit = own[i] == keys
                     count[i[hit]] = total[hit]
         model = Automaton(levels, tokens, vocabulary, strength)
+        del levels
         found = []
         buf, off = text_buffer(left.column("text"))
         for a, b in slices(off):
@@ -313,7 +317,7 @@ def score_texts(df: DataFrame, learn, id_col: str = "doc_id", text_col: str = "t
                 each = each.copy()
                 each[begin[:-1]] = 0
                 sums.append(np.add.reduceat(each, begin[:-1]))
-            found.append((last - first, *sums, model.score(seq, begin)))
+            found.append((last - first, *sums, model.score(seq, begin, number)))
         size, hits, base, whole = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0),) * 4
         columns = [left.column("doc"), pa.array(~learned), pa.array(size, pa.int64()), pa.array(hits, pa.int64()), pa.array(np.full(len(size), tokens), pa.int64()), pa.array(base, pa.float64()), pa.array(whole, pa.float64())]
         return pa.table(columns, names=["doc", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

@@ -166,6 +166,8 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     smallest id. An empty table gives an empty result. Other columns of df, whatever their names,
     aren't used.
     """
+    if not 80 <= percent <= 100:
+        raise ValueError("percent is 80 to 100: below, pairs may share no bucket")
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
 
     def sign(batches):

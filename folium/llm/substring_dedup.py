@@ -499,6 +499,13 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 parts.append(pa.table([pa.array(ids, mask=~known), pa.array(np.diff(first), pa.int64()), pa.array(np.diff(lost), pa.int64()), text.cast(pa.string())], names=["doc", "n_words", "n_removed", "kept_text"]))
         return pa.concat_tables(parts) if parts else pa.table([pa.array([], k) for k in (pa.int64(),) * 3 + (pa.string(),)], names=["doc", "n_words", "n_removed", "kept_text"])
 
+    def alone(batches):
+        for batch in batches:
+            yield from finish(None, pa.Table.from_batches([batch]), _table([])).to_batches()
+
+    # rows without an id take nothing and give nothing, so they need not meet
+    idless = docs.where("doc is null").mapInArrow(alone, "doc long, n_words long, n_removed long, kept_text string")
+    docs = docs.where("doc is not null")
     # every pass over the texts reads one exchange of them
     parted = docs.withColumn("part", part_column("row", n))
     long_ = docs.mapInArrow(symbols, _BLOBS).groupBy("bucket").applyInArrow(repeats, _BLOBS)
@@ -507,7 +514,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = parted.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(windows, _BLOBS)
     gone = found.groupBy("bucket").applyInArrow(earliest, _BLOBS)
     out = parted.groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(finish, "doc long, n_words long, n_removed long, kept_text string")
-    return out.withColumnRenamed("doc", id_col)
+    return out.unionByName(idless).withColumnRenamed("doc", id_col)
 
 
 def _joined(texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

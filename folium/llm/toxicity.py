@@ -116,15 +116,15 @@ def training_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str
 def fit(sample: DataFrame, least_share: float = 0.005, most_words: int = 5000) -> Model:
     """Learns lexicon weights (log odds of the document frequencies of words and stems) and the curve.
 
-    Copies count once: of sample texts with the same smallest hash of six words in a row, one is
-    used. Words with too few toxic documents or odds under 8 aren't taken; at most most_words are.
+    Copies count once: of sample texts with the same smallest 63-bit hash of six words in a row, one
+    is used. Only words of 3 to 30 letters are learned. Words with too few toxic documents or odds under 8 aren't taken; at most most_words are.
     """
 
     def words(batches):
         for batch in batches:
             for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 w = fold(text).split()
-                key = min((hash32(" ".join(w[i : i + 6])) for i in range(max(1, len(w) - 5))), default=0)
+                key = min((hash63(" ".join(w[i : i + 6])) for i in range(max(1, len(w) - 5))), default=0)
                 yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([key], pa.int64()), pa.array([sorted({x for x in w if 3 <= len(x) <= 30})], pa.list_(pa.string()))], names=["y", "k", "words"])
 
     sample = table(sample)  # small, and read three times
@@ -165,10 +165,10 @@ def _count(batches, rows_each: int = 500):
             yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array([toxic[w] for w in rows], pa.int64()), pa.array(list(rows.values()), pa.int64())], names=["w", "t", "n"])
 
 
-def hash32(s: str) -> int:
-    import zlib
+def hash63(s: str) -> int:
+    import xxhash
 
-    return zlib.crc32(s.encode())
+    return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) >> 1
 
 
 def _calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> None:
