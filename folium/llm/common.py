@@ -115,11 +115,11 @@ def slices(off: np.ndarray, most: int = 2 * BLOCK_BYTES):
 def partition_count(df: DataFrame, bytes_each: int = 64 << 20) -> int:
     """Shuffle partitions: the session's number, or more if the planned input is large for it."""
     spark = df.sparkSession
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # no size estimate: the session's number stands
-        size = 0
-    estimate = size // bytes_each if size < 2**60 else 0
+    # what the plan reads: estimates of joins are products
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    # a source without an estimate has one that no table reaches
+    estimate = sum(size for size in sizes if size < 2**60) // bytes_each
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(estimate))
 
 

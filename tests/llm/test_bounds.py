@@ -46,3 +46,14 @@ def test_stages_keep_own_columns_of_any_name(spark, tmp_path):
         assert out.columns == docs.columns
         assert out.join(docs, [c for c in docs.columns if c not in ("text", "n_chars")], "left_anti").count() == 0
     assert corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).where(F.col("_topic") == F.concat(F.lit("mine "), "doc_id")).count() == 30
+
+
+def test_partitions_follow_the_input(spark, tmp_path):
+    from folium.llm.common import partition_count
+
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.range(100_000).withColumn("t", F.sha2(F.col("id").cast("string"), 256)).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    size = sum(p.stat().st_size for p in (tmp_path / "t").glob("*.parquet"))
+    assert partition_count(df, 100_000) == size // 100_000 > few
+    assert partition_count(df, 1 << 40) == few == partition_count(spark.range(10))
