@@ -37,32 +37,33 @@ def completion_list(c: Column) -> Column:
 
 
 def truncated(text: str) -> bool:
-    """Whether a list's text lacks its end: brackets and braces outside strings must balance."""
+    """Whether a list's text lacks its end or its beginning: brackets and braces outside strings must match at every place."""
     t = text.strip()
     if not (t.startswith("[") and t.endswith("]")):
         return True
     depth = {"[": 0, "{": 0}
     for sign in _outside_strings(t):
-        if sign in "[{":
+        if sign in depth:
             depth[sign] += 1
-        elif sign in "]}":
-            depth["[" if sign == "]" else "{"] -= 1
+            continue
+        opened = "[" if sign == "]" else "{"
+        depth[opened] -= 1
+        if depth[opened] < 0:
+            return True
     return any(depth.values())
 
 
 def _outside_strings(t: str):
-    inside = escaped = False
+    """Brackets and braces outside strings; a backslash takes the next sign with it, outside strings too."""
+    inside = skip = False
     for ch in t:
-        if inside:
-            if escaped:
-                escaped = False
-            elif ch == "\\":
-                escaped = True
-            elif ch == '"':
-                inside = False
+        if skip:
+            skip = False
+        elif ch == "\\":
+            skip = True
         elif ch == '"':
-            inside = True
-        elif ch in "[]{}":
+            inside = not inside
+        elif not inside and ch in "[]{}":
             yield ch
 
 

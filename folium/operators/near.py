@@ -139,82 +139,74 @@ def _met(keyed: DataFrame, agree: int) -> DataFrame:
 def flow_assignment(edges: list[tuple[int, int, float]], left: list[int], right: list[int]) -> list[tuple[int, int, int]]:
     """(i, j, flow) with the largest total weight; left and right say how often each may be used.
 
-    Augments along best paths over the edges that are there, as often as the path allows, until no
-    path gains anything. Copies of a text are one node, so neither time nor memory follows their pairs.
+    One left node after the other is placed along a cheapest path: to a right node that is free, or
+    to a left one that does better without a partner. Prices keep all costs from being negative, so
+    a search stays where prices have to change. Copies of a text are one node, so neither time nor
+    memory follows their pairs.
     """
-    n, m = len(left), len(right)
-    out: list[list[int]] = [[] for _ in range(n)]
-    back: list[list[int]] = [[] for _ in range(m)]
-    for k, (i, j, _) in enumerate(edges):
-        out[i].append(k)
-        back[j].append(k)
-    free_left, free_right, flow = list(left), list(right), [0] * len(edges)
-    price_left = [0.0] * n
-    price_right = [min((-edges[k][2] for k in back[j]), default=0.0) for j in range(m)]
-    sink = min(price_right, default=0.0)
-    while True:
-        far_left, far_right = [math.inf] * n, [math.inf] * m
-        came_left, came_right = [-1] * n, [-1] * m
-        heap = []
-        for i in range(n):
-            if free_left[i] and out[i]:
-                # from the source, whose price is 0
-                far_left[i] = max(0.0, -price_left[i])
-                heap.append((far_left[i], 0, i))
-        heapq.heapify(heap)
-        end, best = -1, math.inf
-        while heap:
-            d, side, x = heapq.heappop(heap)
-            if d >= best:
-                break
-            if side == 0:
-                if d > far_left[x]:
-                    continue
-                for k in out[x]:
-                    _, j, w = edges[k]
-                    if flow[k] < min(left[x], right[j]):
-                        new = d + max(0.0, -w + price_left[x] - price_right[j])
-                        if new < far_right[j] - 1e-13:
+    out: list[list[tuple[int, float, int]]] = [[] for _ in left]
+    for k, (i, j, w) in enumerate(edges):
+        out[i].append((j, w, k))
+    flow, used = [0] * len(edges), [set() for _ in right]
+    free = list(right)
+    price_left, price_right = [max((w for _, w, _ in own), default=0.0) for own in out], [0.0] * len(right)
+    for start, wanted in enumerate(left):
+        while wanted and out[start]:
+            far_left, far_right = {start: 0.0}, {}
+            came_left, came_right = {}, {}
+            heap = [(0.0, 0, start)]
+            best, end = math.inf, (0, start)
+            while heap:
+                d, side, x = heapq.heappop(heap)
+                if d >= best:
+                    break
+                if side == 0:
+                    if d > far_left[x]:
+                        continue
+                    # without a partner
+                    if d + max(0.0, price_left[x]) < best:
+                        best, end = d + max(0.0, price_left[x]), (0, x)
+                    for j, w, k in out[x]:
+                        new = d + max(0.0, price_left[x] - w - price_right[j])
+                        if new < far_right.get(j, math.inf) - 1e-13:
                             far_right[j], came_right[j] = new, k
                             heapq.heappush(heap, (new, 1, j))
-            else:
-                if d > far_right[x]:
-                    continue
-                if free_right[x]:
-                    new = d + max(0.0, price_right[x] - sink)
-                    if new < best:
-                        best, end = new, x
-                for k in back[x]:
-                    if flow[k]:
-                        i = edges[k][0]
-                        new = d + max(0.0, edges[k][2] + price_right[x] - price_left[i])
-                        if new < far_left[i] - 1e-13:
+                else:
+                    if d > far_right[x]:
+                        continue
+                    if free[x] and d + max(0.0, price_right[x]) < best:
+                        best, end = d + max(0.0, price_right[x]), (1, x)
+                    for k in used[x]:
+                        i, _, w = edges[k]
+                        new = d + max(0.0, w + price_right[x] - price_left[i])
+                        if new < far_left.get(i, math.inf) - 1e-13:
                             far_left[i], came_left[i] = new, k
                             heapq.heappush(heap, (new, 0, i))
-        if end < 0 or best + sink >= -1e-12:
-            break
-        path, j, amount = [], end, free_right[end]
-        while True:
-            k = came_right[j]
-            path.append((k, 1))
-            i = edges[k][0]
-            amount = min(amount, min(left[i], right[j]) - flow[k])
-            if came_left[i] < 0:
-                amount = min(amount, free_left[i])
-                break
-            k = came_left[i]
-            path.append((k, -1))
-            amount = min(amount, flow[k])
-            j = edges[k][1]
-        for k, sign in path:
-            flow[k] += sign * amount
-        free_left[i] -= amount
-        free_right[end] -= amount
-        for x in range(n):
-            price_left[x] += min(far_left[x], best)
-        for x in range(m):
-            price_right[x] += min(far_right[x], best)
-        sink += best
+            path, amount, (side, x) = [], wanted, end
+            if side == 1:
+                amount = min(amount, free[x])
+            while (side, x) != (0, start):
+                if side == 1:
+                    k = came_right[x]
+                    path.append((k, 1))
+                    side, x = 0, edges[k][0]
+                else:
+                    k = came_left[x]
+                    path.append((k, -1))
+                    amount = min(amount, flow[k])
+                    side, x = 1, edges[k][1]
+            for k, sign in path:
+                flow[k] += sign * amount
+                (used[edges[k][1]].add if flow[k] else used[edges[k][1]].discard)(k)
+            if end[0] == 1:
+                free[end[1]] -= amount
+            wanted -= amount
+            for x, d in far_left.items():
+                if d < best:
+                    price_left[x] += d - best
+            for x, d in far_right.items():
+                if d < best:
+                    price_right[x] += d - best
     return [(i, j, f) for (i, j, _), f in zip(edges, flow, strict=True) if f]
 
 

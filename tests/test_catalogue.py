@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from folium import cli
-from folium.plans import catalogue
+from folium.plans import catalogue, roundtrips  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")

@@ -124,3 +124,14 @@ def test_repair():
     assert jsonfix.mend('[{"a":"x\ny"}]')[0] == '[{"a": "x\\ny"}]'
     assert jsonfix.mend('[{"a":"\\alpha"}]')[0] == '[{"a": "\\\\alpha"}]'
     assert jsonfix.mend('[{"a":1}')[1] == "truncated" and jsonfix.mend('{"a":1}')[1] == "truncated" and jsonfix.mend(None)[1] == "missing"
+
+
+def test_truncated_lists():
+    from folium.functions.jsonfix import truncated
+
+    for whole in ("[]", ' [{"a": "]"}] ', '[{"a": "\\"]"}]', "[1, [2], {}]", '[\\"{}]'):
+        assert not truncated(whole), whole
+    for cut in ("", "[", "{}", '[{"a": 1}', '[{"a": "x]', "[]]", "[}{]", "[][]]["):
+        assert truncated(cut), cut
+    # a bracket after a backslash doesn't count, outside strings either
+    assert truncated("[\\]") and not truncated("[\\]]")
