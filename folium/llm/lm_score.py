@@ -13,7 +13,7 @@ _U = np.uint64
 #: What stands before a text's first word, and the token after its last one.
 BEGIN, END = _U(0x6A09E667F3BCC909), _U(0xBB67AE8584CAA73B)
 #: Compressed input of a block of documents; a worker keeps a block's distinct n-grams.
-PART_BYTES = 4 << 20
+PART_BYTES = 5 << 20
 #: Tokens of a piece: long texts are traversed in pieces side by side.
 PIECE = 512
 #: Distinct words that a task keeps before it sends them.

@@ -57,3 +57,19 @@ def test_partitions_follow_the_input(spark, tmp_path):
     size = sum(p.stat().st_size for p in (tmp_path / "t").glob("*.parquet"))
     assert partition_count(df, 100_000) == size // 100_000 > few
     assert partition_count(df, 1 << 40) == few == partition_count(spark.range(10))
+
+
+def test_very_many_languages_share_factors(spark, monkeypatch):
+    from folium.llm import mixing
+
+    monkeypatch.setattr(mixing, "MOST_LANGS", 3)
+    rows = [(i, "some words of a text", f"s{i % 2}", f"l{i % 3}" if i < 300 else f"junk{i}") for i in range(340)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = {"lang": {"l0": 0.5, "junk300": 0.01}}
+    out = mixing.mix_sources(df, targets=targets, topics=mixing.fit_topics(df), keep=0.5).collect()
+    assert len(out) == 340 and all(r._probability is not None and 0 < r._probability <= 1 for r in out)
+    # rare ones are one language, a named one is its own
+    rare = {(r.source, r._topic, r._probability) for r in out if r.lang.startswith("junk") and r.lang != "junk300"}
+    assert len(rare) == len({(s, t) for s, t, _ in rare})
+    expected = sum(r._probability * r._tokens for r in out)
+    assert abs(expected - 0.5 * sum(r._tokens for r in out)) < 0.05 * expected

@@ -50,8 +50,7 @@ def sample(rng, n, hot=0.4):
     return rows
 
 
-@pytest.mark.parametrize("local", [(4096, 65_536), (6, 60), (1, 10**6), (3, 9)])
-@pytest.mark.parametrize("rebuild", [None, spliced])
+@pytest.mark.parametrize("rebuild, local", [(None, (4096, 65_536)), (None, (6, 60)), (spliced, (1, 10**6)), (spliced, (3, 9))])
 def test_against_plain_trie(spark, local, rebuild):
     rows = sample(np.random.default_rng(local[0]), 60)
     assert got(spark, rows, rebuild=rebuild, local_rows=local[0], local_turns=local[1]) == plain(rows, rebuild)
