@@ -83,7 +83,8 @@ def to_test_format(spark, a) -> int:
     records = catalog.last_wins(records.withColumn("k", ids.plain_doi(F.col("doi"))), "k", "src_file", "src_pos").drop("src_file", "src_pos")
     asked = wanted.where(F.coalesce("own_doi", F.lit("")) != "").withColumn("k", ids.plain_doi(F.col("own_doi")))
     found = asked.join(records, "k").withColumn("doi", F.coalesce("doi", "own_doi"))
-    out = predictions.api_record(found, "src_file", "src_pos").cache()
+    out = predictions.api_record(found, "src_file", "src_pos")
+    out = table(out)
     writers.json_array(out.orderBy("src_file", "src_pos").select("arxiv_id", "doi", "title", "authors", "filename"), a.output)
     s = out.agg(F.count("*").alias("converted"), F.count_if("missing_all").alias("no_affiliations")).first()
     total = wanted.count()
@@ -160,7 +161,7 @@ def sample(spark, a) -> int:
 
 
 def check_pdfs(spark, a) -> int:
-    rows = readers.pdf_files(spark, a.input).select("path", readers.pdf_status(F.col("length"), F.col("content")).alias("status")).cache()
+    rows = table(readers.pdf_files(spark, a.input).select("path", readers.pdf_status(F.col("length"), F.col("content")).alias("status")))
     writers.csv(rows, a.output)
     for r in profile.share_table(rows, "status").collect():
         print(f"{r['status']}: {r['count']} ({r['pct']:.2f}%)")
@@ -194,7 +195,7 @@ def batches(spark, a) -> int:
 
 def resolve(spark, a) -> int:
     wanted = readers.json_records(spark, a.input).select(F.expr("try_variant_get(record, '$.arxiv_id', 'string')").alias("arxiv_id"))
-    listing = readers.object_listing(spark, a.listing).cache()
+    listing = table(readers.object_listing(spark, a.listing))
     out = catalog.resolve(wanted, listing, listing)
     if a.present:
         there = readers.lines(spark, a.present).select(ids.base_name(F.col("value")).alias("name"))

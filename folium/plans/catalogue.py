@@ -520,9 +520,9 @@ def nested_group(t):
     return annotations(rows).select("arxiv_id", F.size("authors").cast("long").alias("orders"), F.aggregate("authors", F.lit(0).cast("long"), lambda a, x: a + F.size(x.affiliations)).alias("suppliers"))
 
 
-@query("SELECT source AS document_id, count(*)::BIGINT AS failed, string_agg(doc_id::VARCHAR, ', ' ORDER BY doc_id::VARCHAR) AS pages FROM documents WHERE n_chars < 300 GROUP BY source")
+@query("SELECT source || '/' || (doc_id // 100) AS document_id, count(*)::BIGINT AS failed, string_agg(doc_id::VARCHAR, ', ' ORDER BY doc_id::VARCHAR) AS pages FROM documents WHERE n_chars < 300 GROUP BY ALL")
 def failed_pages(t):
-    return documents.page_failures(t("documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("page"), (F.col("n_chars") >= 300).alias("success")))
+    return documents.page_failures(t("documents").select(F.concat_ws("/", "source", F.floor(F.col("doc_id") / 100).cast("string")).alias("document_id"), F.col("doc_id").alias("page"), (F.col("n_chars") >= 300).alias("success")))
 
 
 @query("SELECT doc_id, source FROM documents ORDER BY md5('7|' || doc_id), doc_id LIMIT 100")

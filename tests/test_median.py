@@ -8,8 +8,7 @@ import pytest
 from folium.operators.profile import exact_median
 
 
-@pytest.mark.parametrize("kind", ["odd", "even", "ties", "one value", "far apart", "one", "two"])
-@pytest.mark.parametrize("most", [1, 3, 1000])
+@pytest.mark.parametrize("kind, most", [("odd", 3), ("even", 1), ("even", 1000), ("ties", 3), ("one value", 1), ("far apart", 1), ("two", 1)])
 def test_exact_median(spark, kind, most):
     rng = random.Random(4)
     rows = {
