@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,6 +37,8 @@ class NamedFilesWriter(DataSourceWriter):
 
     def __init__(self, path: str, header: str, overwrite: bool):
         self.path, self.header, self.overwrite, self.run = path, header, overwrite, uuid.uuid4().hex
+        # made here, on the driver, and not by tasks: one that outlives an abort finds it gone and fails
+        _open(path)[0].create_dir(self.aside, recursive=True)
 
     @property
     def aside(self) -> str:
@@ -45,7 +48,7 @@ class NamedFilesWriter(DataSourceWriter):
         files, _ = _open(self.path)
         # an attempt that is lost never shares a folder with the one that takes its place
         folder = posixpath.join(self.aside, uuid.uuid4().hex)
-        files.create_dir(folder, recursive=True)
+        files.create_dir(folder, recursive=False)
         names, name, file = [], None, None
         try:
             for row in rows:
@@ -92,8 +95,15 @@ class NamedFilesWriter(DataSourceWriter):
         from pyarrow import fs
 
         files, _ = _open(self.path)
-        if files.get_file_info(self.aside).type == fs.FileType.Directory:
-            files.delete_dir(self.aside)
+        for last in (False, False, True):
+            try:
+                if files.get_file_info(self.aside).type == fs.FileType.Directory:
+                    files.delete_dir(self.aside)
+                return
+            except OSError:  # a task that is being stopped has just written there
+                if last:
+                    raise
+                time.sleep(0.5)
 
 
 class NamedFiles(DataSource):

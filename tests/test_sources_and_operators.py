@@ -87,7 +87,7 @@ def test_files(spark, tmp_path):
     for name, body in {"ok.PDF": b"%PDF-1.4 /Type /Page \n%%EOF", "none.pdf": b"%PDF-1.4\n%%EOF", "lock.pdf": b"%PDF-1.4 /Encrypt 1 /Type /Page \n%%EOF", "bad.pdf": b"nope", "void.pdf": b"", "x.txt": b""}.items():
         (tmp_path / "p" / name).write_bytes(body)
     got = {r["path"].rsplit("/", 1)[1]: r["s"] for r in readers.pdf_files(spark, str(tmp_path / "p")).select("path", readers.pdf_status(F.col("length"), F.col("content")).alias("s")).collect()}
-    assert got == {"ok.PDF": "valid", "none.pdf": "zero_pages", "lock.pdf": "password_protected", "bad.pdf": "corrupted"}
+    assert got == {"ok.PDF": "valid", "none.pdf": "zero_pages", "lock.pdf": "password_protected", "bad.pdf": "corrupted", "void.pdf": "corrupted"}
     assert spark.range(1).select(readers.pdf_status(F.lit(0), F.lit(b"")).alias("s")).first()["s"] == "corrupted"
     (tmp_path / "doc_page_2.png").write_bytes(bytes.fromhex("89504E470D0A1A0A"))
     row = readers.page_images(spark, str(tmp_path)).select("stem", "page", readers.magic(F.col("content")).alias("m")).first()
