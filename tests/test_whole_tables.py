@@ -6,8 +6,10 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from folium.functions.similarity import indel, pair_up, plain
+from folium.operators import matching
 from folium.plans import catalogue
 
 
@@ -31,6 +33,23 @@ def test_stream_ingest_reads_every_file(spark, tmp_path, files):
     assert got == sorted(tuple(shown(x) for x in r) for r in want) and sum(int(r[1]) for r in got) == 60
 
 
+def test_edit_similarity_deals_pairs_not_rows(spark, tmp_path):
+    """A group of a small table has millions of pairs: they are made by several tasks, in tiles, and are those of the SQL."""
+    rows = [(k, None if k == 7 else f"name {k * k % 97}", "b", 1) for k in range(4000)] + [(k, "x", f"c{k}", k % 3) for k in range(4000, 4100)] + [(None, "y", "b", 1), (5000, "z", None, 1)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = catalogue.QUERIES["edit_similarity"](spark, str(tmp_path))
+    tasks = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(tasks) > 1 and sum(tasks) == 4000 * 3999 // 2
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    summed = "count(*), count(edits), sum(edits), sum(edits * ((a * 7 + b * 31) % 1009))"
+    want = con.execute(f"select {summed} from ({catalogue.ORACLES['edit_similarity']})").fetchone()
+    tiled = matching.edit_pairs(spark.read.parquet(f"{tmp_path}/part.parquet"), "p_partkey", "p_name", "p_brand", "p_size", tile=100, task_pairs=1_000_000)
+    for df in (got, tiled):
+        assert tuple(df.selectExpr(*(x + f" as c{i}" for i, x in enumerate(summed.split(", ")))).first()) == tuple(map(int, want))
+        assert df.where("a >= b").isEmpty()
+
+
 def plain_iou(source, target):
     """IoU of two lists of texts, and each source's nearest target from 90 per cent on."""
     near = {}
