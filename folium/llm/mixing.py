@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, slices, span_hashes, table, text_buffer, word_spans
+from .common import drop_tables, mix, slices, span_hashes, table, text_buffer, word_spans
 
 NULL, RARE = "\u0000null", "\u0000rare"
 #: Languages that have a factor of their own.
 MOST_LANGS = 1024
-#: Topics, hashed word counts that describe a text, and sample texts that topics are fitted on.
-TOPICS, FEATURES, SAMPLE_TEXTS = 8, 128, 2000
+#: Topics, and hashed word counts that describe a text.
+TOPICS, FEATURES = 8, 128
+#: Parts of one in features that are kept, and in standardised ones that are summed.
+UNIT, Z_UNIT = 32767, 1 << 20
+#: Texts that are tried as each topic's first centre.
+SEEDS = 8
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -40,47 +45,31 @@ def text_features(texts: pa.Array) -> np.ndarray:
 
 
 class Topics:
-    """Clusters of texts by their words: k-means from far-apart sample texts, on features of equal spread.
+    """Clusters of texts by their words, on features of equal spread.
 
-    Features are taken from their language's mean first, so that topics aren't languages.
+    Features are taken from their language's mean first, so that topics aren't languages; a language
+    that isn't in means has the mean of all.
     """
 
-    def __init__(self, x: np.ndarray, langs: list[str], topics: int = TOPICS, rounds: int = 25):
-        self.mean = x.mean(axis=0) if len(x) else np.zeros(FEATURES)
-        own = np.array(langs, dtype=object)
-        self.means = {lang: x[own == lang].mean(axis=0) for lang in sorted(set(langs))}
-        self.spread = np.ones(FEATURES)
-        z = self._centred(x, langs)
-        self.spread = np.maximum(z.std(axis=0), 1e-6) if len(x) else self.spread
-        z = z / self.spread
-        picked = [0] if len(z) else []
-        while len(picked) < min(topics, len(z)):
-            far = np.min([((z - z[p]) ** 2).sum(axis=1) for p in picked], axis=0)
-            # not the farthest texts, which are odd ones
-            picked.append(int(np.argsort(far, kind="stable")[len(far) * 3 // 4]))
-        self.centres = z[picked]
-        for _ in range(rounds if len(z) else 0):
-            near = self._nearest(z)
-            new = np.stack([z[near == k].mean(axis=0) if (near == k).any() else c for k, c in enumerate(self.centres)])
-            if np.allclose(new, self.centres):
-                break
-            self.centres = new
-        size = np.bincount(self._nearest(z), minlength=len(self.centres)) if len(z) else np.zeros(0)
-        self.centres = self.centres[np.argsort(-size, kind="stable")]
-
-    def _centred(self, x: np.ndarray, langs: list[str]) -> np.ndarray:
-        if not len(x):
-            return x
-        return (x - np.stack([self.means.get(lang, self.mean) for lang in langs])) / self.spread
-
-    def _nearest(self, z: np.ndarray) -> np.ndarray:
-        return ((z**2).sum(axis=1)[:, None] - 2 * z @ self.centres.T + (self.centres**2).sum(axis=1)[None, :]).argmin(axis=1)
+    def __init__(self, mean: np.ndarray, means: dict[str, np.ndarray], spread: np.ndarray, centres: np.ndarray):
+        self.mean, self.means, self.spread, self.centres = mean, means, spread, centres
+
+    def centred(self, x: np.ndarray, langs: pa.Array) -> np.ndarray:
+        at = pc.index_in(langs, pa.array(list(self.means), pa.string())).fill_null(len(self.means)).to_numpy(zero_copy_only=False)
+        return (x - np.stack([*self.means.values(), self.mean])[at]) / self.spread
+
+    def distances(self, z: np.ndarray) -> np.ndarray:
+        """Squared distances to each centre; a row's don't depend on what rows are beside it."""
+        return np.stack([((z - c) ** 2).sum(axis=1) for c in self.centres])
+
+    def nearest(self, z: np.ndarray) -> np.ndarray:
+        return self.distances(z).argmin(axis=0)
 
     def names(self, texts: pa.Array, langs: list[str]) -> list[str]:
-        """The topic of each text: t0 (the largest in the sample), t1, ..., or none for a text without words."""
-        x = text_features(texts)
+        """The topic of each text: t0 (the largest among those fitted on), t1, ..., or none for a text without words."""
+        x = np.rint(text_features(texts) * UNIT) / UNIT
         empty = ~x.any(axis=1) | (len(self.centres) == 0)
-        own = self._nearest(self._centred(x, langs)) if len(self.centres) and len(x) else np.zeros(len(x), int)
+        own = self.nearest(self.centred(x, pa.array(langs, pa.string()))) if len(self.centres) and len(x) else np.zeros(len(x), int)
         return ["none" if e else f"t{k}" for e, k in zip(empty, own, strict=True)]
 
 
@@ -88,21 +77,127 @@ def _value(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(NULL))
 
 
-def fit_topics(df: DataFrame, text_col: str = "text", lang_col: str = "lang", topics: int = TOPICS, sample_texts: int = SAMPLE_TEXTS) -> Topics:
-    """Topics of the whole texts of at most sample_texts different texts, in the order of a hash."""
+def _described(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """(t, lang, x) of each different text that has words: its hash, the smallest of its languages, and its features as 16-bit numbers."""
     named = df.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), _value(lang_col).alias("lang")).withColumn("t", F.xxhash64("text"))
-    some = named.select("t").distinct().orderBy(F.xxhash64(F.lit(3), "t"), "t").limit(sample_texts)
 
     def describe(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("lang"), pa.array(list(text_features(batch.column("text"))), pa.list_(pa.float64()))], names=["t", "lang", "x"])
+            x = np.rint(text_features(batch.column("text")) * UNIT).astype("<i2")
+            some = np.flatnonzero(x.any(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column("t").take(pa.array(some)), batch.column("lang").take(pa.array(some)), pa.array([r.tobytes() for r in x[some]], pa.binary())], names=["t", "lang", "x"])
+
+    return table(named.mapInArrow(describe, "t long, lang string, x binary").groupBy("t").agg(F.min("lang").alias("lang"), F.first("x").alias("x")))
+
+
+def _features(x: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(x.to_pylist()), "<i2").reshape(-1, FEATURES)
+
+
+def _spreads(rows: DataFrame) -> Topics:
+    """Means by language (of the MOST_LANGS with most texts), the mean of all, and spreads about them; without centres."""
+    heavy = [r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS + 1).collect()]
+    lang = F.when(F.col("lang").isin(heavy[:MOST_LANGS]), F.col("lang")) if len(heavy) > MOST_LANGS else F.col("lang")
+
+    def run(batches):
+        sums: dict[str | None, np.ndarray] = {}
+        for batch in batches:
+            x, codes = _features(batch.column("x")).astype(np.int64), batch.column("lang").dictionary_encode("encode")
+            for k, own in enumerate(codes.dictionary.to_pylist()):
+                some = x[codes.indices.to_numpy() == k]
+                sums[own] = sums.get(own, 0) + np.stack([np.full(FEATURES, len(some)), some.sum(axis=0), (some**2).sum(axis=0)])
+        for own, (n, s, q) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([own] * FEATURES, pa.string()), pa.array(range(FEATURES), pa.int32()), pa.array(n), pa.array(s), pa.array(q)], names=["lang", "k", "n", "s", "q"])
+
+    # sums of whole numbers, so that they are the same in any order; a row for each language and feature
+    totals = rows.select(lang.alias("lang"), "x").mapInArrow(run, "lang string, k int, n long, s long, q long").groupBy("lang", "k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).collect()
+    totals.sort(key=lambda r: (r["lang"] is not None, r["lang"] or "", r["k"]))
+    if not totals:
+        return Topics(np.zeros(FEATURES), {}, np.ones(FEATURES), np.zeros((0, FEATURES)))
+    n, s, q = (np.array([float(r[c]) for r in totals]).reshape(-1, FEATURES) / f for c, f in (("n", 1), ("s", UNIT), ("q", UNIT**2)))
+    own, whole, mean = [r["lang"] for r in totals[::FEATURES]], n.sum(axis=0), s.sum(axis=0) / n.sum(axis=0)
+    m = np.stack([mean if v is None else s[k] / n[k] for k, v in enumerate(own)])
+    spread = (q - 2 * m * s + n * m**2).sum(axis=0) / whole - ((s - n * m).sum(axis=0) / whole) ** 2
+    return Topics(mean, {v: m[k] for k, v in enumerate(own) if v is not None}, np.maximum(np.sqrt(np.maximum(spread, 0)), 1e-6), np.zeros((0, FEATURES)))
+
+
+def _seed(rows: DataFrame, model: Topics) -> np.ndarray:
+    """A text as a further centre: of some texts, from near the centres to far from them, the one that leaves all texts nearest to a centre."""
+    near = lambda z: model.distances(z).min(axis=0) if len(model.centres) else (z**2).sum(axis=1)
+
+    def run(batches):
+        seen: dict[int, tuple] = {}
+        for batch in batches:
+            far = near(model.centred(_features(batch.column("x")) / UNIT, batch.column("lang")))
+            t, bins = batch.column("t").to_numpy(), np.floor(np.log2(1 + far) * 32).astype(int)
+            for b in np.unique(bins).tolist():
+                some = np.flatnonzero(bins == b)
+                k = int(some[t[some].argmin()])
+                new = (int(t[k]), batch.column("lang")[k].as_py(), batch.column("x")[k].as_py())
+                n, old = seen.get(b, (0, new))
+                seen[b] = n + len(some), min(old, new)
+        found = [{"b": b, "n": n, "t": t, "lang": lang, "x": x} for b, (n, (t, lang, x)) in seen.items()]
+        yield pa.RecordBatch.from_pylist(found, pa.schema([("b", pa.int32()), ("n", pa.int64()), ("t", pa.int64()), ("lang", pa.string()), ("x", pa.binary())]))
+
+    # a row for each thirty-second power of two that a distance has, so two thousand at most
+    bins = rows.mapInArrow(run, "b int, n long, t long, lang string, x binary").groupBy("b").agg(F.sum("n").alias("n"), F.min(F.struct("t", "lang", "x")).alias("first")).collect()
+    bins.sort(key=lambda r: r["b"])
+    below = np.cumsum([r["n"] for r in bins])
+    at = np.unique(np.searchsorted(below, (2 * np.arange(SEEDS) + 1) * below[-1] // (2 * SEEDS), "right"))
+    first = [bins[k]["first"] for k in at]
+    tried = Topics(model.mean, model.means, model.spread, model.centred(_features(pa.array([bytes(r["x"]) for r in first])) / UNIT, pa.array([r["lang"] for r in first])))
+
+    def left(batches):
+        total = np.zeros(len(tried.centres), np.int64)
+        for batch in batches:
+            z = tried.centred(_features(batch.column("x")) / UNIT, batch.column("lang"))
+            d = tried.distances(z)
+            total += np.rint((np.minimum(d, near(z)) if len(model.centres) else d) * UNIT).astype(np.int64).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["d"])
+
+    # a row for each task
+    sums = [np.frombuffer(r["d"], np.int64) for r in rows.select("lang", "x").mapInArrow(left, "d binary").collect()]
+    return tried.centres[int(np.sum(sums, axis=0).argmin())]
+
+
+def _moved(rows: DataFrame, model: Topics) -> tuple[np.ndarray, np.ndarray]:
+    """The means of the texts nearest to each centre (its own place, if there are none), and their number."""
+    shape = model.centres.shape
+
+    def run(batches):
+        sums, size = np.zeros(shape, np.int64), np.zeros(shape[0], np.int64)
+        for batch in batches:
+            z = model.centred(_features(batch.column("x")) / UNIT, batch.column("lang"))
+            near, whole = model.nearest(z), np.rint(z * Z_UNIT).astype(np.int64)
+            for k in range(shape[0]):
+                sums[k] += whole[near == k].sum(axis=0)
+            size += np.bincount(near, minlength=shape[0])
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary()), pa.array([size.tobytes()], pa.binary())], names=["s", "n"])
 
-    # the sample has the bound sample_texts, and copies of a text become one before it is collected
-    got = named.join(F.broadcast(some), "t").select("t", "lang", "text").mapInArrow(describe, "t long, lang string, x array<double>").groupBy("t").agg(F.min("lang").alias("lang"), F.first("x").alias("x")).collect()
-    got.sort(key=lambda r: r["t"])
-    x = np.array([r["x"] for r in got]).reshape(-1, FEATURES)
-    some_words = x.any(axis=1)
-    return Topics(x[some_words], [r["lang"] for r, words in zip(got, some_words, strict=True) if words], topics)
+    # a row for each task; whole numbers again
+    got = rows.select("lang", "x").mapInArrow(run, "s binary, n binary").collect()
+    sums, size = (sum((np.frombuffer(r[c], np.int64) for r in got), np.zeros(length, np.int64)) for c, length in (("s", shape[0] * shape[1]), ("n", shape[0])))
+    return np.where(size[:, None] > 0, sums.reshape(shape) / Z_UNIT / np.maximum(size, 1)[:, None], model.centres), size
+
+
+def fit_topics(df: DataFrame, text_col: str = "text", lang_col: str = "lang", topics: int = TOPICS, rounds: int = 25) -> Topics:
+    """Topics of all different texts: k-means, each round a pass over their features.
+
+    Features are written once, 256 bytes a text. Tasks send sums of whole numbers, so the topics
+    don't depend on how rows are dealt. No texts with words give no topics.
+    """
+    rows = _described(df, text_col, lang_col)
+    model = _spreads(rows)
+    for _ in range(min(topics, rows.count())):
+        model.centres = np.vstack([model.centres, _seed(rows, model)])
+    for k in range(rounds + 1 if len(model.centres) else 0):
+        new, size = _moved(rows, model)
+        if k == rounds or np.allclose(new, model.centres):
+            model.centres = model.centres[np.argsort(-size, kind="stable")]
+            break
+        model.centres = new
+    drop_tables(rows)
+    return model
 
 
 def rake(cells: DataFrame, dims: tuple[str, ...], targets: dict[str, dict[str, float]] | None = None, temperature: float = 0.7, tolerance: float = 1e-6, rounds: int = 100) -> DataFrame:
@@ -141,8 +236,8 @@ def rake(cells: DataFrame, dims: tuple[str, ...], targets: dict[str, dict[str, f
     def fitted(batch, factors):
         """The batch's cells: row, position in each other dimension, weight and fitted weight."""
         lists = batch.column("cells")
-        flat, row = lists.flatten(), np.repeat(np.arange(len(lists)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
-        at = [pa.compute.index_in(flat.field(k), pa.array(vs, pa.string())).to_numpy(zero_copy_only=False) for k, vs in enumerate(values)]
+        flat, row = lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        at = [pc.index_in(flat.field(k), pa.array(vs, pa.string())).to_numpy(zero_copy_only=False) for k, vs in enumerate(values)]
         w = flat.field(len(rest)).to_numpy(zero_copy_only=False)
         x = w.copy()
         for f, i in zip(factors, at, strict=True):
@@ -205,7 +300,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     Returns all columns of df and _topic, _tokens, _probability, _sampled, which replace columns of
     those names. targets has the dimensions source, lang and topic (see rake). The topic is a
-    cluster of the whole text's words, as against others of its language, fitted on at most SAMPLE_TEXTS texts
+    cluster of the whole text's words, as against others of its language, fitted on all texts
     unless topics are given,
     and named t0, t1, ... A document's probability is its cell's raked weight over its tokens, scaled
     so that the largest is 1. With `keep`, it is scaled so that about that share of all tokens is

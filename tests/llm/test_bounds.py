@@ -1,6 +1,7 @@
 """Parameters out of bounds, columns of a user's own, rows without an id, and copies in learning."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,28 @@ def test_partitions_follow_the_input(spark, tmp_path):
     assert partition_count(df, 1 << 40) == few == partition_count(spark.range(10))
 
 
+def test_topics_are_fitted_on_all_texts(spark):
+    """Means, spreads and centres are those of every different text, however many there are and however rows are dealt."""
+    from folium.llm import mixing
+
+    rng = np.random.default_rng(5)
+    rows = [(" ".join(f"{'abc'[i % 3]}{rng.integers(40)}" for _ in range(30)), ["en", "de"][i % 2]) for i in range(2600)]
+    df = spark.createDataFrame(rows + rows[:500] + [(" ", "en"), (None, "de")], "text string, lang string")
+    model, again = mixing.fit_topics(df, topics=3), mixing.fit_topics(df.repartition(7), topics=3)
+    assert (model.centres == again.centres).all() and (model.mean == again.mean).all() and (model.spread == again.spread).all()
+    x, lang = mixing.text_features(pa.array([t for t, _ in rows])), np.array([k for _, k in rows])
+    z = x - np.stack([x[lang == k].mean(axis=0) for k in lang])
+    assert abs(model.mean - x.mean(axis=0)).max() < 1e-5 and abs(model.means["de"] - x[lang == "de"].mean(axis=0)).max() < 1e-5
+    spread = np.maximum(z.std(axis=0), 1e-6)
+    assert abs(model.spread / spread - 1).max() < 1e-3
+    names = np.array(model.names(pa.array([t for t, _ in rows]), lang.tolist()))
+    z = z / spread
+    for k in range(3):
+        assert abs(model.centres[k] - z[names == f"t{k}"].mean(axis=0)).max() < 1e-2
+    assert len({(n, t[0]) for n, (t, _) in zip(names, rows, strict=True)}) == 3
+    assert mixing.fit_topics(df.limit(0)).names(pa.array(["a"]), ["en"]) == ["none"]
+
+
 def test_very_many_languages_share_factors(spark, monkeypatch):
     from folium.llm import mixing
 
