@@ -184,6 +184,24 @@ def test_rewards(spark):
     assert got == {1: (1, 1.5), 2: (0, 0.0), 3: (1, 1.0)}
 
 
+def test_rewards_row_by_row_as_by_joins(spark):
+    """Rows are scored without a shuffle, and as by the joins that large rows take; odd lists and ids included."""
+    name = lambda k: f"Person number {k}"
+    units = lambda k: [f"Institute of {x}" for x in ("Physics", "Physicx", "Law", "Law", "")[: k % 6]]
+    rows = []
+    for i in range(60):
+        got = [{"name": name(i * k % 7), "affiliations": units(i + k)} for k in range(i % 5)]
+        want = [(name(k % 4), units(i * k)) for k in range(i % 4)] + ([(None, None), ("", ["x"])] if i % 7 == 0 else [])
+        rows.append((i, "</think> " + json.dumps(got) if i % 9 else "no list", None if i == 8 else want))
+    rows += [(1, '</think> [{"name":"A","affiliations":null}]', [("A", ["u"])]), (1, "</think> [null]", [("A", ["u"])]), (None, "</think> []", []), (None, None, None)]
+    df = spark.createDataFrame(rows, "id int, c string, a array<struct<name:string,affiliations:array<string>>>")
+    shown = lambda out: sorted(str((r[0], r[1], None if r[2] is None else round(r[2], 9))) for r in out.collect())
+    single = rewards.rewards(df, "id", "c", "a")
+    assert "Exchange" not in single._jdf.queryExecution().executedPlan().toString()
+    assert shown(single) == shown(rewards.rewards(df, "id", "c", "a", row_work=-1)) and len(shown(single)) == 64
+    assert shown(single) == shown(rewards.rewards(df, "id", "c", "a", row_work=300))
+
+
 def test_greedy_map_many_to_one(spark):
     side = lambda v: spark.createDataFrame([(1, i, x) for i, x in enumerate(v)], "g int, idx int, text string")
     got = matching.greedy_map(side(["abcdefghij", "abcdefghik"]), side(["zz", "abcdefghij"]), "g", "text")
