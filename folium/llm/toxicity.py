@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import drop_tables, table
 
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "ԁ": "d", "ɡ": "g", "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ν": "v", "ι": "i", "κ": "k", "τ": "t", "υ": "u", "ⅼ": "l", "ı": "i"}
@@ -34,8 +34,10 @@ def _fold_table() -> dict[int, str]:
 
 
 _FOLD = _fold_table()
-_MARK = re.compile(r"[0-9@$!|](?=[^\W\d_])|(?<=[^\W\d_])[0-9@$|]|(?<=[^\W\d_])!(?=[^\W_])")
+# a sign before a letter, or after one; an exclamation mark after one only inside a word
+_MARK = re.compile(r"[0-9@$!|](?:(?=[^\W\d_])|(?<=[^\W\d_][0-9@$|])|(?<=[^\W\d_]!)(?=[^\W_]))")
 _GAP = re.compile(r"[\W_]+")
+_ASCII_GAPS = {i: " " for i in range(128) if _GAP.match(chr(i))}
 
 
 def fold(text: str) -> str:
@@ -48,7 +50,8 @@ def fold(text: str) -> str:
     if not t.isascii():
         t = t.translate(_FOLD)
     t = _MARK.sub(lambda m: SUBSTITUTES.get(m[0], m[0]), t)
-    return f" {_GAP.sub(' ', t).strip()} ".replace("l", "i")
+    t = " ".join(t.translate(_ASCII_GAPS).split()) if t.isascii() else _GAP.sub(" ", t).strip()
+    return f" {t} ".replace("l", "i")
 
 
 @dataclass
@@ -83,7 +86,10 @@ def feature(automaton, text: str | None) -> tuple[float, int]:
     A word counts once, with the largest weight of the entries it matches. Words inside an exception
     phrase don't count, whichever entries they match.
     """
-    t = fold(text or "")
+    return _folded_feature(automaton, fold(text or ""))
+
+
+def _folded_feature(automaton, t: str) -> tuple[float, int]:
     words: dict[int, float] = {}
     spans = []
     for end, (size, x) in automaton.iter(t):
@@ -98,71 +104,86 @@ def feature(automaton, text: str | None) -> tuple[float, int]:
     return sum(words.values()) / math.log2(8 + t.count(" ")), len(words)
 
 
-def training_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
-    """(id, text, y) of at most `rows` labelled ids whose crc32(id as text) mod 3 is not 1, in the order of a hash; of a repeated id one text."""
-    some = (
-        labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
-        .where("id is not null and y in (0, 1)")
-        .where(F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1)
-        .groupBy("id").agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("id"), "id").limit(rows)
-    )
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    found = docs.join(F.broadcast(some), "id")  # its size has the bound `rows`
-    # one text of a repeated id, so that the sample keeps its bound
-    return found.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))
+def training_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int | None = None) -> DataFrame:
+    """(id, text, y) of all labelled ids whose crc32(id as text) mod 3 is not 1, or with `rows` of the first ones in the order of a hash; of a repeated id one text."""
+    learned = (F.crc32(F.col("id").cast("string").cast("binary")) % 3) != 1
+    some = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(learned).groupBy("id").agg(F.max("y").alias("y"))
+    if rows is not None:
+        some = F.broadcast(some.orderBy(F.xxhash64("id"), "id").limit(rows))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").where(learned)
+    # one text of a repeated id, so that an id counts once
+    return docs.join(some, "id").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))
 
 
 def fit(sample: DataFrame, least_share: float = 0.005, most_words: int = 5000) -> Model:
-    """Learns lexicon weights (log odds of the document frequencies of words and stems) and the curve.
+    """Learns lexicon weights (log odds of the document frequencies of words and stems) and the curve, from all rows of (id, text, y).
 
-    Copies count once: of sample texts with the same smallest 63-bit hash of six words in a row, one
+    Copies count once: of texts with the same smallest 63-bit hash of six words in a row, one
     is used. Only words of 3 to 30 letters are learned. Words with too few toxic documents or odds under 8 aren't taken; at most most_words are.
     """
 
-    def words(batches):
-        for batch in batches:
-            for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                w = fold(text).split()
-                key = min((hash63(" ".join(w[i : i + 6])) for i in range(max(1, len(w) - 5))), default=0)
-                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([key], pa.int64()), pa.array([sorted({x for x in w if 3 <= len(x) <= 30})], pa.list_(pa.string()))], names=["y", "k", "words"])
-
-    sample = table(sample)  # small, and read three times
-    once = sample.mapInArrow(words, "y int, k long, words array<string>").groupBy("k").agg(F.max_by("words", "y").alias("words"), F.max("y").alias("y"))
-    once = table(once.where("words is not null"))
+    def words(batches, rows_each: int = 200):
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows_each):
+                batch = whole.slice(start, rows_each)
+                folded, keys = [fold(t) for t in batch.column("text").to_pylist()], []
+                for w in map(str.split, folded):
+                    keys.append(min((hash63(" ".join(w[i : i + 6])) for i in range(max(1, len(w) - 5))), default=0))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(keys, pa.int64()), pa.array(folded, pa.string())], names=["id", "y", "k", "folded"])
+
+    sample = table(sample.mapInArrow(words, "id long, y int, k long, folded string"))
+    # of copies the toxic one with the smallest id, or if there is none the smallest
+    first = table(sample.groupBy("k").agg(F.min(F.struct((-F.col("y")).alias("y"), "id")).alias("m")).select("m.id"))
+    once = table(sample.join(first, "id").select("y", "folded"))
     total = once.agg(F.sum("y"), F.count("*")).first()
     toxic, rows = int(total[0] or 0), int(total[1])
-    found = []
+    learned: dict[str, float] = {}
     if 0 < toxic < rows:
-        counts = once.mapInArrow(_count, "w string, t long, n long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-        odds = F.log((F.col("t") + 0.5) / F.lit(toxic + 1.0)) - F.log((F.col("n") - F.col("t") + 0.5) / F.lit(rows - toxic + 1.0))
-        # two standard errors below the estimate must still be odds of 8
-        spread = F.sqrt(1 / (F.col("t") + 0.5) + F.lit(1.0 / (rows - toxic + 1.0)))
-        found = counts.withColumn("odds", odds - spread).where((F.col("t") >= max(5, math.ceil(least_share * toxic))) & (F.col("odds") >= math.log(8))).orderBy(F.desc("t"), "w").limit(most_words).collect()
-    learned = {r["w"]: min(float(r["odds"]), 6.0) for r in found}
+        often = once.where("y = 1").mapInArrow(_count, "w string, n long").groupBy("w").agg(F.sum("n").alias("t")).where(F.col("t") >= max(5, math.ceil(least_share * toxic)))
+        # at most 200 times as many as a toxic text has on average, however many texts there are
+        often = {r["w"]: r["t"] for r in often.collect()}
+        among = frozenset(often)
+        counts = once.mapInArrow(lambda b: _count(b, among), "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+        counts = {r["w"]: r["n"] for r in counts.collect()}
+        clean = rows - toxic + 1.0
+        for w, t in sorted(often.items(), key=lambda i: (-i[1], i[0])):
+            # two standard errors below the estimate must still be odds of 8
+            odds = math.log((t + 0.5) / (toxic + 1.0)) - math.log((counts[w] - t + 0.5) / clean) - math.sqrt(1 / (t + 0.5) + 1 / clean)
+            if odds >= math.log(8) and len(learned) < most_words:
+                learned[w] = min(odds, 6.0)
     # an entry says nothing new beside a stem of it that is nearly as telling
     told = lambda w: any(learned.get(w[:k] + "*", 0.0) >= 0.75 * learned[w] for k in STEMS if k < len(w.rstrip("*")))
     weights = {fold(s).strip(): SEED_WEIGHT for s in SEEDS} | {w: x for w, x in learned.items() if not told(w)}
     model = Model(weights, EXCEPTIONS)
-    seen = sample.select("id", "y", "text").mapInArrow(lambda b: _features(b, model), "id long, y int, x double, hits int").select("x", "y").toPandas()
-    _calibrate(model, seen["x"].to_numpy(float), seen["y"].to_numpy(float))
+
+    def sums(batches):
+        a = model.automaton()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([_folded_feature(a, t.as_py())[0] for t in batch.column("folded")], pa.float64())], names=["y", "x"])
+
+    seen = table(sample.select("y", "folded").mapInArrow(sums, "y int, x double").groupBy("x").agg(F.sum("y").alias("t"), F.count("*").alias("n")))
+    _calibrate(model, seen)
+    drop_tables(sample, first, once, seen)
     return model
 
 
-def _count(batches, rows_each: int = 500):
-    """Document frequencies of words and stems, summed over some rows at a time to bound memory."""
+def _count(batches, among: frozenset[str] | None = None, most: int = 100_000):
+    """Document frequencies of words and stems (of those in among), given out whenever there are many, to bound memory."""
     from collections import Counter
 
-    for whole in batches:
-        for start in range(0, whole.num_rows, rows_each):
-            batch = whole.slice(start, rows_each)
-            toxic, rows = Counter(), Counter()
-            for y, words in zip(batch.column("y").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                own = {*words, *(w[:k] + "*" for w in words for k in STEMS if k < len(w))}
-                rows.update(own)
-                if y:
-                    toxic.update(own)
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array([toxic[w] for w in rows], pa.int64()), pa.array(list(rows.values()), pa.int64())], names=["w", "t", "n"])
+    def found(rows):
+        return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array(list(rows.values()), pa.int64())], names=["w", "n"])
+
+    rows = Counter()
+    for batch in batches:
+        for text in batch.column("folded"):
+            words = {w for w in text.as_py().split() if 3 <= len(w) <= 30}
+            own = {*words, *(w[:k] + "*" for w in words for k in STEMS if k < len(w))}
+            rows.update(own if among is None else own & among)
+            if len(rows) >= most:
+                yield found(rows)
+                rows = Counter()
+    yield found(rows)
 
 
 def hash63(s: str) -> int:
@@ -171,17 +192,22 @@ def hash63(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) >> 1
 
 
-def _calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> None:
-    """Two-parameter logistic regression by Newton steps with a small ridge."""
-    if not len(y) or y.min() == y.max():
+def _calibrate(model: Model, seen: DataFrame) -> None:
+    """Two-parameter logistic regression by Newton steps with a small ridge, each a pass over (x, t, n): n texts of a sum x, t of them toxic."""
+    toxic, rows = seen.agg(F.sum("t"), F.sum("n")).first()
+    if not toxic or toxic == rows:
         model.slope, model.intercept = 2.0, -2.0
         return
-    a = np.c_[x, np.ones(len(x))]
-    b = np.zeros(2)
+    b, ridge = np.zeros(2), np.diag([1e-2, 1e-4])
+    x, n = F.col("x"), F.col("n")
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        ridge = np.diag([1e-2, 1e-4])
-        step = np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + ridge, a.T @ (y - p) - ridge @ b)
+        z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), x * F.lit(float(b[0])) + F.lit(float(b[1]))))
+        p = 1 / (1 + F.exp(-z))
+        miss, w = F.col("t") - n * p, n * (p * (1 - p) + F.lit(1e-9))
+        # sums of decimals are the same in any order
+        sums = seen.agg(*(F.sum(c.cast("decimal(38,18)")) for c in (miss * x, miss, w * x * x, w * x, w))).first()
+        gx, g, hxx, hx, h = map(float, sums)
+        step = np.linalg.solve(np.array([[hxx, hx], [hx, h]]) + ridge, np.array([gx, g]) - ridge @ b)
         b += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
@@ -191,15 +217,15 @@ def _calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> None:
 def _features(batches, model: Model):
     a = model.automaton()
     for batch in batches:
-        got = [feature(a, t) for t in batch.column("text").to_pylist()]
+        got = [feature(a, t.as_py()) for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([x for x, _ in got], pa.float64()), pa.array([h for _, h in got], pa.int32())], names=["id", "y", "x", "hits"])
 
 
-def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 20_000) -> DataFrame:
+def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int | None = None) -> DataFrame:
     """Scores every whole text. Returns id_col, held_out, score, hits (lexicon matches).
 
-    The model is fitted on at most sample_rows labelled rows outside the held-out third
-    (crc32(id as text) mod 3 = 1). Null and empty texts have no matches and get the lowest score.
+    The model is fitted on all labelled rows outside the held-out third (crc32(id as text) mod 3 = 1),
+    or on sample_rows of them. Null and empty texts have no matches and get the lowest score.
     Rows with a null id are scored and not held out. Repeated rows are scored each, by their own
     texts; of a labelled id with several texts one is learned from, and it is toxic if any of its
     labels says so. Texts of any length are matched whole. With no usable labels, or an empty table,
@@ -228,7 +254,7 @@ def drop_toxic(df: DataFrame, model: Model, text_col: str = "text", threshold: f
     def run(batches):
         a = model.automaton()
         for batch in batches:
-            x = np.array([feature(a, t)[0] for t in batch.column(text_col).to_pylist()], dtype=float)
+            x = np.array([feature(a, t.as_py())[0] for t in batch.column(text_col)], dtype=float)
             yield batch.filter(pa.array(model.score(x) < threshold, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

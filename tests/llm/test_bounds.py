@@ -96,3 +96,20 @@ def test_very_many_languages_share_factors(spark, monkeypatch):
     assert len(rare) == len({(s, t) for s, t, _ in rare})
     expected = sum(r._probability * r._tokens for r in out)
     assert abs(expected - 0.5 * sum(r._tokens for r in out)) < 0.05 * expected
+
+
+def test_toxicity_is_learned_from_all_labelled_ids(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    ids = spark.range(31_500).select(F.col("id").alias("doc_id"), (F.crc32(F.col("id").cast("string").cast("binary")) % 3).alias("third"))
+    learned = [r["doc_id"] for r in ids.where("third != 1").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    late = learned[20_000:]
+    assert len(late) > 500
+    # the only toxic ids with labels come after twenty thousand others in the order of a hash
+    toxic = sorted(late[::2]) + [r["doc_id"] for r in ids.where("third = 1").limit(50).collect()]
+    bad = F.col("doc_id").isin(toxic)
+    docs = ids.select("doc_id", F.concat(F.lit("q"), F.col("doc_id"), F.when(bad, " zorkel").otherwise(" plain")).alias("text"))
+    docs.write.parquet(str(tmp_path / "docs"))
+    ids.select("doc_id", bad.cast("int").alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    kept = corpus_pipeline.toxicity(spark, docs, str(tmp_path))
+    assert kept.count() == 31_500 - len(toxic) and kept.where(F.col("text").contains("zorkel")).count() == 0
