@@ -134,6 +134,47 @@ def part_column(column: str, n: int):
     return F.pmod(c.bitwiseXOR(F.shiftright(c, 17)).bitwiseXOR(F.shiftright(c, 31)), F.lit(n)).cast("int")
 
 
+#: Blocks that a filter of ids has at most, and words of 64 bits in each: 8 MB.
+FILTER_BLOCKS, BLOCK_WORDS = 1 << 12, 1 << 8
+
+
+def _filter_place(column: str):
+    """The block of an id, its word there and its bit in that."""
+    h, part = F.xxhash64(F.col(column).cast("long")), lambda x, n: (x % F.lit(n).cast("long"))
+    block = part(F.shiftrightunsigned(h, 20), FILTER_BLOCKS)
+    word = part(F.shiftrightunsigned(h, 6), BLOCK_WORDS).cast("int")
+    return block, word, F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+
+
+def id_filter(ids: DataFrame, column: str) -> DataFrame:
+    """A bitmap of hashed ids, (_block, _bits): of one size at most, however many ids there are."""
+    block, word, bit = _filter_place(column)
+    words = ids.select(block.alias("_block"), word.alias("_word"), bit.alias("_bits")).groupBy("_block", "_word").agg(F.bit_or("_bits").alias("_bits"))
+
+    def fill(batches):
+        batches = list(batches)
+        if batches:
+            block, word, bits = (np.concatenate([b.column(k).to_numpy() for b in batches]) for k in range(3))
+            blocks, row = np.unique(block, return_inverse=True)
+            out = np.zeros((len(blocks), BLOCK_WORDS), np.int64)
+            out[row, word] = bits
+            cuts = pa.array(np.arange(len(blocks) + 1) * BLOCK_WORDS, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.ListArray.from_arrays(cuts, pa.array(out.reshape(-1)))], names=["_block", "_bits"])
+
+    return words.repartition("_block").mapInArrow(fill, "_block long, _bits array<long>")
+
+
+def by_filter(df: DataFrame, column: str, bitmap: DataFrame, known: bool = True) -> DataFrame:
+    """Rows whose id an id_filter may have, all of those that were put in among them; or the rows whose id surely isn't in it.
+
+    The bitmap is broadcast, so rows stay where they are. Of the ids that weren't put in, about as many
+    in a hundred are taken for known as there are bits set; with far more ids than bits nearly all are.
+    """
+    block, word, bit = _filter_place(column)
+    some = F.broadcast(bitmap.select("_block", "_bits"))
+    return df.join(some, (block == some["_block"]) & (bit.bitwiseAND(F.get(some["_bits"], word)) != 0), "left_semi" if known else "left_anti")
+
+
 def by_key(key: np.ndarray, *columns: np.ndarray):
     """Yields (key, columns of it) for each distinct key; rows of a key keep their order."""
     if not len(key):

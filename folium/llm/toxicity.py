@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_tables, table
+from .common import by_filter, drop_tables, id_filter, table
 
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "ԁ": "d", "ɡ": "g", "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ν": "v", "ι": "i", "κ": "k", "τ": "t", "υ": "u", "ⅼ": "l", "ı": "i"}
@@ -107,10 +107,14 @@ def _folded_feature(automaton, t: str) -> tuple[float, int]:
 def training_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int | None = None) -> DataFrame:
     """(id, text, y) of all labelled ids whose crc32(id as text) mod 3 is not 1, or with `rows` of the first ones in the order of a hash; of a repeated id one text."""
     learned = (F.crc32(F.col("id").cast("string").cast("binary")) % 3) != 1
-    some = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(learned).groupBy("id").agg(F.max("y").alias("y"))
+    marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(learned)
+    some = marked.groupBy("id").agg(F.max("y").alias("y"))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").where(learned)
     if rows is not None:
         some = F.broadcast(some.orderBy(F.xxhash64("id"), "id").limit(rows))
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").where(learned)
+    else:
+        # texts without a label aren't shuffled for the join, but for a few
+        docs = by_filter(docs, "id", id_filter(marked, "id"))
     # one text of a repeated id, so that an id counts once
     return docs.join(some, "id").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))
 
@@ -134,7 +138,10 @@ def fit(sample: DataFrame, least_share: float = 0.005, most_words: int = 5000) -
     sample = table(sample.mapInArrow(words, "id long, y int, k long, folded string"))
     # of copies the toxic one with the smallest id, or if there is none the smallest
     first = table(sample.groupBy("k").agg(F.min(F.struct((-F.col("y")).alias("y"), "id")).alias("m")).select("m.id"))
-    once = table(sample.join(first, "id").select("y", "folded"))
+    # only texts that may be further copies are shuffled to be compared with those ids
+    again = table(id_filter(sample.select("id").join(first, "id", "left_anti"), "id"))
+    unsure = table(by_filter(sample, "id", again).join(first, "id").select("y", "folded"))
+    once = by_filter(sample, "id", again, known=False).select("y", "folded").unionByName(unsure)
     total = once.agg(F.sum("y"), F.count("*")).first()
     toxic, rows = int(total[0] or 0), int(total[1])
     learned: dict[str, float] = {}
@@ -163,7 +170,7 @@ def fit(sample: DataFrame, least_share: float = 0.005, most_words: int = 5000) -
 
     seen = table(sample.select("y", "folded").mapInArrow(sums, "y int, x double").groupBy("x").agg(F.sum("y").alias("t"), F.count("*").alias("n")))
     _calibrate(model, seen)
-    drop_tables(sample, first, once, seen)
+    drop_tables(sample, first, again, unsure, seen)
     return model
 
 

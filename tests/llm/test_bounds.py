@@ -113,3 +113,47 @@ def test_toxicity_is_learned_from_all_labelled_ids(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "docs"))
     kept = corpus_pipeline.toxicity(spark, docs, str(tmp_path))
     assert kept.count() == 31_500 - len(toxic) and kept.where(F.col("text").contains("zorkel")).count() == 0
+
+
+def test_toxicity_shuffles_few_texts(spark, tmp_path):
+    from folium.llm import toxicity as tox
+
+    # texts that don't compress; every eighth has a label, and a few of those are copies
+    ids = spark.range(8000).select(F.col("id").alias("doc_id"))
+    some = F.when(F.col("doc_id") % 400 == 0, F.lit(0)).otherwise(F.col("doc_id"))
+    text = F.concat_ws(" ", *(F.sha2(F.concat(some.cast("string"), F.lit(f"/{k}")).cast("binary"), 512) for k in range(10)), F.when(F.col("doc_id") % 3 == 0, "zorkel"))
+    ids.select("doc_id", text.alias("text")).write.parquet(str(tmp_path / "docs"))
+    ids.where("doc_id % 8 = 0").select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")).write.parquet(str(tmp_path / "labels"))
+    docs, labels = (spark.read.parquet(str(tmp_path / name)) for name in ("docs", "labels"))
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before, usual = sent(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        model = tox.fit(tox.training_sample(docs, labels, "doc_id", "text", "toxic"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert any(w.startswith("zork") for w in model.weights)
+    # two in three of the texts stand outside the held-out third, one in twelve has a label besides
+    assert sent() - before < 0.25 * docs.agg(F.sum(F.length("text"))).first()[0]
+
+
+def test_id_filter(spark, monkeypatch):
+    from folium.llm import common, toxicity as tox
+
+    rows, ids = spark.range(-3000, 3000), spark.range(-3000, 3000, 3)
+    bitmap = common.id_filter(ids, "id")
+    some, rest = common.by_filter(rows, "id", bitmap), common.by_filter(rows, "id", bitmap, known=False)
+    assert some.join(ids, "id", "left_anti").count() < 10 and ids.join(some, "id", "left_anti").count() == 0
+    assert some.count() + rest.count() == 6000 and some.join(rest, "id").count() == 0
+    assert common.by_filter(rows, "id", common.id_filter(ids.limit(0), "id"), known=False).count() == 6000
+    # copies, some of them toxic, repeated ids, and labels without texts
+    docs = spark.range(1200).select("id", F.concat(F.lit("one two three four five six "), (F.col("id") % 300).cast("string"), F.when(F.col("id") % 5 == 0, " grumpf").otherwise(" plain")).alias("text"))
+    docs = docs.unionByName(docs.where("id < 50").withColumn("text", F.lit("another")))
+    labels = spark.range(0, 2400, 2).select("id", (F.col("id") % 5 == 0).cast("int").alias("toxic"))
+    fitted = lambda: tox.fit(tox.training_sample(docs, labels, "id", "text", "toxic"))
+    model = fitted()
+    # a filter that knows everything changes nothing
+    monkeypatch.setattr(common, "FILTER_BLOCKS", 1)
+    monkeypatch.setattr(common, "BLOCK_WORDS", 1)
+    assert common.by_filter(rows, "id", common.id_filter(ids, "id")).count() == 6000
+    assert fitted() == model and any(w.startswith("grum") for w in model.weights)
